@@ -11,6 +11,9 @@ SEED = "mix-1"
 #: A mean above this is a sum of equal smaller means, each inverted on its own hash.
 PART_MEAN = 16.0
 
+#: The table of sources is broadcast up to these sizes, which are counted first; a larger one meets the documents by an exchange.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 4_000_000
+
 
 def poisson(mean: Column, key: Column, seed: str = SEED) -> Column:
     """Poisson counts by inverting the distribution at uniforms hashed from ``key``.
@@ -63,8 +66,10 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     """
     docs = docs.drop("copy_no", "mix_key")
     rates = repetition_rates(docs, weights, temperature, size)
+    n, size_bytes = rates.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("__source") + 16), F.lit(0))).first()
+    small = n <= BROADCAST_ROWS and size_bytes <= BROADCAST_BYTES
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    n = docs.join(rates, F.col("source").eqNullSafe(F.col("__source")), "left").withColumn("__copies", poisson(F.col("__mean"), key, seed))
+    n = docs.join(F.broadcast(rates) if small else rates, F.col("source").eqNullSafe(F.col("__source")), "left").withColumn("__copies", poisson(F.col("__mean"), key, seed))
     out = n.filter(F.col("__copies") > 0).withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1))).drop("__copies", "__mean", "__source")
     out = out.withColumn("mix_key", F.md5(F.concat_ws(":", key, F.col("copy_no").cast("string"), F.lit(seed), F.lit("order"))))
     return out.repartition(F.col("mix_key")).sortWithinPartitions("mix_key") if shuffle else out
