@@ -18,7 +18,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from threadloom.llm.common import bound_batches, materialise, unit_hash
 from threadloom.llm.components import components
@@ -219,13 +218,13 @@ def drop_near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS)
     """
     classes = near_duplicates(docs.select("doc_id", "text"), words, bits)
     stays = materialise(classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows")), "stays")
-    once = docs.join(stays.filter("__rows = 1 and doc_id is not null").select("doc_id"), "doc_id", "left_semi")
+    # The same exchange at every size: each text is sent once.
+    once = docs.join(stays.filter("__rows = 1 and doc_id is not null").select("doc_id").hint("merge"), "doc_id", "left_semi").select(docs.columns)
+    repeated = stays.filter("__rows > 1 or doc_id is null").withColumnRenamed("doc_id", "__id")
+    if repeated.isEmpty():
+        return once
     # Repeated ids: one row of each, chosen by its content.
-    again = docs.join(stays.filter("__rows > 1 or doc_id is null").withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    columns = docs.columns
-    picked = again.withColumn("__fp", fingerprint_column(F.col("text"), words)).withColumn("__row", F.struct(*columns))
+    again = docs.join(repeated, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    picked = again.withColumn("__fp", fingerprint_column(F.col("text"), words)).withColumn("__row", F.struct(*docs.columns))
     picked = picked.groupBy(F.col("doc_id").alias("__id"), F.when(F.col("doc_id").isNull(), F.col("__fp")).alias("__of")).agg(F.min_by("__row", F.struct(F.xxhash64("__row"), F.col("__row.text"))).alias("__row"))
-    return once.select(columns).unionByName(picked.select("__row.*"))
-
-
-SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fingerprint", T.StringType()), T.StructField("component_id", T.LongType())])
+    return once.unionByName(picked.select("__row.*"))
