@@ -1,0 +1,31 @@
+import hashlib
+
+import corpus_pipeline
+from threadloom.llm import langid, quality, simhash
+
+
+def test_stages_keep_columns_and_decide(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    n = [docs.count()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = stage(spark, docs, small)
+        assert docs.columns == corpus_pipeline.COLUMNS, name
+        path = simhash.materialise(docs, "test")
+        if name != "mixture":
+            assert path.join(before.select("doc_id", "text"), ["doc_id", "text"], "left_anti").count() == 0
+        docs = path
+        n.append(docs.count())
+    assert n[1] <= n[0] and n[2] < n[1] and n[3] < n[2]
+
+
+def test_run_equals_stages_one_by_one(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    kept = simhash.materialise(langid.keep_identified(docs), "t")
+    kept = simhash.materialise(quality.keep_good(kept, labels), "t")
+    classes = {r["doc_id"] for r in simhash.near_duplicates(kept).collect() if r["doc_id"] == r["component_id"]}
+    got = corpus_pipeline.run(spark, small).collect()
+    assert {r["doc_id"] for r in got} <= classes and len(got) > 0
+    by_id = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert all(r["decoded_sha256"] == hashlib.sha256(by_id[r["doc_id"]].encode()).hexdigest() for r in got)

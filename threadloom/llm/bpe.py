@@ -150,7 +150,7 @@ def replay(ranks: Ranks, words: list[bytes]) -> list[list[int]]:
                         index[q] = [h]
                         heapq.heappush(left, q)
     out: list[list[int]] = [[] if r is None else [r] for r in whole]
-    for k, s, e in zip(todo, starts, [*starts[1:], n], strict=True):
+    for k, s, e in zip(todo, starts, [*starts, n][1:], strict=True):
         out[k] = [x for x in ids[s:e] if x >= 0]
     if astray:
         for at in set(np.searchsorted(np.array(starts), np.array(astray), side="right").tolist()):
