@@ -15,9 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from threadloom.llm.common import materialise
+
 SCALE = 64
 #: Candidates in a shard of the index, and queries in a block.
-SHARD, BLOCK = 32_768, 256
+SHARD, BLOCK = 65_536, 512
 #: Processing stops when at most this share of a shard's candidates is possible.
 RESCORE = 0.05
 
@@ -68,7 +70,7 @@ class Index:
         order = np.argsort(-impact, kind="stable")
         order = order[: np.searchsorted(-impact[order], 0)]  # none of the others can raise a score
         sums = np.zeros(n, dtype=np.int64)
-        few, check = max(4 * k, int(RESCORE * n)), 0
+        few, check = max(4 * k, int(RESCORE * n)), len(self.members) // 4
         level = impact[order].tolist()
         starts, ends, members = self.starts[order].tolist(), self.ends[order].tolist(), self.members
         active, done, possible = int(np.count_nonzero(q)), 0, None
@@ -77,9 +79,9 @@ class Index:
             sums[members[s:e]] += x
             done += e - s
             if done >= check:
-                check = done + max(1, len(members) // 16)
+                check = done + max(1, len(members) // 8)
                 left = (level[i + 1] if i + 1 < len(level) else 0) * active
-                near = np.flatnonzero(sums >= self.known(sums, own, q, k) - left) if done * 8 >= len(members) else ()
+                near = np.flatnonzero(sums >= self.known(sums, own, q, k) - left)
                 if 0 < len(near) <= few:
                     possible = near
                     break
@@ -108,7 +110,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, shard: int = SHARD,
     shards of candidates; each pair gives k rows a query at most, and these meet by query.
     """
     pack_column = F.pandas_udf(pack, "binary").asNondeterministic()
-    packed = vectors.filter("vec_id is not null").select("vec_id", pack_column("embedding").alias("v")).filter("v is not null")
+    packed = materialise(vectors.filter("vec_id is not null").select("vec_id", pack_column("embedding").alias("v")).filter("v is not null"), "vectors")
     n, n_queries, width = packed.agg(F.count(F.lit(1)), F.count_if(F.col("vec_id") % every == 0), F.max(F.octet_length("v"))).first()
     shards, blocks, width = max(1, -(-n // shard)), max(1, -(-n_queries // block)), (width or 0) // 8
     place = lambda name, parts: F.pmod(F.xxhash64("vec_id", F.lit(name)), F.lit(parts)).cast("int")
