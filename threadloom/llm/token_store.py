@@ -46,7 +46,7 @@ def tokenizer(path: str):
     def encode(words: list[str]) -> list[bytes]:
         return [np.array([t.id for t in model.tokenize(w.encode().decode("latin-1").translate(letters))], dtype="<u4").tobytes() for w in words]
 
-    return special, PieceCache(encode)
+    return special, PieceCache(encode, limit=800_000)
 
 
 def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
@@ -69,13 +69,18 @@ def gears() -> np.ndarray:
     return gear_table(1 << 16)
 
 
+@lru_cache(maxsize=1)
+def coders() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def pack(ids: np.ndarray) -> bytes:
     narrow = not len(ids) or int(ids.max()) < 1 << 16
-    return (b"\x02" if narrow else b"\x04") + zstandard.ZstdCompressor(level=1).compress((ids.astype("<u2") if narrow else ids.astype("<u4")).tobytes())
+    return (b"\x02" if narrow else b"\x04") + coders()[0].compress((ids.astype("<u2") if narrow else ids.astype("<u4")).tobytes())
 
 
 def unpack(body: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(body[1:]), dtype="<u2" if body[:1] == b"\x02" else "<u4").astype("<u4")
+    return np.frombuffer(coders()[1].decompress(body[1:]), dtype="<u2" if body[:1] == b"\x02" else "<u4").astype("<u4")
 
 
 def chunks_of(ids: np.ndarray) -> list[np.ndarray]:
@@ -174,12 +179,18 @@ def read_checked(spark: SparkSession, path: str) -> DataFrame:
 
     def uses(batches):
         for b in batches:
+            roots, digests, after, count, whole = [], [], [np.zeros(0, np.int64)], [], []
             for root, n, names, sizes in zip(b["key"], b["n"], b["body"], b["sizes"], strict=True):
                 parts = [bytes(names[i : i + 16]) for i in range(0, len(names), 16)]
                 size = np.frombuffer(sizes, dtype="<u4").astype(np.int64)
                 if merkle_root(parts) != bytes(root) or size.sum() != n:
                     raise ValueError(f"recipe {bytes(root).hex()} is damaged")
-                yield pd.DataFrame({"root": root, "digest": parts, "after": 4 * (n - np.cumsum(size)), "parts": len(parts), "n": n})
+                roots += [root] * len(parts)
+                digests += parts
+                after.append(4 * (n - np.cumsum(size)))
+                count += [len(parts)] * len(parts)
+                whole += [n] * len(parts)
+            yield pd.DataFrame({"root": roots, "digest": digests, "after": np.concatenate(after), "parts": count, "n": whole})
 
     def shifted(batches):
         for b in batches:
