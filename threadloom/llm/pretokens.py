@@ -2,7 +2,8 @@
 
 A text is cut at single spaces. Such a cut never falls inside a match of the pattern, unless the space
 stands between white space (or at the end after white space); texts with that are matched as a whole.
-Between cuts the same pieces come again and again, so the bytes of their ids are kept, in a bounded cache.
+Between cuts the same pieces come again and again, so the bytes of their ids are kept, in a bounded cache. A
+batch is cut and its distinct pieces are found by Arrow, and the texts' bytes are gathered by numpy.
 """
 
 from __future__ import annotations
@@ -11,7 +12,10 @@ import gc
 import re
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 PATTERN = regex.compile(public_tokenizers.PATTERN)
@@ -26,27 +30,51 @@ def matches(text: str) -> list[str]:
     return PATTERN.findall(text)
 
 
-def _piece_words(piece: str) -> list[str]:
-    """The matches within a space and what follows it up to the next space."""
-    if piece.isalpha():
-        return [" " + piece]
-    if piece[-1:] in _PLAIN_END and piece[:-1].isalpha():
-        return [" " + piece[:-1], piece[-1]]
-    return PATTERN.findall(" " + piece)
-
-
 class PieceCache:
-    """Bytes of the ids of whole texts, from a function that gives the bytes of many matches at once."""
+    """Bytes of the ids of whole texts, from a function that gives the bytes (4 or a multiple for each match) of many matches at once."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 400_000):
         self.encode, self.limit = encode, limit
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
-    def _learn(self, words: Iterable[str], once: dict[str, bytes]) -> None:
-        new = sorted({w for w in words if w not in self.words})
+    def _words(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Bytes of matches."""
+        wanted = set(words)
+        out = {w: self.words[w] for w in wanted if w in self.words}
+        new = [w for w in wanted if w not in out]
         for w, b in zip(new, self.encode(new), strict=True):
-            (self.words if len(w) <= LONGEST_KEPT else once)[w] = b
+            out[w] = b
+            if len(w) <= LONGEST_KEPT:
+                self.words[w] = b
+        return out
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Bytes of distinct pieces, each with the space before it."""
+        kept = self.pieces
+        stems, ended, other = set(), [], []
+        for p in pieces:
+            if p in kept:
+                continue
+            if p.isalpha():
+                stems.add(p)
+            elif p[-1:] in _PLAIN_END and p[:-1].isalpha():
+                ended.append(p)
+                if p[:-1] not in kept:
+                    stems.add(p[:-1])
+            else:
+                other.append(p)
+        new = list(stems)
+        fresh = dict(zip(new, self.encode([" " + p for p in new]), strict=True))
+        split = {p: matches(" " + p) for p in other}
+        word = self._words([*_PLAIN_END, *(w for ws in split.values() for w in ws)])
+        for p in ended:
+            fresh[p] = (fresh[p[:-1]] if p[:-1] in fresh else kept[p[:-1]]) + word[p[-1]]
+        for p, ws in split.items():
+            fresh[p] = b"".join([word[w] for w in ws])
+        out = [fresh[p] if p in fresh else kept[p] for p in pieces]
+        kept.update((p, b) for p, b in fresh.items() if len(p) <= LONGEST_KEPT)
+        return out
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """The bytes of the ids of each text."""
@@ -63,28 +91,30 @@ class PieceCache:
             self.words.clear()
         if len(self.pieces) > self.limit:
             self.pieces.clear()
-        cut = [None if _UNSAFE.search(t) else t.split(" ") for t in texts]
-        missing: set[str] = set()
-        for parts in cut:
-            if parts:
-                missing.update(parts[1:])
-        missing.difference_update(self.pieces.keys() & missing)
-        split = {p: _piece_words(p) for p in missing}
-        firsts = [matches(t) if parts is None else matches(parts[0]) for t, parts in zip(texts, cut, strict=True)]
-        once: dict[str, bytes] = {}
-        self._learn((w for ws in (*split.values(), *firsts) for w in ws), once)
-        get = lambda w: self.words[w] if w in self.words else once[w]
-        local: dict[str, bytes] = {}
-        for p, ws in split.items():
-            (self.pieces if len(p) <= LONGEST_KEPT else local)[p] = b"".join(map(get, ws))
-        pieces = self.pieces
-        out = []
-        for parts, first in zip(cut, firsts, strict=True):
-            head = b"".join(map(get, first))
-            if parts is None:
-                out.append(head)
-            elif local:
-                out.append(head + b"".join([pieces[p] if p in pieces else local[p] for p in parts[1:]]))
-            else:
-                out.append(head + b"".join(map(pieces.__getitem__, parts[1:])))
+        safe = [i for i, t in enumerate(texts) if not _UNSAFE.search(t)]
+        parts = pc.split_pattern(pa.array([texts[i] for i in safe], type=pa.large_string()), " ")
+        flat, offsets = parts.flatten(), np.asarray(parts.offsets, dtype=np.int64)
+        first = np.zeros(len(flat), dtype=bool)
+        first[offsets[:-1]] = True
+        heads = texts.copy()
+        for i, t in zip(safe, flat.filter(pa.array(first)).to_pylist(), strict=True):
+            heads[i] = t
+        split = [matches(t) for t in heads]
+        word = self._words(w for ws in split for w in ws)
+        out = [b"".join([word[w] for w in ws]) for ws in split]
+        pieces = flat.filter(pa.array(~first)).dictionary_encode()
+        if len(pieces):
+            table = self._pieces(pieces.dictionary.to_pylist())
+            sizes = np.array([len(b) // 4 for b in table], dtype=np.int64)
+            starts = np.cumsum(sizes) - sizes
+            code = np.asarray(pieces.indices)
+            ends = np.cumsum(sizes[code])
+            ids = np.frombuffer(b"".join(table), dtype="<u4")
+            kind = np.int32 if max(ends[-1], len(ids)) < 1 << 31 else np.int64
+            place = np.repeat((starts[code] - ends + sizes[code]).astype(kind), sizes[code])
+            place += np.arange(ends[-1], dtype=kind)
+            ids = ids[place]
+            places = np.r_[0, ends][offsets - np.arange(len(offsets))]
+            for i, s, e in zip(safe, places[:-1].tolist(), places[1:].tolist(), strict=True):
+                out[i] += ids[s:e].tobytes()
         return out

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -40,11 +41,18 @@ def tokenizer(path: str):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
-    letters = dict(enumerate(byte_letters()))
-    model, special = whole.model, {t.content: i for i, t in whole.get_added_tokens_decoder().items()}
+    letters = np.array([ord(c) for c in byte_letters()], dtype="<u4")
+    letters[0xFF] = ord(" ")  # no byte of UTF-8, and no letter of a byte: it stands between words
+    tokenize, special = whole.model.tokenize, {t.content: i for i, t in whole.get_added_tokens_decoder().items()}
 
     def encode(words: list[str]) -> list[bytes]:
-        return [np.array([t.id for t in model.tokenize(w.encode().decode("latin-1").translate(letters))], dtype="<u4").tobytes() for w in words]
+        if not words:
+            return []
+        written = letters[np.frombuffer(b"\xff".join([w.encode() for w in words]), dtype=np.uint8)].tobytes().decode("utf-32-le").split(" ")
+        ids = [[t.id for t in tokenize(w)] for w in written]
+        data = np.fromiter(chain.from_iterable(ids), dtype="<u4").tobytes()
+        ends = np.cumsum([4 * len(x) for x in ids]).tolist()
+        return [data[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
 
     return special, PieceCache(encode, limit=800_000)
 
