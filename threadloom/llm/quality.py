@@ -60,7 +60,7 @@ def metadata(source: str | None, lang: str | None, n_chars: float | None) -> np.
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1e-3, rounds: int = 300) -> np.ndarray:
     """Weights and the bias last, by accelerated gradient descent."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    x = np.hstack([x, np.ones((len(x), 1))])  # in doubles, as the weights are: else every product converts it again
     weight = np.ones(len(y)) if weight is None else weight
     weight = weight / weight.sum()
     step = 1.0 / (0.25 * float((np.square(x).sum(1) * weight).sum()) + l2)
