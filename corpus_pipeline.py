@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import bpe, langid, mixing, quality, simhash
+from threadloom.llm import bpe, langid, mixing, near_copies, quality
 from threadloom.llm.common import new_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,8 +25,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.drop_near_duplicates(docs).select(COLUMNS)
+    """One document of each group stays: those linked by five-word shingles of Jaccard similarity 0.8 or more."""
+    return near_copies.drop_near_copies(docs).select(COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
