@@ -53,3 +53,10 @@ def test_group_of_many_near_copies(spark):
 
 def test_no_documents(spark):
     assert near_copies.drop_near_copies(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_repeated_id_with_different_texts(spark):
+    rows = [(1, "first text of these"), (7, "first text of these"), (7, "another one"), (8, "another one"), (9, "alone a"), (9, "alone b")]
+    df = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], SCHEMA)
+    got = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
+    assert got == [(1, "first text of these"), (7, "another one"), (9, "alone a"), (9, "alone b")]
