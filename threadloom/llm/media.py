@@ -1,7 +1,7 @@
 """Media payloads in content-defined chunks, each stored once.
 
 A payload is cut by a rolling gear hash. A first pass counts chunk digests; those that occur more than once
-go into a Bloom filter of fixed size. A second pass writes each document with the chunks that no other has
+go into a Bloom filter sized by their number, up to a bound. A second pass writes each document with the chunks that no other has
 in its own row, with no exchange, and sends only chunks that may be shared to a store of their own, one row
 a digest. A chunk that the filter takes for shared without need is stored there too, once: nothing is lost
 when the filter is full, only more is exchanged. A document is read back by its ordered chunk list: its own
@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +30,10 @@ from threadloom.llm.common import bound_batches, materialise, new_path
 FRAME, FILL = 576, 255
 #: A chunk ends at one byte in 2**BITS, is LEAST to MOST bytes long.
 BITS, LEAST, MOST = 11, 256, 16384
-#: Bits of the filter of shared digests (8 MB), and how many each digest sets.
-FILTER_BITS, HASHES = 1 << 26, 4
+#: Bits of the filter for each shared digest, about, and how many each digest sets; the filter's least and most bits (64 MB).
+#: Beyond 2**25 shared digests the filter takes more chunks for shared, which are then exchanged: more disk, the same result.
+BITS_EACH, HASHES, FILTER_LEAST, FILTER_MOST = 16, 4, 1 << 20, 1 << 29
+OWN = "n_bytes long, sha string, names binary, sizes binary, common binary, shares boolean, body binary"
 FEATURES = "payload_sha256 string, payload_bytes long, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -51,13 +54,13 @@ def chunks_of(payload: bytes) -> list[bytes]:
     return [payload[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
 
 
-def places(digests: list[bytes]) -> np.ndarray:
-    """Bits of the filter, a row for each digest."""
-    return np.frombuffer(b"".join(digests), dtype="<u4").reshape(-1, HASHES).astype(np.int64) % FILTER_BITS
+def places(digests: list[bytes], size: int) -> np.ndarray:
+    """Bits of a filter of that many (a power of two), a row for each digest."""
+    return np.frombuffer(b"".join(digests), dtype="<u4").reshape(-1, HASHES).astype(np.int64) & (size - 1)
 
 
 def in_filter(words: np.ndarray, digests: list[bytes]) -> np.ndarray:
-    at = places(digests)
+    at = places(digests, 64 * len(words))
     return ((words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1)
 
 
@@ -91,36 +94,49 @@ def shared_filter(docs: DataFrame) -> np.ndarray:
         for b in batches:
             yield pd.DataFrame({"digest": [digest(c) for t in b["text"] for c in chunks_of(payload_of(t)[0])]})
 
+    repeated = docs.select("text").mapInPandas(names, "digest binary").groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
+    repeated = materialise(repeated, "repeated-digests")
+    size = FILTER_LEAST
+    while size < min(FILTER_MOST, BITS_EACH * repeated.count()):
+        size *= 2
+
     def bits(batches):
         for b in batches:
-            at = places([bytes(d) for d in b["digest"]]).ravel() if len(b) else np.zeros(0, np.int64)
+            at = places([bytes(d) for d in b["digest"]], size).ravel() if len(b) else np.zeros(0, np.int64)
             yield pd.DataFrame({"word": at >> 6, "bits": (np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64)})
 
-    repeated = docs.select("text").mapInPandas(names, "digest binary").groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
     got = repeated.mapInPandas(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    words = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    words = np.zeros(size // 64, dtype=np.uint64)
     words[got["word"].to_numpy(dtype=np.int64)] = got["bits"].to_numpy(dtype=np.int64).view(np.uint64)
     return words
 
 
+def beside(b: pa.RecordBatch, kept: list[str], rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Columns of a batch, untouched, and beside them those of ``rows``."""
+    types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+    new = [c.split() for c in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(new)
+    return pa.RecordBatch.from_arrays([*map(b.column, kept), *[pa.array(x, types[t]) for x, (_, t) in zip(columns, new, strict=True)]], [*kept, *[name for name, _ in new]])
+
+
 def write_media(docs: DataFrame, path: str | None = None) -> str:
     """Writes own/ (a row for each row of ``docs``) and shared/ (a row for each digest), gives the folder."""
     spark = docs.sparkSession
     bound_batches(spark)
     path = path or new_path(spark, "media")
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     words = spark.sparkContext.broadcast(shared_filter(docs))
 
     def own(batches):
         for b in batches:
             out = []
-            for t in b["text"]:
+            for t in b.column("text").to_pylist():
                 payload, n = payload_of(t)
                 parts = chunks_of(payload)
                 names = [digest(c) for c in parts]
                 common = in_filter(words.value, names)
                 out.append((n, hashlib.sha256(payload).hexdigest(), b"".join(names), np.array([len(c) for c in parts], dtype="<u4").tobytes(), np.packbits(common).tobytes(), bool(common.any()), b"".join(c for c, s in zip(parts, common, strict=True) if not s)))
-            yield pd.concat([b[["doc_id"]].reset_index(drop=True).astype("Int64"), pd.DataFrame(out, columns=["n_bytes", "sha", "names", "sizes", "common", "shares", "body"])], axis=1)
+            yield beside(b, ["doc_id"], out, OWN)
 
     def shared(batches):
         sent: set[bytes] = set()
@@ -137,7 +153,7 @@ def write_media(docs: DataFrame, path: str | None = None) -> str:
                 sent.clear()
             yield pd.DataFrame(out, columns=["digest", "body"])
 
-    docs.mapInPandas(own, "doc_id long, n_bytes long, sha string, names binary, sizes binary, common binary, shares boolean, body binary").write.option("compression", "zstd").parquet(f"{path}/own")
+    docs.mapInArrow(own, f"doc_id long, {OWN}").write.option("compression", "zstd").parquet(f"{path}/own")
     docs.mapInPandas(shared, "digest binary, body binary").repartition("digest").dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{path}/shared")
     return path
 
@@ -161,13 +177,12 @@ def read_media(spark: SparkSession, path: str) -> DataFrame:
     def alone(batches):
         for b in batches:
             out = []
-            for names, sizes, common, body, sha in zip(b["names"], b["sizes"], b["common"], b["body"], b["sha"], strict=True):
-                parts = split_row(names, sizes, common, body)
-                out.append(describe([p[2] for p in parts], [p[1] for p in parts], sha))
-            kept = b[["doc_id", "n_bytes"]].reset_index(drop=True).astype("Int64")
-            yield pd.concat([kept, pd.DataFrame(out, columns=[c.split()[0] for c in FEATURES.split(", ")])], axis=1)
+            for row in zip(*[b.column(c).to_pylist() for c in ("names", "sizes", "common", "body", "sha")], strict=True):
+                parts = split_row(*row[:4])
+                out.append(describe([p[2] for p in parts], [p[1] for p in parts], row[4]))
+            yield beside(b, ["doc_id", "n_bytes"], out, FEATURES)
 
-    single = own.filter("not shares").mapInPandas(alone, f"doc_id long, n_bytes long, {FEATURES}")
+    single = own.filter("not shares").mapInArrow(alone, f"doc_id long, n_bytes long, {FEATURES}")
     sharing = own.filter("shares")
     chunks = shared_chunks(spark, path, sharing)
 
