@@ -105,6 +105,41 @@ def test_token_store_notices_damage(spark, docs):
         token_store.read_checked(spark, path).collect()
 
 
+def rewritten(df, path):
+    simhash.materialise(df, "rewritten").write.mode("overwrite").parquet(path)
+
+
+@pytest.mark.parametrize("damage", ["swapped", "dropped", "renamed", "manifest"])
+def test_token_store_notices_altered_documents(spark, docs, damage):
+    path = token_store.write_store(docs.limit(20))
+    at = f"{path}/documents"
+    d = spark.read.parquet(at)
+    part = d.first()["part"]
+    two = [r["doc_id"] for r in d.orderBy("doc_id").limit(2).collect()]
+    if damage == "swapped":
+        roots = {r["doc_id"]: r["root"] for r in d.collect()}
+        swap = F.when(F.col("doc_id") == two[0], F.lit(roots[two[1]])).when(F.col("doc_id") == two[1], F.lit(roots[two[0]])).otherwise(F.col("root"))
+        rewritten(d.withColumn("root", swap), at)
+    elif damage == "dropped":
+        rewritten(d.filter(F.col("doc_id") != two[1]), at)
+    elif damage == "renamed":
+        rewritten(d.withColumn("doc_id", F.when(F.col("doc_id") == two[1], 10**12).otherwise(F.col("doc_id"))), at)
+    else:
+        m = spark.read.parquet(f"{path}/manifest").filter(F.col("part") != part)
+        rewritten(m, f"{path}/manifest")
+        rewritten(d.filter(F.col("part") != part), at)
+    with pytest.raises(ValueError, match="manifest"):
+        token_store.read_checked(spark, path)
+
+
+def test_ids_above_doubles_beside_a_null(spark):
+    big = 2**53 + 1
+    d = spark.createDataFrame([(None, "a b"), (big, "c d"), (big + 1, "c d")], "doc_id long, text string").coalesce(1)
+    path = token_store.write_store(d)
+    for got in (token_store.read_checked(spark, path), token_store.read_ids(spark, path), media.media_column(d), bpe.round_trip(d), token_count.count_tokens(d), simhash.near_duplicates(d)):
+        assert sorted(str(r["doc_id"]) for r in got.collect()) == sorted(["None", str(big), str(big + 1)])
+
+
 @given(st.lists(st.binary(max_size=50), min_size=1, max_size=6))
 @settings(deadline=None)
 def test_crc_of_parts(parts):
@@ -180,6 +215,32 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 102: 100}
 
 
+def plain_media(payload):
+    """The stored form and the features by plain loops: a gear hash carried from byte to byte."""
+    gear, z = [], 0
+    for i in range(1, 257):
+        z = i * 0x9E3779B97F4A7C15 % 2**64
+        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+        gear.append((z ^ z >> 31) % 2**16)
+    ends, last, h, n = [], 0, 0, len(payload)
+    for i, c in enumerate(payload, 1):
+        h = (2 * h + gear[c]) % 2**16  # what left the window of 16 is shifted out
+        if i - last == 16384 and i < n:
+            ends.append(i)
+            last = i
+        if h >> 5 == 0 and 256 <= i - last and i < n:
+            ends.append(i)
+            last = i
+    form = b"TLMD" + (len(ends) + 1).to_bytes(4, "little") + n.to_bytes(8, "little")
+    for s, e in zip([0, *ends], [*ends, n], strict=True):
+        form += (e - s).to_bytes(4, "little") + hashlib.blake2b(payload[s:e], digest_size=16).digest() + payload[s:e]
+    mean = sum(payload) / n
+    deviation = max(0.0, sum(c * c for c in payload) / n - mean * mean) ** 0.5
+    bands = ",".join(str(sum(c // 32 == k for c in payload)) for k in range(8))
+    return hashlib.sha256(form).hexdigest(), len(form), f"chunks={len(ends) + 1};mean={mean:.4f};deviation={deviation:.4f};bands={bands}"
+
+
 def test_media(odd, docs, none):
     for d in (odd, docs):
         got = {}
@@ -190,7 +251,7 @@ def test_media(odd, docs, none):
             payload = data + b"\xff" * (max(1, -(-len(data) // 576)) * 576 - len(data))
             g = got[r["doc_id"]][0]
             assert (g["n_bytes"], g["payload_bytes"], g["payload_sha256"], g["tail_crc32"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
-            assert (g["media_sha256"], g["media_bytes"], g["feature"]) == (lambda f: (f[4], f[3], f[5]))(media.describe(media.chunks_of(payload), [chunking.digest(c) for c in media.chunks_of(payload)]))
+            assert (g["media_sha256"], g["media_bytes"], g["feature"]) == plain_media(payload)
         assert sum(map(len, got.values())) == d.count()
     assert media.media_column(none).count() == 0
 

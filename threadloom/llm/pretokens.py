@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import gc
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -24,6 +24,25 @@ _UNSAFE = re.compile(r" (?<=[\s\x85᠎​] )(?=[\s\x85᠎​]|\Z)")
 _PLAIN_END = frozenset(".,;:!?")
 #: Longer pieces are not kept.
 LONGEST_KEPT = 64
+#: Bytes of Arrow batches that are put together before their distinct pieces are encoded, about.
+SPAN = 16 << 20
+
+
+def spans(batches: Iterable[pa.RecordBatch], size: int = SPAN) -> Iterator[pa.Table]:
+    """The batches put together into tables of at least ``size`` bytes, but for the last."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= size:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def texts_of(column: pa.ChunkedArray) -> list[str]:
+    """A column of texts as strings, null as an empty one."""
+    return pc.fill_null(column.cast(pa.large_string()), "").to_numpy().tolist()
 
 
 def matches(text: str) -> list[str]:
@@ -52,16 +71,17 @@ class PieceCache:
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """Bytes of distinct pieces, each with the space before it."""
         kept = self.pieces
+        found = list(map(kept.get, pieces))
         stems, ended, other = set(), [], []
-        for p in pieces:
-            if p in kept:
+        for p, b in zip(pieces, found):
+            if b is not None:
                 continue
             if p.isalpha():
                 stems.add(p)
-            elif p[-1:] in _PLAIN_END and p[:-1].isalpha():
+            elif p[-1:] in _PLAIN_END and (stem := p[:-1]).isalpha():
                 ended.append(p)
-                if p[:-1] not in kept:
-                    stems.add(p[:-1])
+                if stem not in kept:
+                    stems.add(stem)
             else:
                 other.append(p)
         new = list(stems)
@@ -69,10 +89,11 @@ class PieceCache:
         split = {p: matches(" " + p) for p in other}
         word = self._words([*_PLAIN_END, *(w for ws in split.values() for w in ws)])
         for p in ended:
-            fresh[p] = (fresh[p[:-1]] if p[:-1] in fresh else kept[p[:-1]]) + word[p[-1]]
+            stem = p[:-1]
+            fresh[p] = (fresh[stem] if stem in fresh else kept[stem]) + word[p[-1]]
         for p, ws in split.items():
             fresh[p] = b"".join([word[w] for w in ws])
-        out = [fresh[p] if p in fresh else kept[p] for p in pieces]
+        out = [fresh[p] if b is None else b for p, b in zip(pieces, found)]
         kept.update((p, b) for p, b in fresh.items() if len(p) <= LONGEST_KEPT)
         return out
 
@@ -97,14 +118,14 @@ class PieceCache:
         first = np.zeros(len(flat), dtype=bool)
         first[offsets[:-1]] = True
         heads = texts.copy()
-        for i, t in zip(safe, flat.filter(pa.array(first)).to_pylist(), strict=True):
+        for i, t in zip(safe, flat.filter(pa.array(first)).to_numpy(zero_copy_only=False).tolist(), strict=True):
             heads[i] = t
         split = [matches(t) for t in heads]
         word = self._words(w for ws in split for w in ws)
         out = [b"".join([word[w] for w in ws]) for ws in split]
         pieces = flat.filter(pa.array(~first)).dictionary_encode()
         if len(pieces):
-            table = self._pieces(pieces.dictionary.to_pylist())
+            table = self._pieces(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
             sizes = np.array([len(b) // 4 for b in table], dtype=np.int64)
             starts = np.cumsum(sizes) - sizes
             code = np.asarray(pieces.indices)

@@ -6,12 +6,17 @@ the same ids share a recipe. The store is a folder of Parquet files on shared st
 
     chunks/kind=chunk    key (digest), body (ids, 16 bits each where they fit, compressed), n
     chunks/kind=recipe   key (Merkle root), digests, sizes, n
-    documents            doc_id, root, n, part, place: in ascending doc_id order, file after file
-    manifest             part, n_documents, n_tokens, root (Merkle root of the part's documents)
+    documents            doc_id, root, n, part, row, place: in ascending doc_id order, a file for each part
+    manifest             part, n_documents, n_tokens, root (Merkle root of the part's documents, by blocks)
+    store                n_parts, root (Merkle root of the parts)
+
+Reading checks all of it from the leaves up: ids against a chunk's digest, chunks against a recipe's root,
+documents against their part's root in the manifest, the manifest against the store's root.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from functools import lru_cache
 from itertools import chain
@@ -19,20 +24,22 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm.chunking import crc_shift, cuts, digest, gear_table, merkle_root
 from threadloom.llm.common import bound_batches, materialise, new_path
-from threadloom.llm.pretokens import PieceCache
+from threadloom.llm.pretokens import PieceCache, spans, texts_of
 from threadloom.llm.token_count import byte_letters
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
 #: A chunk ends at one place in 2**BITS, is LEAST to MOST ids long.
 BITS, LEAST, MOST = 10, 128, 8192
+#: Documents in a block: a block's root is over its documents, a part's over its blocks, the store's over its parts.
+BLOCK = 4096
 
 
 @lru_cache(maxsize=2)
@@ -99,61 +106,82 @@ def chunks_of(ids: np.ndarray) -> list[np.ndarray]:
 def write_store(docs: DataFrame, path: str | None = None, vocabulary: str | None = None) -> str:
     """Encodes every document (a null text as an empty one) and its end, writes the store, gives its path.
 
-    One exchange carries chunks, recipes and documents, each by its own key; map tasks send a chunk once.
-    Documents with a null doc_id come first; repeated rows are documents each. Only doc_id and text are read.
+    The ids are those of the library's ``encode_batch_fast``: its model encodes each distinct match of its
+    byte-level pattern once. One exchange carries chunks, recipes and documents, each by its own key; map
+    tasks send a chunk once. Documents with a null doc_id come first; repeated rows are documents each. Only
+    doc_id and text are read.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     path, vocabulary = path or new_path(spark, "token-store"), vocabulary or public_tokenizers.path(VOCABULARY)
+    names = ["kind", "key", "n", "body", "sizes", "doc_id", "serial"]
+    types = [pa.string(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
 
     def rows(batches):
         from pyspark import TaskContext
 
         sent: set[bytes] = set()
         serial = TaskContext.get().partitionId() << 40
-        for b in batches:
+        for b in spans(batches):
             out: list[tuple] = []
-            for doc_id, ids in zip(b["doc_id"].tolist(), encode_texts(b["text"].tolist(), vocabulary), strict=True):
+            for doc_id, ids in zip(b["doc_id"].to_pylist(), encode_texts(texts_of(b["text"]), vocabulary), strict=True):
                 parts = chunks_of(np.append(ids, np.uint32(END)).astype("<u4"))
-                names = [digest(p.tobytes()) for p in parts]
-                root = merkle_root(names)
-                for name, p in zip(names, parts, strict=True):
+                digests = [digest(p.tobytes()) for p in parts]
+                root = merkle_root(digests)
+                for name, p in zip(digests, parts, strict=True):
                     if name not in sent:
                         sent.add(name)
                         out.append(("chunk", name, len(p), pack(p), None, None, None))
                 if root not in sent:
                     sent.add(root)
-                    out.append(("recipe", root, len(ids) + 1, b"".join(names), np.array([len(p) for p in parts], dtype="<u4").tobytes(), None, None))
+                    out.append(("recipe", root, len(ids) + 1, b"".join(digests), np.array([len(p) for p in parts], dtype="<u4").tobytes(), None, None))
                 serial += 1
-                out.append(("document", root + serial.to_bytes(8, "big"), len(ids) + 1, None, None, None if doc_id is None or doc_id != doc_id else int(doc_id), serial))
+                out.append(("document", root + serial.to_bytes(8, "big"), len(ids) + 1, None, None, doc_id, serial))
             if len(sent) > 500_000:
                 sent.clear()
-            yield pd.DataFrame(out, columns=["kind", "key", "n", "body", "sizes", "doc_id", "serial"]).astype({"doc_id": "Int64", "serial": "Int64"})
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     schema = "kind string, key binary, n long, body binary, sizes binary, doc_id long, serial long"
-    coded = docs.select("doc_id", "text").mapInPandas(rows, schema)
+    coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, schema)
     coded.repartition("kind", "key").dropDuplicates(["kind", "key"]).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/chunks")
     order_documents(spark, path)
     return path
 
 
 def order_documents(spark: SparkSession, path: str) -> None:
-    """Writes documents/ in ascending doc_id order and manifest/."""
+    """Writes documents/ in ascending doc_id order, manifest/ and store/."""
     found = read_kind(spark, path, "document").select("doc_id", "serial", F.substring("key", 1, 16).alias("root"), "n")
     ordered = found.repartitionByRange("doc_id", "serial").sortWithinPartitions("doc_id", "serial")
 
     def placed(batches):
         from pyspark import TaskContext
 
-        part, place = TaskContext.get().partitionId(), 0
+        part, row, place = TaskContext.get().partitionId(), 0, 0
         for b in batches:
-            n = b["n"].to_numpy(dtype=np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "root": b["root"], "n": n, "part": part, "place": place + np.cumsum(n) - n})
-            place += int(n.sum())
+            n = b.column("n").to_numpy()
+            after = place + np.cumsum(n)
+            columns = [b.column("doc_id"), b.column("root"), b.column("n"), pa.array(np.full(len(n), part, np.int32)), pa.array(row + np.arange(len(n))), pa.array(after - n)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "root", "n", "part", "row", "place"])
+            row, place = row + len(n), int(after[-1]) if len(n) else place
+
+    ordered.select("doc_id", "root", "n").mapInArrow(placed, "doc_id long, root binary, n long, part int, row long, place long").write.parquet(f"{path}/documents")
+    parts_of(spark.read.parquet(f"{path}/documents")).write.parquet(f"{path}/manifest")
+    m = spark.read.parquet(f"{path}/manifest")
+    m.agg(F.count(F.lit(1)).alias("n_parts"), joined_root("part", "root").alias("root")).write.parquet(f"{path}/store")
+
+
+def joined_root(place: str, root: str) -> Column:
+    """The root over ``root`` in the order of ``place``."""
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place, root))), lambda x: x[root]), ","), 256)
 
-    ordered.mapInPandas(placed, "doc_id long, root binary, n long, part int, place long").write.parquet(f"{path}/documents")
-    documents = spark.read.parquet(f"{path}/documents")
-    documents.groupBy("part").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n").alias("n_tokens"), F.bit_xor(F.xxhash64("doc_id", "root", "place")).alias("check")).write.parquet(f"{path}/manifest")
+
+def parts_of(documents: DataFrame) -> DataFrame:
+    """part, n_documents, n_tokens, root: a Merkle tree over blocks of BLOCK documents, a row a part. No group is larger than a block or the blocks of a part."""
+    leaf = F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.hex("root"), "n", "place"), 256)
+    blocks = documents.select("part", F.floor(F.col("row") / BLOCK).alias("block"), "row", "n", leaf.alias("leaf"))
+    blocks = blocks.groupBy("part", "block").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), joined_root("row", "leaf").alias("leaf"))
+    return blocks.groupBy("part").agg(F.sum("k").alias("n_documents"), F.sum("n").alias("n_tokens"), joined_root("block", "leaf").alias("root"))
 
 
 def read_kind(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -162,9 +190,21 @@ def read_kind(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def starts(spark: SparkSession, path: str) -> DataFrame:
-    """part, the ids of all parts before it. One row for each file of documents."""
-    m = spark.read.parquet(f"{path}/manifest")
-    return m.select("part", (F.sum("n_tokens").over(W.orderBy("part")) - F.col("n_tokens")).alias("before"))
+    """part, the ids of all parts before it, after the check of documents/ against manifest/ and store/.
+
+    The driver holds one row a part: at most the partitions of one exchange.
+    """
+    order = lambda df: df.orderBy("part").collect()
+    written, store = order(spark.read.parquet(f"{path}/manifest")), spark.read.parquet(f"{path}/store").first()
+    if order(parts_of(spark.read.parquet(f"{path}/documents"))) != written:
+        raise ValueError("the documents are not those of the manifest")
+    if store is None or store["n_parts"] != len(written) or store["root"] != hashlib.sha256(",".join(r["root"] for r in written).encode()).hexdigest():
+        raise ValueError("the manifest is damaged")
+    before, rows = 0, []
+    for r in written:
+        rows.append((r["part"], before))
+        before += r["n_tokens"]
+    return spark.createDataFrame(rows, "part int, before long")
 
 
 def read_checked(spark: SparkSession, path: str) -> DataFrame:
@@ -172,7 +212,7 @@ def read_checked(spark: SparkSession, path: str) -> DataFrame:
 
     Each chunk is read once: its ids are unpacked, their digest must be its name, and their CRC-32 is taken.
     A recipe's Merkle root must be its name, its chunks must all be there, and its CRC-32 is put together
-    from theirs, so no ids are sent anywhere. A failed check stops the query.
+    from theirs, so no ids are sent anywhere. The documents must be those of the manifest. A failed check stops the query.
     """
 
     def verified(batches):
@@ -216,7 +256,7 @@ def read_checked(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, ids (array<int>): the documents themselves."""
+    """doc_id, start, ids (array<int>): the documents themselves, a row a row written; the manifest is checked."""
 
     def uses(batches):
         for b in batches:
