@@ -1,8 +1,10 @@
-"""Byte-level BPE encoding and decoding by replaying the merges over all distinct pre-tokens of a batch.
+"""Byte-level BPE encoding and decoding by replaying the merges over all distinct pre-tokens of a span of texts.
 
-The pre-tokens stand in one linked list of symbols. An inverted index leads from each pair that has a rank
-to its places. Ranks are taken in ascending order; a merge touches its two symbols and their neighbours
-only, whose new pairs enter the index. Where a new pair has a lower rank than the one being applied, the
+A span is what a task reads, in pieces of ``pretokens.SPAN`` bytes: the pre-tokens of the whole corpus would
+have to be exchanged, and their ids sent back to every text, for one replay of all. The pre-tokens stand in
+one linked list of symbols. An inverted index leads from each pair of tokens that has a rank to its places.
+Ranks are taken in ascending order; a merge touches its two symbols and their neighbours only, whose new
+pairs enter the index. Where a new pair has a lower rank than the one being applied, the
 order within that pre-token would no longer be the sequential one, so it is encoded on its own, exactly.
 The same holds for a new pair of the rank being applied.
 """
@@ -17,11 +19,12 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import bound_batches
-from threadloom.llm.pretokens import PieceCache
+from threadloom.llm.pretokens import PieceCache, spans, texts_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -89,66 +92,67 @@ def replay(ranks: Ranks, words: list[bytes]) -> list[list[int]]:
         ids.append(GAP)
     n = len(ids)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    index: dict[int, list[int]] = {}
-
-    def merged(a: int, b: int) -> int:
-        found = pairs.get(a << 32 | b)
-        return pair(a, b) if found is None else found
+    index: dict[int, list[int]] = {}  # the places of each pair, by its left symbol
+    of_rank: dict[int, list[int]] = {}  # the pairs of each rank: more than one can make the same token
+    left: list[int] = []
+
+    def enter(key: int, r: int, place: int) -> None:
+        index[key] = [place]
+        if r in of_rank:
+            of_rank[r].append(key)
+        else:
+            of_rank[r] = [key]
+            heapq.heappush(left, r)
 
     for i, (a, b) in enumerate(zip(ids, ids[1:])):
         if a != GAP != b:
-            r = pairs.get(a << 32 | b)
-            if r is None:
-                r = pair(a, b)
-            if r >= 0:
-                if r in index:
-                    index[r].append(i)
-                else:
-                    index[r] = [i]
-    left = list(index)
-    heapq.heapify(left)
+            key = a << 32 | b
+            if key in index:
+                index[key].append(i)
+            elif (r := pair(a, b)) >= 0:
+                enter(key, r, i)
     astray: list[int] = []
     while left:
         r = heapq.heappop(left)
-        places = index.pop(r)
-        places.sort()
-        for i in places:
-            a = ids[i]
-            if a < 0:
-                continue
-            j = after[i]
-            b = ids[j]
-            if b < 0 or pairs.get(a << 32 | b, r) != r or merged(a, b) != r:
+        keys = of_rank.pop(r)
+        if len(keys) == 1:
+            places, a, b = index.pop(keys[0]), keys[0] >> 32, keys[0] & 0xFFFFFFFF
+            places.sort()
+            todo_here = ((i, a, b) for i in places)
+        else:
+            todo_here = iter(sorted((i, key >> 32, key & 0xFFFFFFFF) for key in keys for i in index.pop(key)))
+        for i, a, b in todo_here:
+            if ids[i] != a or ids[j := after[i]] != b:
                 continue
             ids[i], ids[j] = r, GONE
             k = after[i] = after[j]
             before[k] = i
             c = ids[k]
             if c >= 0:
-                q = pairs.get(r << 32 | c)
+                key = r << 32 | c
+                q = pairs.get(key)
                 if q is None:
                     q = pair(r, c)
                 if q >= 0:
                     if q <= r:
                         astray.append(i)
-                    elif q in index:
-                        index[q].append(i)
+                    elif key in index:
+                        index[key].append(i)
                     else:
-                        index[q] = [i]
-                        heapq.heappush(left, q)
+                        enter(key, q, i)
             h = before[i]
             if h >= 0 and (c := ids[h]) >= 0:
-                q = pairs.get(c << 32 | r)
+                key = c << 32 | r
+                q = pairs.get(key)
                 if q is None:
                     q = pair(c, r)
                 if q >= 0:
                     if q <= r:
                         astray.append(i)
-                    elif q in index:
-                        index[q].append(h)
+                    elif key in index:
+                        index[key].append(h)
                     else:
-                        index[q] = [h]
-                        heapq.heappush(left, q)
+                        enter(key, q, h)
     out: list[list[int]] = [[] if r is None else [r] for r in whole]
     for k, s, e in zip(todo, starts, [*starts, n][1:], strict=True):
         out[k] = [x for x in ids[s:e] if x >= 0]
@@ -179,7 +183,7 @@ def decode_ids(ids: bytes, path: str) -> bytes:
 
 
 def encode_column(text: Column, path: str | None = None) -> Column:
-    """A text's ids, array<int>."""
+    """A text's ids, array<int>; a null text has those of an empty one, none."""
     path = path or public_tokenizers.path(VOCABULARY)
 
     @F.pandas_udf("array<int>")
@@ -208,11 +212,10 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path(VOCABULARY)
     bound_batches(docs.sparkSession)
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digests(text: pd.Series) -> pd.DataFrame:
-        rows = []
-        for ids in encode_texts(text.tolist(), path):
-            rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decode_ids(ids, path)).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+    def digests(batches):
+        for b in spans(batches):
+            ids = encode_texts(texts_of(b["text"]), path)
+            columns = [[len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(decode_ids(x, path)).hexdigest() for x in ids]]
+            yield pa.RecordBatch.from_arrays([b["doc_id"].combine_chunks(), *map(pa.array, columns)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", digests.asNondeterministic()(F.coalesce(F.col("text"), F.lit(""))).alias("__d")).select("doc_id", "__d.*")
+    return docs.select("doc_id", "text").mapInArrow(digests, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
