@@ -74,6 +74,8 @@ def test_model_calls_retry(spark):
 def test_rate_window_over_the_hour(spark):
     rows = spark.createDataFrame([(1, 3590), (2, 3610), (3, 3660)], "id long, s long")
     assert {r["id"]: r["in_window"] for r in model_calls.rate_window(rows, "s", 1).collect()} == {1: 1, 2: 2, 3: 2}
+    far = spark.createDataFrame([(1, 10), (2, 5000), (3, 7205), (4, 14000)], "id long, s long")
+    assert {r["id"]: r["in_window"] for r in model_calls.rate_window(far, "s", 1, 7200).collect()} == {1: 1, 2: 2, 3: 3, 4: 2}
 
 
 def test_stream_counts_equal_batch(spark, small, tmp_path):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,11 +13,11 @@ STOP_WORDS = (
     "a an and are as at be but by for from has have i in is it its of on or that the this to was were will with you your my me we our not no do "
     "does did can could would should have had im ive dont cant just get got so if what when how why"
 ).split()
-#: Patterns for lower-cased texts. A phrase pattern stands between characters that are no word characters.
+#: Patterns for lower-cased texts. A phrase pattern with \\b has its own bounds, any other stands between characters that are no word characters.
 URL = r"https?://[^ \t\n\r\f]+|www\.[^ \t\n\r\f]+"
 MENTION = r"@[a-z0-9_]+"
-DEFLECT = r"dms?|d\.m\.?|pm us|inbox us|message us privately|direct message|private message"
-THANKS = r"thanks|thank you|cheers|appreciate it|sorted|fixed it|that worked|perfect|awesome|legend"
+DEFLECT = r"(?:\bdms?\b|\bd\.?m\.?\b|direct message|private message|\bpm us\b|inbox us|message us privately)"
+THANKS = r"\b(?:thank(?:s| you)|cheers|appreciate it|sorted|fixed it|that worked|perfect|awesome|legend)\b"
 SENSITIVE = (
     r"lawsuit|sue|suing|legal action|attorney|lawyer|court|subpoena|fraud|fraudulent|unauthorou?ised|stolen|identity theft|hacked|discriminat[a-z0-9_]*|racist|"
     r"harass[a-z0-9_]*|threat[a-z0-9_]*|died|death|passed away|funeral|hospital|medical|disabilit[a-z0-9_]*|self.?harm|suicid[a-z0-9_]*|kill myself|data breach|gdpr|"
@@ -42,7 +43,10 @@ SECRETS = {
 
 
 def between_words(pattern: str) -> str:
-    return f"(^|[^a-z0-9_])({pattern})([^a-z0-9_]|$)"
+    r"""The pattern between characters that are no word characters; where it has \b of its own, these are written out instead, as engines read \b differently."""
+    if r"\b" not in pattern:
+        return f"(^|[^a-z0-9_])({pattern})([^a-z0-9_]|$)"
+    return re.sub(r"\\b(?=[a-z0-9(])", "(?:^|[^a-z0-9_])", pattern).replace(r"\b", "(?:[^a-z0-9_]|$)")
 
 
 def has(text: Column, pattern: str) -> Column:

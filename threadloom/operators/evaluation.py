@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.functions.stats import ratio, wilson
 from threadloom.functions.text import bucket
+from threadloom.session import settle
 
+#: Where a 32-bit hash becomes a Poisson count of mean 1: one more for each bound that it reaches.
+POISSON = tuple(int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 2**32) for k in range(12))
 #: Fixed value: pairs below which agreement is not reported.
 MIN_PAIRS = 8
 
@@ -43,38 +48,50 @@ def coverage_risk(rows: DataFrame, steps: int = 20) -> DataFrame:
 
 
 def bootstrap_mean(rows: DataFrame, value: str, order: str, n_boot: int, seed: str = "boot") -> DataFrame:
-    """One row: the mean of a value, and the 2.5 and 97.5 percentiles of its mean over resamples drawn by hash."""
-    numbered = rows.select(F.col(value).cast("double").alias("v"), order).withColumn("i", F.row_number().over(W.orderBy(order)) - 1)
-    n = rows.count()
-    draws = rows.sparkSession.range(n_boot).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))).alias("k"))
-    draws = draws.withColumn("i", (bucket(F.col("b").cast("string"), F.col("k").cast("string"), seed) % max(1, n)).cast("int"))
-    means = draws.join(numbered.select("i", "v"), "i").groupBy("b").agg(F.avg("v").alias("m"))
+    """One row: the mean of a value, and the 2.5 and 97.5 percentiles of its mean over resamples.
+
+    In a resample each row (named by ``order``) comes as often as a Poisson count of mean 1 says that is
+    hashed from its name: one pass, whose aggregate has ``n_boot`` groups and a map-side part.
+    """
+    drawn = rows.select(F.col(value).cast("double").alias("v"), F.col(order).cast("string").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
+    u = bucket(F.col("b").cast("string"), F.col("i"), seed)
+    times = sum((F.when(u >= t, 1).otherwise(0) for t in POISSON[1:]), F.when(u >= POISSON[0], 1).otherwise(0))
+    drawn = drawn.withColumn("n", times)
+    means = drawn.groupBy("b").agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("m"))
     ends = means.agg(F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"), F.count(F.lit(1)).alias("n_boot"))
     return rows.agg(F.round(F.avg(F.col(value).cast("double")), 6).alias("mean")).crossJoin(ends)
 
 
-def average_rank(column: str, *partition: str) -> Column:
-    """Ranks in which equal values share their mean rank."""
-    return F.rank().over(W.partitionBy(*partition).orderBy(column)) + (F.count(F.lit(1)).over(W.partitionBy(*partition, column)) - 1) / 2.0
+def average_rank(cells: DataFrame, by: str, column: str, name: str) -> DataFrame:
+    """by, column, name: the mean rank that equal values share, from counted cells (by, ..., c). One window row a value."""
+    n = cells.groupBy(by, column).agg(F.sum("c").alias("n"))
+    below = F.sum("n").over(W.partitionBy(by).orderBy(column)) - F.col("n")
+    return n.select(by, column, (below + (F.col("n") + 1) / 2.0).alias(name))
 
 
 def agreement(pairs: DataFrame, by: str = "dimension") -> DataFrame:
     """Per dimension of pairs (human, judge): status, Spearman, plain and quadratic kappa, exact, within one, mean distance, bias (judge - human).
 
     Weights go by the place of a rating in the sorted union of ratings that occur. Kappas are null where chance leaves no disagreement.
+    Everything comes from one count of the pairs by their ratings, which are few.
     """
-    ranked = pairs.withColumns({"rh": average_rank("human", by), "rj": average_rank("judge", by)})
-    plain = ranked.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"), F.when((F.stddev("rh") > 0) & (F.stddev("rj") > 0), F.corr("rh", "rj")).alias("spearman"), F.avg((F.col("human") == F.col("judge")).cast("double")).alias("exact"),
-        F.avg((F.abs(F.col("human") - F.col("judge")) <= 1).cast("double")).alias("within_one"), F.avg(F.abs(F.col("human") - F.col("judge"))).alias("distance"), F.avg(F.col("judge") - F.col("human")).alias("bias"),
+    cells = settle(pairs.groupBy(by, "human", "judge").agg(F.count(F.lit(1)).alias("c")), "cells")
+    ranked = cells.join(average_rank(cells, by, "human", "x"), [by, "human"]).join(average_rank(cells, by, "judge", "y"), [by, "judge"])
+    c, x, y, gap = F.col("c"), F.col("x"), F.col("y"), F.col("judge") - F.col("human")
+    total = lambda v: F.sum(c * v)
+    mean = lambda v: F.sum(c * v) / F.sum(c)
+    centred = ranked.join(ranked.groupBy(by).agg(mean(x).alias("mx"), mean(y).alias("my")), by).withColumns({"x": x - F.col("mx"), "y": y - F.col("my")})
+    plain = centred.groupBy(by).agg(
+        F.sum("c").alias("n"), F.when((total(x * x) > 0) & (total(y * y) > 0), total(x * y) / F.sqrt(total(x * x) * total(y * y))).alias("spearman"), mean((gap == 0).cast("double")).alias("exact"),
+        mean((F.abs(gap) <= 1).cast("double")).alias("within_one"), mean(F.abs(gap)).alias("distance"), mean(gap).alias("bias"),
     )
-    used = pairs.select(by, F.col("human").alias("r")).unionByName(pairs.select(by, F.col("judge").alias("r"))).distinct().withColumn("i", F.row_number().over(W.partitionBy(by).orderBy("r")))
-    count = lambda c, i, n: pairs.groupBy(by, F.col(c).alias("r")).agg(F.count(F.lit(1)).cast("double").alias(n)).join(used, [by, "r"]).select(by, F.col("i").alias(i), n)
+    used = cells.select(by, F.col("human").alias("r")).unionByName(cells.select(by, F.col("judge").alias("r"))).distinct().withColumn("i", F.row_number().over(W.partitionBy(by).orderBy("r")))
+    count = lambda c, i, n: cells.groupBy(by, F.col(c).alias("r")).agg(F.sum("c").cast("double").alias(n)).join(used, [by, "r"]).select(by, F.col("i").alias(i), n)
     h, j = count("human", "i", "nh"), count("judge", "j", "nj")
     # Ratings are few: the product of both margins has at most ratings squared rows a dimension.
     chance = h.join(j, by).groupBy(by).agg(F.sum(F.col("nh") * F.col("nj") * F.pow(F.col("i") - F.col("j"), 2)).alias("ew"), F.sum(F.when(F.col("i") == F.col("j"), F.col("nh") * F.col("nj")).otherwise(0.0)).alias("e"))
     at = lambda c, i: used.select(by, F.col("r").alias(c), F.col("i").alias(i))
-    seen = pairs.join(at("human", "i"), [by, "human"]).join(at("judge", "j"), [by, "judge"]).groupBy(by).agg(F.sum(F.pow(F.col("i") - F.col("j"), 2)).alias("ow"))
+    seen = cells.join(at("human", "i"), [by, "human"]).join(at("judge", "j"), [by, "judge"]).groupBy(by).agg(F.sum(F.col("c") * F.pow(F.col("i") - F.col("j"), 2)).alias("ow"))
     r6 = lambda c, name: F.round(c, 6).alias(name)
     n = F.col("n")
     all_ = plain.join(chance, by).join(seen, by)
@@ -82,14 +99,22 @@ def agreement(pairs: DataFrame, by: str = "dimension") -> DataFrame:
 
 
 def failures(rows: DataFrame, top: int = 5) -> DataFrame:
-    """mode, n, pct, examples: the commonest failures of rows (id, gold, pred, gold_escalate, pred_escalate, has_evidence)."""
+    """mode, n, pct, examples: the commonest failures of rows (id, gold, pred, gold_escalate, pred_escalate, has_evidence, unsupported, judge_failed, groundedness, parse_failed).
+
+    A row can show several modes; a judge's columns are null for rows that were not judged.
+    """
     wrong = F.when(F.col("gold") != F.col("pred"), F.concat(F.lit("intent confusion: "), F.col("gold").cast("string"), F.lit(" -> "), F.col("pred").cast("string")))
     unsafe = F.when(F.col("gold_escalate") & ~F.col("pred_escalate"), "unsafe auto-handle")
     over = F.when(~F.col("gold_escalate") & F.col("pred_escalate"), "over-escalation")
     bare = F.when(~F.col("has_evidence"), "no historical precedent retrieved")
-    modes = rows.select("id", F.explode(F.array_compact(F.array(wrong, unsafe, over, bare))).alias("mode"))
+    claims = F.when(F.col("unsupported") == 1, "unsupported claim in draft")
+    weak = F.when(~F.col("judge_failed") & (F.col("groundedness") <= 2), "poorly grounded reply")
+    broken = F.when(F.col("parse_failed"), "model output failed to parse")
+    modes = rows.select("id", F.explode(F.array_compact(F.array(wrong, unsafe, over, claims, weak, broken, bare))).alias("mode"))
     n = rows.agg(F.count(F.lit(1)).alias("n_rows"))
-    ids = modes.withColumn("k", F.row_number().over(W.partitionBy("mode").orderBy("id"))).groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("k") <= 2, F.col("id")))).cast("array<string>"), ",").alias("examples"))
+    two = modes.withColumn("k", F.row_number().over(W.partitionBy("mode").orderBy("id"))).filter("k <= 2")  # a limit by group, taken before the exchange too
+    two = two.groupBy("mode").agg(F.array_join(F.array_sort(F.collect_list("id")).cast("array<string>"), ",").alias("examples"))
+    ids = modes.groupBy("mode").agg(F.count(F.lit(1)).alias("n")).join(two, "mode")
     ranked = ids.crossJoin(F.broadcast(n)).select("mode", "n", F.round(100.0 * F.col("n") / F.greatest("n_rows", F.lit(1)), 1).alias("pct"), "examples")
     return ranked.orderBy(F.desc("n"), "mode").limit(top)
 

@@ -57,3 +57,10 @@ def keep_first(docs: DataFrame, key: str, *order: str) -> DataFrame:
 
 def keep_last(docs: DataFrame, key: str, *order: str) -> DataFrame:
     return docs.withColumn("__k", F.row_number().over(W.partitionBy(key).orderBy(*[F.desc(c) for c in order]))).filter("__k = 1").drop("__k")
+
+
+def dedupe_and_twins(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """key, split, has_twin: the smallest key of each text in its split, and whether the history has the same text. ``text`` may be a digest."""
+    one = docs.groupBy("split", text).agg(F.min(key).alias(key))
+    older = one.filter("split = 'history'").select(text, F.lit(True).alias("__twin"))
+    return one.join(older, text, "left").select(key, "split", ((F.col("split") != "history") & F.coalesce("__twin", F.lit(False))).alias("has_twin"))

@@ -31,11 +31,12 @@ def thread_depths(parents: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     nodes = settle(parents.select("id", "parent"), "parents")
     done = nodes.filter("id = parent").select("id", F.col("id").alias("root_id"), F.lit(0).cast("long").alias("depth"))
     active = nodes.filter("id <> parent").select("id", F.col("parent").alias("at"), F.lit(1).cast("long").alias("steps"))
+    reached = done
     for _ in range(math.ceil(math.log2(max_depth)) + 1):
-        # A pointer that has come to a root, or to a message whose root is known, is finished.
-        known = done.select(F.col("id").alias("at"), F.col("root_id"), "depth")
-        moved = active.join(known, "at", "left")
-        reached = settle(moved.filter("root_id is not null").select("id", "root_id", (F.col("steps") + F.col("depth")).alias("depth")), "reached")
+        # A pointer that has come to a message whose root is known is finished. Only what the last round finished
+        # (roots at first) can be new to it: had an older one been its target, it would have ended before.
+        moved = settle(active.join(reached.select(F.col("id").alias("at"), "root_id", "depth"), "at", "left"), "moved")
+        reached = moved.filter("root_id is not null").select("id", "root_id", (F.col("steps") + F.col("depth")).alias("depth"))
         left = moved.filter("root_id is null").select("id", "at", "steps")
         jump = left.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("steps").alias("more"))
         # A pointer whose own target was finished in this round waits for the next one.

@@ -58,11 +58,11 @@ def parse_reply(reply: Column) -> Column:
 
 
 def rate_window(calls: DataFrame, at: str, limit: int, seconds: int = 60) -> DataFrame:
-    """calls with those of the last ``seconds`` (itself included) and whether they are over the limit, by hour so that one task never gets all.
+    """calls with those of the last ``seconds`` (itself included) and whether they are over the limit, by blocks of time so that one task never gets all.
 
-    The hour before is read along, so windows that reach over the hour are whole.
+    A block is an hour, or the window if that is longer. Each call also stands in the next block, so windows that reach back over its start are whole.
     """
-    hour = F.floor(F.col(at) / 3600)
+    hour = F.floor(F.col(at) / max(3600, seconds))
     both = calls.withColumn("__hour", F.explode(F.array(hour, hour + 1))).withColumn("__own", F.col("__hour") == hour)
     w = W.partitionBy("__hour").orderBy(at).rangeBetween(-seconds, 0)
     return both.withColumn("in_window", F.count(F.lit(1)).over(w)).filter("__own").withColumn("over", F.col("in_window") > limit).drop("__hour", "__own")

@@ -11,13 +11,33 @@ from threadloom.functions import text as X
 REASONS = ("sensitive_topic", "account_action_required", "unknown_intent", "low_quality_input", "low_confidence", "classifier_disagreement", "insufficient_evidence", "conflicting_precedents", "ungrounded_draft", "multi_intent", "intent_not_auto_allowed")
 HANDLED = ("confident_intent", "strong_retrieval_support", "no_account_action_required")
 ASKS = {
-    "sensitive_topic": "Someone will follow up with you directly on this.",
     "account_action_required": "They'll need to verify your account before making any changes.",
+    "sensitive_topic": "Someone will follow up with you directly on this.",
     "unknown_intent": "Could you tell us a little more about what you need?",
     "low_quality_input": "Could you share a few more details so we can help?",
     "insufficient_evidence": "They'll be able to give you a definitive answer.",
+    "conflicting_precedents": "They'll confirm the right answer for your situation.",
+    "ungrounded_draft": "They'll be able to give you a definitive answer.",
+    "low_confidence": "Could you tell us a little more about the issue?",
+    "classifier_disagreement": "Could you tell us a little more about the issue?",
+    "multi_intent": "It looks like there are a couple of things here \u2014 a colleague will pick both up.",
+    "intent_not_auto_allowed": "They'll be able to help with this directly.",
+}
+DEFAULT_ASK = "They'll follow up with you shortly."
+#: Fixed value: the reply to a message that is passed on.
+HOLDING = "Thanks for reaching out \u2014 I'm passing this to a member of our team who can look into it properly. %s"
+#: What a reason says, where no number belongs in it.
+DETAILS = {
+    "sensitive_topic": "message contains legal, financial-harm, safety or medical language",
+    "account_action_required": "request needs a change to the customer's account, which this system must never perform",
+    "unknown_intent": "message does not fall into any intent the taxonomy covers",
+    "classifier_disagreement": "the LLM and the distilled TF-IDF classifier chose different intents",
+    "conflicting_precedents": "retrieved historical replies disagree with each other",
+    "ungrounded_draft": "the draft could not be fully supported by the retrieved evidence",
+    "multi_intent": "message contains more than one distinct request",
 }
-DEFAULT_ASK = "A colleague will follow up."
+#: Words that a message needs at least.
+LEAST_WORDS = 4
 CONFLICT = 0.45 * 0.35
 
 
@@ -34,11 +54,34 @@ def evidence_conflict(texts: Column, threshold: float = CONFLICT) -> Column:
     return F.coalesce(mean < threshold, F.lit(False))
 
 
+def holding_reply(code: Column) -> Column:
+    """What a customer is told while a person looks: the template with what to ask for a reason, or the default."""
+    asks = F.create_map(*[F.lit(x) for kv in ASKS.items() for x in kv])
+    return F.format_string(HOLDING, F.coalesce(F.try_element_at(asks, code), F.lit(DEFAULT_ASK)))
+
+
+def reason(primary: Column, strong: Column, n_evidence: Column, tau: float, theta: float) -> Column:
+    """The decision in words, with its numbers; ``primary`` is null for what is handled. Reads intent and conf."""
+    conf = F.format_string("%.2f", F.col("conf"))
+    said = F.create_map(*[F.lit(x) for kv in DETAILS.items() for x in kv])
+    numbers = {
+        "low_quality_input": F.lit(f"message has fewer than {LEAST_WORDS} content words, too little to act on"),
+        "low_confidence": F.concat(F.lit("intent confidence "), conf, F.lit(f" is below the {tau} threshold")),
+        "insufficient_evidence": F.concat(F.lit("only "), strong.cast("string"), F.lit(" of "), n_evidence.cast("string"), F.lit(f" retrieved precedents scored above {theta}; the brand has no consistent historical response")),
+        "intent_not_auto_allowed": F.concat(F.lit("intent '"), F.col("intent"), F.lit("' is not on the auto-handle allowlist")),
+    }
+    detail = F.try_element_at(said, primary)
+    for code, text in numbers.items():
+        detail = F.when(primary == code, text).otherwise(detail)
+    handled = F.concat(F.lit("auto_handle \u2014 confident_intent: '"), F.col("intent"), F.lit("' at "), conf, F.lit(f" (>= {tau}), "), strong.cast("string"), F.lit(f" historical precedents above similarity {theta}, and no account action or sensitive content detected."))
+    return F.when(primary.isNull(), handled).otherwise(F.concat(F.lit("escalate \u2014 "), primary, F.lit(": "), detail, F.lit(". Needs a human.")))
+
+
 def decide(rows: DataFrame, tau: float, theta: float, least_strong: int, allowed: list[str], sensitive: str = X.SENSITIVE, account: str = X.ACCOUNT_ACTION, unknown: str = "other") -> DataFrame:
-    """decision, reason_codes, primary and ask for rows (text, intent, conf, agrees, scores, conflict, sufficient, unsupported, multi)."""
+    """decision, reason_codes, primary, ask and reason for rows (text, intent, conf, agrees, scores, conflict, sufficient, unsupported, multi)."""
     strong = F.size(F.filter("scores", lambda s: s >= theta))
     flags = {
-        "sensitive_topic": X.has(F.col("text"), sensitive), "account_action_required": X.has(F.col("text"), account), "unknown_intent": F.col("intent") == unknown, "low_quality_input": X.low_quality(F.col("text")),
+        "sensitive_topic": X.has(F.col("text"), sensitive), "account_action_required": X.has(F.col("text"), account), "unknown_intent": F.col("intent") == unknown, "low_quality_input": X.low_quality(F.col("text"), LEAST_WORDS),
         "low_confidence": F.col("conf") < tau, "classifier_disagreement": ~F.col("agrees"), "insufficient_evidence": strong < least_strong, "conflicting_precedents": F.col("conflict"),
         "ungrounded_draft": ~F.col("sufficient") | (F.col("unsupported") > 0), "multi_intent": F.col("multi"), "intent_not_auto_allowed": ~F.col("intent").isin(allowed) & (F.col("intent") != unknown),
     }
@@ -47,4 +90,4 @@ def decide(rows: DataFrame, tau: float, theta: float, least_strong: int, allowed
     none = F.size("codes") == 0
     asks = F.create_map(*[F.lit(x) for kv in ASKS.items() for x in kv])
     primary = F.when(~none, F.col("codes")[0])
-    return out.withColumns({"decision": F.when(none, "auto_handle").otherwise("escalate"), "reason_codes": F.array_join(F.when(none, F.array(*map(F.lit, HANDLED))).otherwise(F.col("codes")), ","), "primary": primary, "ask": F.when(~none, F.coalesce(F.try_element_at(asks, primary), F.lit(DEFAULT_ASK)))}).drop("codes")
+    return out.withColumns({"decision": F.when(none, "auto_handle").otherwise("escalate"), "reason_codes": F.array_join(F.when(none, F.array(*map(F.lit, HANDLED))).otherwise(F.col("codes")), ","), "primary": primary, "ask": F.when(~none, F.coalesce(F.try_element_at(asks, primary), F.lit(DEFAULT_ASK))), "reason": reason(primary, strong, F.size("scores"), tau, theta)}).drop("codes")

@@ -23,7 +23,7 @@ def text_quality(docs: DataFrame, text: str = "text") -> DataFrame:
 def duplicates(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """One row: repeated ids, normalised texts seen more than once, rows they hold."""
     ids = docs.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(key).alias("n_ids"))
-    norm = docs.groupBy(X.normalise(F.col(text)).alias("norm")).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("n_texts"), F.count_if(F.expr("n > 1")).alias("n_repeated_texts"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("n_rows_repeated"))
+    norm = docs.groupBy(F.md5(X.normalise(F.col(text))).alias("norm")).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("n_texts"), F.count_if(F.expr("n > 1")).alias("n_repeated_texts"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("n_rows_repeated"))
     return ids.crossJoin(norm).withColumn("n_repeated_ids", F.col("n_rows") - F.col("n_ids"))
 
 

@@ -2,42 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as X
+from threadloom.session import settle
 
 K1, B = 1.5, 0.75
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """doc_id, at, term, tf, dl of documents (doc_id, at, text)."""
-    words = docs.select("doc_id", "at", X.tokens(F.col("text")).alias("w")).select("doc_id", "at", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    return words.groupBy("doc_id", "at", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+def tokenised(docs: DataFrame) -> DataFrame:
+    """doc_id, at, w, dl (words of w) of documents (doc_id, at, text)."""
+    return docs.select("doc_id", "at", X.tokens(F.col("text")).alias("w")).withColumn("dl", F.size("w"))
 
 
-def term_stats(posts: DataFrame, n_docs: Column | int) -> DataFrame:
-    """term, df, idf."""
-    n = n_docs if isinstance(n_docs, Column) else F.lit(n_docs)
-    return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+def counted(words: DataFrame) -> DataFrame:
+    """doc_id, at, dl, term, tf of (doc_id, at, dl, term)."""
+    return words.groupBy("doc_id", "at", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def corpus_size(docs: DataFrame) -> DataFrame:
-    """One row: documents, mean length in tokens."""
-    return docs.select(F.size(X.tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+def term_stats(docs: DataFrame) -> DataFrame:
+    """term, df, idf of documents: a term counts once in a document, so nothing but terms is exchanged."""
+    w = docs.select(F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n = docs.agg(F.count(F.lit(1)).alias("n"))
+    return w.crossJoin(F.broadcast(n)).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
 def scores(docs: DataFrame, queries: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     """item_id, doc_id, score of every document older than the query that shares a term with it.
 
+    Scores are rounded to four digits here, before the floor and the ranks, so that equal documents tie
+    whatever the order of the sum; ties then go to the smaller doc_id.
+
     queries: item_id, at (null: no limit of time), text; a document without a time is never older. Query
     terms count once. The postings are cut down to the queries' terms before anything is summed.
     """
     terms = queries.select("item_id", F.col("at").alias("q_at"), F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
-    posts = postings(docs)
-    wanted = posts.join(terms.select("term").distinct(), "term", "left_semi")
-    size = corpus_size(docs)
+    words = settle(tokenised(docs), "tokens")
+    size = words.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    wanted = counted(words.select("doc_id", "at", "dl", F.explode("w").alias("term")).join(terms.select("term").distinct(), "term", "left_semi"))
     idf = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(size)).withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weighted = wanted.join(idf, "term")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

@@ -30,9 +30,9 @@ def stratified(rows: DataFrame, key: str, group: str, strata: list[tuple[str, in
     A row is drawn once: each step takes from what the earlier ones left.
     """
     quotas = allocate(rows, group, core)
-    pool = settle(rows.join(F.broadcast(quotas), group).withColumn("__h", bucket(F.col(key).cast("string"), seed)), "pool")
+    pool = settle(rows.join(quotas, group).withColumn("__h", bucket(F.col(key).cast("string"), seed)), "pool")
     order = W.partitionBy(group).orderBy("__h", key)
-    taken = [settle(pool.withColumn("__k", F.row_number().over(order)).filter("__k <= quota").select(key, F.lit("core").alias("stratum")), "drawn")]
+    taken = [settle(pool.withColumn("__k", F.row_number().over(order)).filter((F.col("__k") <= core) & (F.col("__k") <= F.col("quota"))).select(key, F.lit("core").alias("stratum")), "drawn")]
     for name, n, wanted in strata:
         left = pool.join(reduce(DataFrame.unionByName, taken).select(key), key, "left_anti").filter(wanted)
         taken.append(settle(left.orderBy("__h", key).limit(n).select(key, F.lit(name).alias("stratum")), "drawn"))

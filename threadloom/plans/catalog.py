@@ -40,7 +40,10 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.table(spark, sf_dir, "benchmark").select("item_id", (1500 * (F.col("item_id") + 1)).alias("at"), "text")
+    """The benchmark's items, spread over the documents' time: the last one may look at all of them."""
+    b = tables.table(spark, sf_dir, "benchmark")
+    ends = tables.table(spark, sf_dir, "documents").agg(((F.max("doc_id") + 1) * 60).alias("__end")).crossJoin(b.agg((F.max("item_id") + 1).alias("__items")))  # one row
+    return b.crossJoin(F.broadcast(ends)).select("item_id", F.expr("(item_id + 1) * __end div __items").alias("at"), "text")
 
 
 def hits(spark: SparkSession, sf_dir: str, k: int, floor: float = 0.0) -> DataFrame:
@@ -218,13 +221,15 @@ def split_leak_checks(spark, sf_dir):
     return one.unionByName(two).unionByName(both.agg((F.count(F.lit(1)) == 0).alias("holds")).select(F.lit("history and gold_pool disjoint").alias("name"), "holds"))
 
 
-@query(f"""WITH n AS (SELECT doc_id, {D.norm("text")} AS k FROM documents), p AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id) AS r FROM n WHERE doc_id % 10 = 9 AND k <> '')
-SELECT doc_id, k IN (SELECT k FROM n WHERE doc_id % 10 < 7) AS has_twin FROM p WHERE r = 1""")
+@query(f"""WITH t AS (SELECT quantile_cont(doc_id * 60, 0.7) AS t1, quantile_cont(doc_id * 60, 0.9) AS t2 FROM documents),
+n AS (SELECT doc_id, CASE WHEN doc_id * 60 < t1 THEN 'history' WHEN doc_id * 60 < t2 THEN 'dev' ELSE 'gold_pool' END AS split, {D.norm("text")} AS k FROM documents, t),
+p AS (SELECT split, k, min(doc_id) AS doc_id FROM n WHERE k <> '' GROUP BY split, k)
+SELECT doc_id, split, split <> 'history' AND k IN (SELECT k FROM n WHERE split = 'history') AS has_twin FROM p""")
 def dedupe_and_twins(spark, sf_dir):
-    n = tables.table(spark, sf_dir, "documents").select("doc_id", X.normalise(F.col("text")).alias("k"))
-    pool = exchanges.keep_first(n.filter("doc_id % 10 = 9 and k <> ''"), "k", "doc_id")
-    history = n.filter("doc_id % 10 < 7").select("k").distinct().withColumn("twin", F.lit(True))
-    return pool.join(history, "k", "left").select("doc_id", F.coalesce("twin", F.lit(False)).alias("has_twin"))
+    at = F.col("doc_id") * 60
+    n = tables.table(spark, sf_dir, "documents").select("doc_id", at.alias("lo"), at.alias("hi"), X.normalise(F.col("text")).alias("k")).filter("k <> ''")
+    split = exchanges.split_by_time(tables.table(spark, sf_dir, "documents").select("doc_id", at.alias("lo"), at.alias("hi"))).select("doc_id", "split")
+    return exchanges.dedupe_and_twins(n.join(split, "doc_id").withColumn("k", F.md5("k")), "k", "doc_id")
 
 
 @query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
@@ -239,9 +244,7 @@ def upsert_latest(spark, sf_dir):
 
 @query(f"WITH {D.BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_term_stats(spark, sf_dir):
-    d = corpus(spark, sf_dir)
-    df = retrieval.postings(d).groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(d.agg(F.count(F.lit(1)).alias("n"))))
-    return df.select("term", "df", F.round(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
+    return retrieval.term_stats(corpus(spark, sf_dir)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {D.BM25} SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 5")
@@ -268,7 +271,7 @@ def retrieval_precision(spark, sf_dir):
     return q.agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("p"), 6).alias("p_at_5"), F.round(F.avg("rr"), 6).alias("mrr"))
 
 
-@query(f"""WITH h AS (SELECT item_id, doc_id, {D.bucket("item_id", "doc_id", "'placebo'")} AS h FROM benchmark JOIN documents ON doc_id * 60 < 1500 * (item_id + 1)),
+@query(f"""WITH h AS (SELECT item_id, doc_id, {D.bucket("item_id", "doc_id", "'placebo'")} AS h FROM benchmark JOIN documents ON doc_id * 60 < ((item_id + 1) * (SELECT (max(doc_id) + 1) * 60 FROM documents)) // (SELECT max(item_id) + 1 FROM benchmark)),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY h, doc_id) AS rank FROM h) SELECT item_id, doc_id, rank::INTEGER AS rank FROM r WHERE rank <= 5""")
 def random_evidence(spark, sf_dir):
     return retrieval.sampled_evidence(corpus(spark, sf_dir), items(spark, sf_dir), 5, "placebo")
@@ -377,8 +380,8 @@ def coverage_risk_curve(spark, sf_dir):
     return evaluation.coverage_risk(tables.gold(spark, sf_dir))
 
 
-@query(f"""WITH {D.GOLD}, r AS (SELECT (gold = pred)::INTEGER AS v, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM gold), n AS (SELECT count(*) AS n FROM r),
-d AS (SELECT b, ({D.bucket("b", "k", "'boot'")}) % n AS i FROM n, unnest(range(200)) AS x(b), unnest(range(n)) AS y(k)), m AS (SELECT b, avg(v) AS m FROM d JOIN r USING (i) GROUP BY b)
+@query(f"""WITH {D.GOLD}, r AS (SELECT (gold = pred)::INTEGER AS v, doc_id FROM gold),
+d AS (SELECT b, v, len(list_filter({list(evaluation.POISSON)}, lambda t: t <= {D.bucket("b", "doc_id", "'boot'")})) AS n FROM r, unnest(range(200)) AS x(b)), m AS (SELECT b, sum(n * v) / sum(n) AS m FROM d GROUP BY b)
 SELECT (SELECT round(avg(v), 6) FROM r) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, count(*) AS n_boot FROM m""")
 def bootstrap_accuracy(spark, sf_dir):
     g = tables.gold(spark, sf_dir).withColumn("right", F.col("gold") == F.col("pred"))
@@ -420,11 +423,14 @@ def judge_aggregate(spark, sf_dir):
 
 
 @query(f"""WITH {D.GOLD}, m AS (SELECT doc_id AS id, unnest(list_filter([CASE WHEN gold <> pred THEN 'intent confusion: ' || gold || ' -> ' || pred END, CASE WHEN gold_escalate AND NOT pred_escalate THEN 'unsafe auto-handle' END,
-CASE WHEN NOT gold_escalate AND pred_escalate THEN 'over-escalation' END, CASE WHEN n_chars % 19 = 0 THEN 'no historical precedent retrieved' END], lambda x: x IS NOT NULL)) AS mode FROM gold),
+CASE WHEN NOT gold_escalate AND pred_escalate THEN 'over-escalation' END, CASE WHEN n_chars % 3 = 0 THEN 'unsupported claim in draft' END, CASE WHEN n_chars % 17 <> 0 AND 1 + n_chars % 5 <= 2 THEN 'poorly grounded reply' END,
+CASE WHEN n_chars % 29 = 0 THEN 'model output failed to parse' END, CASE WHEN n_chars % 19 = 0 THEN 'no historical precedent retrieved' END], lambda x: x IS NOT NULL)) AS mode FROM gold),
 k AS (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY id) AS k FROM m)
 SELECT mode, count(*) AS n, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM gold), 1) AS pct, string_agg(id::VARCHAR, ',' ORDER BY id) FILTER (k <= 2) AS examples FROM k GROUP BY mode ORDER BY n DESC, mode LIMIT 5""")
 def failure_modes(spark, sf_dir):
-    return evaluation.failures(tables.gold(spark, sf_dir).withColumn("id", F.col("doc_id")).withColumn("has_evidence", F.col("n_chars") % 19 != 0))
+    n = F.col("n_chars")
+    judge = {"unsupported": (n % 3 == 0).cast("int"), "judge_failed": n % 17 == 0, "groundedness": 1 + n % 5, "parse_failed": n % 29 == 0}
+    return evaluation.failures(tables.gold(spark, sf_dir).withColumns({"id": F.col("doc_id"), "has_evidence": n % 19 != 0, **judge}))
 
 
 @query("SELECT count(*) AS n, round(median(abs(value)), 6) AS median_s, round(avg(abs(value)), 6) AS mean_s, round(avg((abs(value) < 2)::INTEGER), 6) AS under_2s, round(avg((event_id % 4 = 0)::INTEGER), 6) AS override_share FROM events")
@@ -472,7 +478,7 @@ def json_repair(spark, sf_dir):
     return r.select("id", "p.intent", "p.confidence", "p.failed")
 
 
-_PROMPT = "'Message: ' || substr(text, 1, 200) || chr(10) || 'Return ONLY JSON with intent and confidence.'"
+_PROMPT = "'Message: ' || substr(text, 1, 1500) || chr(10) || 'Return ONLY JSON with intent and confidence.'"
 _H = "('0x' || substr(sha256(prompt), 1, 8))::BIGINT"
 _MOCK = f"""p AS (SELECT item_id, {_PROMPT} AS prompt FROM benchmark), k AS (SELECT item_id, sha256('mock' || chr(10) || prompt) AS key, {_H} AS h FROM p)"""
 INTENTS = ["good", "fine", "bad"]
@@ -480,7 +486,7 @@ INTENTS = ["good", "fine", "bad"]
 
 def prompts(spark, sf_dir):
     b = tables.table(spark, sf_dir, "benchmark")
-    p = b.select("item_id", "text", F.format_string(model_calls.PROMPT, F.substring("text", 1, 200)).alias("prompt"))
+    p = b.select("item_id", "text", F.format_string(model_calls.PROMPT, F.substring("text", 1, 1500)).alias("prompt"))
     return p.withColumn("key", model_calls.cache_key("mock", F.col("prompt")))
 
 
@@ -549,10 +555,10 @@ def kmeans_clusters(spark, sf_dir):
     return c.withColumn("k", F.row_number().over(order)).withColumn("size", F.count(F.lit(1)).over(W.partitionBy("cluster"))).filter("k <= 12").groupBy("cluster", "size").agg(F.array_join(F.array_sort(F.collect_list("vec_id")).cast("array<string>"), ",").alias("members"))
 
 
-@query("SELECT doc_id, substr(text, 1, 200) AS text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+@query("SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def targeted_fetch(spark, sf_dir):
     wanted = tables.table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
-    return tables.table(spark, sf_dir, "documents").select("doc_id", "text").join(wanted, "doc_id", "left_semi").select("doc_id", F.substring("text", 1, 200).alias("text"))
+    return tables.table(spark, sf_dir, "documents").select("doc_id", "text").join(wanted, "doc_id", "left_semi")
 
 
 @query(f"WITH {D.MSGS} SELECT tweet_id, coalesce(parent_id, -1) AS parent_id, author, inbound, created_s FROM msgs")

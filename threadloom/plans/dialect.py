@@ -64,9 +64,9 @@ t AS (SELECT quantile_cont(lo, 0.7) AS t1, quantile_cont(lo, 0.9) AS t2 FROM spa
 split AS (SELECT spans.*, CASE WHEN hi < t1 THEN 'history' WHEN lo >= t1 AND hi < t2 THEN 'dev' WHEN lo >= t2 THEN 'gold_pool' ELSE 'straddler' END AS split FROM spans, t)"""
 GOLD = """gold AS (SELECT doc_id, lang, quality * 2 + toxic AS gold, CASE WHEN n_chars % 7 = 0 THEN (quality * 2 + toxic + 1) % 4 WHEN lang = 'es' THEN 2 ELSE quality * 2 + toxic END AS pred,
   round((n_chars % 101) / 100.0::DOUBLE, 2) AS conf, toxic = 1 AS gold_escalate, n_chars % 5 = 0 AS pred_escalate, n_chars FROM documents JOIN labels USING (doc_id))"""
-#: Documents a minute apart, and the benchmark's items as queries that may only look back.
+#: Documents a minute apart, and the benchmark's items, spread over the same time, as queries that may only look back.
 BM25 = f"""docs AS (SELECT doc_id, doc_id * 60 AS tm, text, {tokens('text')} AS w FROM documents),
-items AS (SELECT item_id, 1500 * (item_id + 1) AS tm, text, list_distinct({tokens('text')}) AS w FROM benchmark),
+items AS (SELECT item_id, ((item_id + 1) * (SELECT (max(doc_id) + 1) * 60 FROM documents)) // (SELECT max(item_id) + 1 FROM benchmark) AS tm, text, list_distinct({tokens('text')}) AS w FROM benchmark),
 posts AS (SELECT doc_id, tm, len(w) AS dl, term, count(*) AS tf FROM (SELECT doc_id, tm, w, unnest(w) AS term FROM docs) GROUP BY ALL),
 size AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM docs),
 idf AS (SELECT term, count(*) AS df, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM posts, size GROUP BY term, n),
