@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import re
 import zlib
 
@@ -15,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from threadloom.llm import bpe, chunking, components, langid, license_scan, media, mixing, quality, simhash, token_count, token_store, topk
+from threadloom.llm import bpe, chunking, common, components, langid, license_scan, media, mixing, quality, simhash, token_count, token_store, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_tokens int, score string"
 LONG = "the quick brown fox " * 8000
@@ -165,6 +166,97 @@ def test_quality(spark, small, docs, odd, none):
     assert quality.keep_good(odd, labels).columns == odd.columns
 
 
+def test_classifiers_learn_from_bounded_samples(spark):
+    rows = spark.range(50_000).select(F.lit(8).cast("long").alias("doc_id"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text"))
+    assert common.bounded_sample(rows, 100, 50_000, "s").count() == 100
+    same = spark.range(50_000).select(F.lit(8).cast("long").alias("doc_id"), F.lit("the same").alias("text"))
+    assert common.bounded_sample(same, 100, 50_000, "s").count() <= 1
+    docs = rows.withColumn("lang", F.when(F.pmod(F.xxhash64("text"), F.lit(3)) == 0, "de").otherwise("en"))
+    assert sorted(langid.fit(docs, sample=50).languages) == ["de", "en"]
+
+
+def plain_cosines(train, texts):
+    """Dense TF-IDF vectors of trigrams, hashed as the operator says; the nearest of the given centroids' cosines, by plain loops."""
+
+    def vector(t):
+        data = b"".join(bytes([c]) if c >= 0x80 or 0x61 <= c <= 0x7A else b" " for c in (" " + t.lower() + " ").encode())
+        x = [0.0] * langid.BUCKETS
+        for i in range(len(data) - 2):
+            if data[i : i + 3] != b"   ":
+                x[(int.from_bytes(data[i : i + 3], "big") * 2654435761 & 0xFFFFFFFF) >> 19] += 1
+        return x
+
+    model = langid.train(train)
+    vectors = [vector(t) for t in train["text"]]
+    idf = [math.log((1 + len(vectors)) / (1 + sum(v[j] > 0 for v in vectors))) + 1 for j in range(langid.BUCKETS)]
+    centroids = [[w / i for w, i in zip(c, idf, strict=True)] for c in model.weighted.tolist()]
+    out = []
+    for t in texts:
+        x = [a * b for a, b in zip(vector(t), idf, strict=True)]
+        norm = math.sqrt(sum(a * a for a in x))
+        cosine = [sum(a * b for a, b in zip(c, x, strict=True)) / (norm * math.sqrt(sum(a * a for a in c)) or 1) for c in centroids]
+        best = max(range(len(cosine)), key=cosine.__getitem__)
+        out.append((model.languages[model.owner[best]], min(1.0, max(0.0, cosine[best]))))
+    return model, out
+
+
+def test_langid_equals_dense_cosines_and_rejects_junk(docs):
+    known = docs.filter("lang is not null and text is not null").orderBy("doc_id").select("lang", "text").toPandas()
+    train, rest = known.iloc[:100].reset_index(drop=True), known["text"].iloc[100:130].tolist()
+    model, want = plain_cosines(train, rest)
+    got = [model.predict(t) for t in rest]
+    assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want], atol=1e-4)
+    whole = langid.fit(docs)
+    rng = np.random.default_rng(3)
+    long = [t for t in known["text"] if len(t) > 600]
+    shuffled = ["".join(rng.permutation(list(t))) for t in long]
+    assert np.mean([whole.predict(t)[2] for t in shuffled]) > 0.9 and all(whole.predict(t)[2] for t in ("日本語の文章です " * 40, "Κείμενο στα ελληνικά " * 40, "1234 !!", ""))
+    assert np.mean([whole.predict(t)[2] for t in known["text"]]) < 0.03
+
+
+def plain_cotraining(text, meta, y):
+    """The rounds once more, a document at a time, with weights found by long plain gradient descent."""
+
+    def learn(x, rows, labels):
+        n = [max(1, labels.count(0)), max(1, labels.count(1))]
+        w, weight = np.zeros(x.shape[1] + 1), np.array([0.5 / n[int(v)] for v in labels])
+        weight /= weight.sum()
+        a = np.array([[*x[i], 1.0] for i in rows])
+        step = 1 / (0.25 * float(sum(k * r @ r for k, r in zip(weight, a, strict=True))) + 1e-3)
+        for _ in range(20_000):
+            w = w - step * (sum(k * (1 / (1 + math.exp(-float(r @ w))) - v) * r for k, r, v in zip(weight, a, labels, strict=True)) if len(a) < 12 else a.T @ (weight * (1 / (1 + np.exp(-(a @ w))) - np.array(labels))) + 1e-3 * w)
+        return w
+
+    known = [i for i in range(len(y)) if y[i] >= 0]
+    back, own = [i for k, i in enumerate(known) if k % 4 == 3], [i for k, i in enumerate(known) if k % 4 != 3]
+    pool, good = [i for i in range(len(y)) if y[i] < 0], sum(y[i] for i in own) / len(own)
+    taught = ({}, {})
+    of = lambda v: learn((text, meta)[v], own + sorted(taught[v]), [int(y[i]) for i in own] + [taught[v][i] for i in sorted(taught[v])])
+    w = [of(0), of(1)]
+    for _ in range(quality.ROUNDS):
+        for v in (0, 1):
+            p = {i: 1 / (1 + math.exp(-float(np.append((text, meta)[v][i], 1.0) @ w[v]))) for i in pool}
+            sure = max(1, int(quality.SHARE * len(pool)))
+            taught[1 - v].update({i: 1 for i in sorted(pool, key=lambda i: (-p[i], i))[: max(1, int(sure * good))] if p[i] >= quality.SURE})
+            taught[1 - v].update({i: 0 for i in sorted(pool, key=lambda i: (p[i], i))[: max(1, int(sure * (1 - good)))] if p[i] <= 1 - quality.SURE})
+        w = [of(0), of(1)]
+    return w, back
+
+
+def test_cotraining_equals_a_plain_version():
+    rng = np.random.default_rng(4)
+    y = np.array([*([1, 0] * 14), *[-1] * 30])
+    true = np.where(y >= 0, y, rng.integers(0, 2, len(y)))
+    text = (rng.normal(size=(len(y), 3)) * 0.4 + np.outer(true * 2 - 1, [2.0, -1.5, 0.5])).astype(np.float32)
+    meta = (rng.normal(size=(len(y), 2)) * 0.4 + np.outer(true * 2 - 1, [1.5, 1.0])).astype(np.float32)
+    model = quality.cotrain(text, meta, y)
+    w, _ = plain_cotraining(text.astype(float), meta.astype(float), y)
+    for mine, plain, x in ((model.content, w[0], text), (model.metadata, w[1], meta)):
+        assert np.allclose(quality.sigmoid(quality.margin(mine, x)), quality.sigmoid(quality.margin(plain, x)), atol=0.02)
+    score = model.score(text, meta)[0]
+    assert ((score > 0.5) == (true == 1)).all()
+
+
 def brute_components(rows):
     prints = []
     for i, t in rows:

@@ -2,7 +2,8 @@
 
 A text is a TF-IDF vector of byte trigrams (lower case, letters only) hashed into a fixed number of
 buckets, compared by cosine with centroids that spherical k-means finds among each language's documents.
-A text farther from every centroid than its training documents were is rejected.
+A text is rejected if it is too far from every centroid for its length: the bound is calibrated on pieces of
+the training documents, and on the same pieces with their letters shuffled.
 """
 
 from __future__ import annotations
@@ -12,16 +13,19 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import bound_batches, unit_hash
+from threadloom.llm.common import bound_batches
 
-#: Documents a language that the centroids are fitted on, about, at most: those with the smallest hashes.
-SAMPLE = 400
+#: Documents a language that the centroids are fitted on at most, those with the smallest hashes; languages learned, the most frequent.
+SAMPLE, LANGUAGES = 400, 100
 BUCKETS = 8192
 CENTROIDS = 3
-#: A text is rejected below this share of the cosine that 99 % of its language's training documents exceed.
-REJECT = 0.2
+#: The share of the training pieces of a length that rejection may cost at most.
+COST = 0.02
+#: Documents a language that the bounds are calibrated on. Bounds are by the power of two of a text's trigrams.
+PIECES, LENGTHS = 100, 24
 UNDETERMINED = "und"
 _LETTERS = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 _SLICE = 1 << 20
@@ -50,18 +54,48 @@ class Model:
     idf: np.ndarray
     floor: np.ndarray
 
+    def nearest(self, x: np.ndarray) -> tuple[int, float]:
+        """The nearest centroid and its cosine (0 for an empty vector)."""
+        norm = float(np.sqrt(np.square(x * self.idf).sum()))
+        if norm == 0:
+            return 0, 0.0
+        cosine = self.weighted @ x / norm
+        best = int(np.argmax(cosine))
+        return best, float(min(1.0, max(0.0, cosine[best])))
+
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, cosine from 0 to 1, whether it is rejected."""
         if text is None or not self.languages or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0, True
         x = counts(text)
-        norm = float(np.sqrt(np.square(x * self.idf).sum()))
-        if norm == 0:
-            return self.languages[int(self.owner[0])], 0.0, True
-        cosine = self.weighted @ x / norm
-        best = int(np.argmax(cosine))
-        score = float(min(1.0, max(0.0, cosine[best])))
-        return self.languages[int(self.owner[best])], score, score < float(self.floor[best])
+        best, score = self.nearest(x)
+        return self.languages[int(self.owner[best])], score, score == 0 or score < float(self.floor[length(x)])
+
+
+def length(x: np.ndarray) -> int:
+    """The power of two of a text's trigrams."""
+    return min(LENGTHS - 1, int(np.log2(1 + float(x.sum()))))
+
+
+def calibrate(model: Model, texts: list[str]) -> np.ndarray:
+    """For each length the least cosine that is not rejected.
+
+    It lies half way between what 99 % of shuffled pieces stay below and the middle of the true ones, but
+    never above what COST of the true ones stay below. A length without pieces has the next shorter one's.
+    """
+    rng, floor = np.random.default_rng(0), np.zeros(LENGTHS)
+    for k in range(LENGTHS):
+        true, noise = [], []
+        for t in texts:
+            if len(t) >= 1 << k and any(map(str.isalpha, piece := t[(s := int(rng.integers(0, len(t) - (1 << k) + 1))) : s + (1 << k)])):
+                x = counts(piece)
+                if length(x) == k:
+                    true.append(model.nearest(x)[1])
+                    noise.append(model.nearest(counts("".join(rng.permutation(list(piece)))))[1])
+        floor[k] = floor[k - 1] if k else 0.0
+        if len(true) >= 20:
+            floor[k] = min((np.quantile(noise, 0.99) + np.median(true)) / 2, np.quantile(true, COST))
+    return floor
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -84,44 +118,56 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
-    """Fitted on at most about ``sample`` documents a language, none of them held out."""
-    known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
-        return Model([], np.zeros(0, int), np.zeros((0, BUCKETS), np.float32), np.ones(BUCKETS, np.float32), np.zeros(0))
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1.0, sample / n)).otherwise(share)
-    rows = known.filter(unit_hash(F.col("doc_id").cast("string"), "langid") < share).filter(F.col("text").isNotNull()).select("doc_id", "lang", "text")
-
-    def sparse(batches):
-        for b in batches:
-            vectors = [counts(t) for t in b["text"]]
-            at = [np.flatnonzero(v) for v in vectors]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "lang": b["lang"], "at": [a.astype(np.int16) for a in at], "n": [v[a] for v, a in zip(vectors, at, strict=True)]})
-
-    got = rows.mapInPandas(sparse, "doc_id long, lang string, at array<short>, n array<float>").toPandas()
-    got = got.sort_values(["lang", "doc_id"], kind="stable").reset_index(drop=True)
+NOTHING = Model([], np.zeros(0, int), np.zeros((0, BUCKETS), np.float32), np.ones(BUCKETS, np.float32), np.zeros(LENGTHS))
+
+
+def train(rows: pd.DataFrame, k: int = CENTROIDS) -> Model:
+    """From lang and text; the rows' order counts."""
+    vectors = [counts(t) for t in rows["text"]]
     df = np.zeros(BUCKETS)
-    for a in got["at"]:
-        df[np.asarray(a, dtype=np.int64)] += 1
-    idf = (np.log((1 + len(got)) / (1 + df)) + 1).astype(np.float32)
-    languages, owner, centroids, floor = sorted(got["lang"].unique()), [], [], []
-    for j, lang in enumerate(languages):
-        own = got[got["lang"] == lang]
-        x = np.zeros((len(own), BUCKETS), dtype=np.float32)
-        for i, (a, n) in enumerate(zip(own["at"], own["n"], strict=True)):
-            x[i, np.asarray(a, dtype=np.int64)] = n
-        x *= idf
+    for v in vectors:
+        df += v > 0
+    idf = (np.log((1 + len(vectors)) / (1 + df)) + 1).astype(np.float32)
+    languages, owner, centroids, pieces = [], [], [], []
+    for lang, own in rows.groupby("lang", sort=True).indices.items():
+        x = np.stack([vectors[i] for i in own]) * idf
         norm = np.linalg.norm(x, axis=1, keepdims=True)
         x = x[norm[:, 0] > 0] / norm[norm[:, 0] > 0]
         if len(x):
             c = spherical_kmeans(x, k)
             centroids.append(c)
-            owner += [j] * len(c)
-            floor += [float(np.quantile((x @ c.T).max(1), 0.01)) * REJECT] * len(c)
-    return Model(languages if owner else [], np.array(owner), (np.concatenate(centroids) * idf).astype(np.float32) if owner else np.zeros((0, BUCKETS), np.float32), idf, np.array(floor))
+            owner += [len(languages)] * len(c)
+            languages.append(str(lang))
+            pieces += rows["text"].iloc[own[:PIECES]].tolist()
+    if not languages:
+        return NOTHING
+    model = Model(languages, np.array(owner), (np.concatenate(centroids) * idf).astype(np.float32), idf, np.zeros(LENGTHS))
+    model.floor = calibrate(model, pieces)
+    return model
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
+    """Fitted on at most ``sample`` documents of each of the LANGUAGES most frequent languages, none of them held out.
+
+    It is fitted in one task on an executor; the driver gets the model.
+    """
+    known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    h = F.xxhash64("doc_id", "text", F.lit("langid"))
+    near = known.join(F.broadcast(sizes), "lang").withColumn("__h", h).filter(F.pmod("__h", F.lit(1 << 30)) < F.least(F.lit(1.0), 3 * sample / F.col("n")) * (1 << 30))
+    one = near.groupBy("lang", "__h").agg(F.min("text").alias("text")).withColumn("__r", F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("__h", F.lit(1 << 30)), "__h")))
+
+    def trained(batches):
+        got = [b for b in batches if len(b)]
+        if got:
+            m = train(pd.concat(got).sort_values(["lang", "__r"], ignore_index=True), k)
+            yield pd.DataFrame({"languages": [m.languages], "owner": [m.owner], "weighted": [m.weighted.tobytes()], "idf": [m.idf.tobytes()], "floor": [m.floor]})
+
+    schema = "languages array<string>, owner array<long>, weighted binary, idf binary, floor array<double>"
+    got = one.filter(F.col("__r") <= sample).select("lang", "__r", "text").coalesce(1).mapInPandas(trained, schema).first()
+    if got is None or not got["languages"]:
+        return NOTHING
+    return Model(list(got["languages"]), np.array(got["owner"]), np.frombuffer(got["weighted"], np.float32).reshape(-1, BUCKETS), np.frombuffer(got["idf"], np.float32), np.array(got["floor"]))
 
 
 def language_column(model: Model, text: Column) -> Column:
@@ -148,7 +194,10 @@ def identify_languages(docs: DataFrame, model: Model | None = None) -> DataFrame
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is not rejected."""
+    """The rows of ``docs``, all columns, whose language is not rejected; null texts, and texts without a letter, are.
+
+    Repeated rows share a decision; an empty table gives an empty one.
+    """
     bound_batches(docs.sparkSession)
     model = fit(docs.select("doc_id", "text", "lang"))
     return docs.withColumn("__language", language_column(model, F.col("text"))).filter(~F.col("__language.rejected")).drop("__language")

@@ -17,9 +17,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import bound_batches, unit_hash
+from threadloom.llm.common import bound_batches, bounded_sample, unit_hash
 
-#: Labelled documents, and documents of the unlabelled pool, that the classifiers are fitted on, about, at most.
+#: Labelled documents, and documents of the unlabelled pool, that the classifiers are fitted on at most.
 LABELLED, POOL = 4000, 2000
 ROUNDS = 4
 #: Documents that a view labels in a round, as a share of the pool; and how sure it must be.
@@ -150,30 +150,39 @@ def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = ROU
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fitted on about LABELLED labelled documents and a pool of POOL others, those with the smallest hashes.
+    """Fitted on at most LABELLED labelled documents and a pool of at most POOL others, those with the smallest hashes.
 
-    Labels other than 0 and 1 are left out; a document with several labels takes the smallest.
+    Both are fitted in one task on an executor; the driver gets the weights. Labels other than 0 and 1 are
+    left out; a document with several labels takes the smallest; copies count once.
     """
-    docs = docs.select("doc_id", "text", "source", "lang", "n_chars")
-    labels = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    docs = docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("double").alias("n_chars"))
+    labels = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     n_labels, n_docs = labels.count(), docs.count()
     if not n_labels or not n_docs:
         return Model()
-    pick = lambda name, n, total: unit_hash(F.col("doc_id").cast("string"), name) < min(1.0, n / total)
-    labelled = docs.join(labels.filter(pick("labelled", LABELLED, n_labels)), "doc_id")
-    pool = docs.filter(pick("pool", POOL, n_docs)).join(labels.select("doc_id"), "doc_id", "left_anti").withColumn("quality", F.lit(-1))
+    few = lambda name, n, total: unit_hash(F.col("doc_id").cast("string"), name) < min(1.0, 3 * n / total)
+    labelled = docs.join(labels.filter(few("labelled", LABELLED, n_labels)), "doc_id")
+    pool = docs.join(labels.select("doc_id"), "doc_id", "left_anti").withColumn("quality", F.lit(-1))
+    rows = bounded_sample(labelled, LABELLED, 1, "labelled").unionByName(bounded_sample(pool, POOL, n_docs, "pool"))
 
-    def features(batches):
+    def train(batches):
+        order, quality, text, meta = [], [], [], []
         for b in batches:
-            meta = [metadata(*r) for r in zip(b["source"], b["lang"], b["n_chars"].astype("float64"), strict=True)]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "text": [content(t) for t in b["text"]], "meta": meta})
-
-    got = labelled.unionByName(pool).mapInPandas(features, "doc_id long, quality int, text array<float>, meta array<float>").toPandas()
-    if not len(got):
+            order += [(zlib.crc32(str(int(i)).encode()), int(i)) for i in b["doc_id"].fillna(-1)]
+            quality += b["quality"].tolist()
+            text += [content(t) for t in b["text"]]
+            meta += [metadata(*r) for r in zip(b["source"], b["lang"], b["n_chars"], strict=True)]
+        if order:
+            at = sorted(range(len(order)), key=order.__getitem__)
+            m = cotrain(np.stack(text)[at], np.stack(meta)[at], np.array(quality)[at])
+            if m.content is not None:
+                yield pd.DataFrame({"content": [m.content], "metadata": [m.metadata], "calibration": [np.array(m.calibration).ravel()], "prior": [m.prior]})
+
+    got = rows.coalesce(1).mapInPandas(train, "content array<double>, metadata array<double>, calibration array<double>, prior double").first()
+    if got is None:
         return Model()
-    got["order"] = [zlib.crc32(str(i).encode()) for i in got["doc_id"]]
-    got = got.sort_values(["order", "doc_id"], kind="stable")
-    return cotrain(np.stack(got["text"].to_list()).astype(np.float32), np.stack(got["meta"].to_list()).astype(np.float32), got["quality"].to_numpy())
+    a, b, c, d = got["calibration"]
+    return Model(np.array(got["content"]), np.array(got["metadata"]), ((a, b), (c, d)), got["prior"])
 
 
 def quality_column(model: Model, text: Column, source: Column, lang: Column, n_chars: Column) -> Column:
@@ -202,7 +211,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, model: Model | None = None
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that are kept."""
+    """The rows of ``docs``, all columns, that are kept.
+
+    Nulls, empty texts, missing labels and repeats as in ``score_quality``; an empty table gives an empty one.
+    """
     bound_batches(docs.sparkSession)
     model = fit(docs, labels)
     return docs.withColumn("__quality", quality_column(model, *map(F.col, ("text", "source", "lang", "n_chars")))).filter(F.col("__quality.score") >= KEEP).drop("__quality")
