@@ -46,7 +46,7 @@ class Ranks:
         key = a << 32 | b
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 500_000:
                 self.pairs.clear()
             found = self.pairs[key] = self.by_bytes.get(self.tokens[a] + self.tokens[b], -1)
         return found

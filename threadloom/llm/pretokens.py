@@ -25,7 +25,7 @@ _PLAIN_END = frozenset(".,;:!?")
 #: Longer pieces are not kept.
 LONGEST_KEPT = 64
 #: Bytes of Arrow batches that are put together before their distinct pieces are encoded, about.
-SPAN = 16 << 20
+SPAN = 4 << 20
 
 
 def spans(batches: Iterable[pa.RecordBatch], size: int = SPAN) -> Iterator[pa.Table]:
