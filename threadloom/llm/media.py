@@ -24,15 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm.chunking import cuts, digest, gear_table
-from threadloom.llm.common import bound_batches, materialise, new_path
+from threadloom.llm.common import bound_batches, in_filter, materialise, membership, new_path
 
 #: Fixed values of the contract: payloads are filled up with FILL to a multiple of FRAME.
 FRAME, FILL = 576, 255
 #: A chunk ends at one byte in 2**BITS, is LEAST to MOST bytes long.
 BITS, LEAST, MOST = 11, 256, 16384
-#: Bits of the filter for each shared digest, about, and how many each digest sets; the filter's least and most bits (64 MB).
-#: Beyond 2**25 shared digests the filter takes more chunks for shared, which are then exchanged: more disk, the same result.
-BITS_EACH, HASHES, FILTER_LEAST, FILTER_MOST = 16, 4, 1 << 20, 1 << 29
 OWN = "n_bytes long, sha string, names binary, sizes binary, common binary, shares boolean, body binary"
 FEATURES = "payload_sha256 string, payload_bytes long, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
@@ -54,14 +51,9 @@ def chunks_of(payload: bytes) -> list[bytes]:
     return [payload[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
 
 
-def places(digests: list[bytes], size: int) -> np.ndarray:
-    """Bits of a filter of that many (a power of two), a row for each digest."""
-    return np.frombuffer(b"".join(digests), dtype="<u4").reshape(-1, HASHES).astype(np.int64) & (size - 1)
-
-
-def in_filter(words: np.ndarray, digests: list[bytes]) -> np.ndarray:
-    at = places(digests, 64 * len(words))
-    return ((words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1)
+def hashes(digests: list[bytes]) -> np.ndarray:
+    """64 bits of each digest, for the filter."""
+    return np.array([int.from_bytes(d[:8], "little") for d in digests], dtype=np.uint64)
 
 
 def describe(chunks: list[bytes], names: list[bytes], sha: str | None = None) -> tuple:
@@ -94,21 +86,12 @@ def shared_filter(docs: DataFrame) -> np.ndarray:
         for b in batches:
             yield pd.DataFrame({"digest": [digest(c) for t in b["text"] for c in chunks_of(payload_of(t)[0])]})
 
-    repeated = docs.select("text").mapInPandas(names, "digest binary").groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
-    repeated = materialise(repeated, "repeated-digests")
-    size = FILTER_LEAST
-    while size < min(FILTER_MOST, BITS_EACH * repeated.count()):
-        size *= 2
-
-    def bits(batches):
+    def short(batches):
         for b in batches:
-            at = places([bytes(d) for d in b["digest"]], size).ravel() if len(b) else np.zeros(0, np.int64)
-            yield pd.DataFrame({"word": at >> 6, "bits": (np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64)})
+            yield pd.DataFrame({"h": hashes([bytes(d) for d in b["digest"]]).view(np.int64)})
 
-    got = repeated.mapInPandas(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    words = np.zeros(size // 64, dtype=np.uint64)
-    words[got["word"].to_numpy(dtype=np.int64)] = got["bits"].to_numpy(dtype=np.int64).view(np.uint64)
-    return words
+    repeated = docs.select("text").mapInPandas(names, "digest binary").groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
+    return membership(materialise(repeated.mapInPandas(short, "h long"), "repeated-digests"))
 
 
 def beside(b: pa.RecordBatch, kept: list[str], rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -134,7 +117,7 @@ def write_media(docs: DataFrame, path: str | None = None) -> str:
                 payload, n = payload_of(t)
                 parts = chunks_of(payload)
                 names = [digest(c) for c in parts]
-                common = in_filter(words.value, names)
+                common = in_filter(words.value, hashes(names))
                 out.append((n, hashlib.sha256(payload).hexdigest(), b"".join(names), np.array([len(c) for c in parts], dtype="<u4").tobytes(), np.packbits(common).tobytes(), bool(common.any()), b"".join(c for c, s in zip(parts, common, strict=True) if not s)))
             yield beside(b, ["doc_id"], out, OWN)
 
@@ -145,7 +128,7 @@ def write_media(docs: DataFrame, path: str | None = None) -> str:
             for t in b["text"]:
                 parts = chunks_of(payload_of(t)[0])
                 names = [digest(c) for c in parts]
-                for c, name, s in zip(parts, names, in_filter(words.value, names), strict=True):
+                for c, name, s in zip(parts, names, in_filter(words.value, hashes(names)), strict=True):
                     if s and name not in sent:
                         sent.add(name)
                         out.append((name, c))
