@@ -1,5 +1,6 @@
 """The pipeline's near-duplicates stage against all pairs compared by brute force."""
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -60,3 +61,19 @@ def test_repeated_id_with_different_texts(spark):
     df = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], SCHEMA)
     got = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
     assert got == [(1, "first text of these"), (7, "another one"), (9, "alone a"), (9, "alone b")]
+
+
+def test_sketches_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(5)
+    ruled_out = 0
+    for _ in range(400):
+        n = int(rng.integers(1, 400))
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        b = np.unique(np.r_[a[rng.random(len(a)) < rng.choice([0.3, 0.85, 0.95, 1.0])], rng.integers(0, 2**64, int(rng.integers(0, 1 + n // 4)), dtype=np.uint64)])
+        if len(b):
+            may = near_copies.may_be_similar(len(a), near_copies.sketch(a), len(b), near_copies.sketch(b))
+            assert may or not near_copies.similar(a, b)
+            ruled_out += not may
+    assert ruled_out > 50
+    heavy = np.arange(300, dtype=np.uint64) << np.uint64(32)
+    assert near_copies.may_be_similar(300, near_copies.sketch(heavy), 300, near_copies.sketch(heavy))

@@ -1,33 +1,39 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, all of them.
 
-Candidates come from prefixes. Two sets that similar share at least 0.8 n of their shingles, n the size of the
-larger, so under any one order of all shingles they share one among the first n - ceil(0.8 n) + 1 of each. The
-order puts shingles that a bounded sample shows to be frequent last, so that common passages make few
-candidates. Each candidate is verified by the sets of its texts. Groups are linked in two steps: a few random pairs from each
-posting list first, then all pairs that the first step has not put into one group, so that a large group is
-never written out pair by pair. Shingles are compared by their 64-bit hashes.
+Two steps make links, each verified by the sets of its texts. The first takes the links that vantage-point
+trees find among SimHash fingerprints of the sets (simhash.link), and a few pairs from each posting list; then
+more pairs from the lists that still hold several groups. The second is exact: two sets that similar share at least 0.8 n of their shingles, n the size of the larger, so
+under any one order of all shingles they share one among the first n - ceil(0.8 n) + 1 of each; all such
+pairs that the first step has not put into one group are looked at, so a large group is never written out
+pair by pair. The order puts shingles that a share of the texts, the same at every size, shows to be frequent
+last, so that common passages make few candidates. Before texts are sent, a sketch (counts of a set's hashes by bucket) bounds
+what two sets can share from above, and leaves out most pairs that are not similar. Shingles are compared by
+their 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import bound_batches, materialise
+from threadloom.llm.common import bound_batches, in_filter, materialise, membership
 from threadloom.llm.components import components
-from threadloom.llm.simhash import SEED
+from threadloom.llm.simhash import SEED, link
 
 WORDS = 5
 #: The least similarity, as a fraction, so that the comparison is exact.
 OVER, UNDER = 4, 5
-#: Documents in the sample for the order, about; in how many of them a shingle is frequent; frequent shingles, at most.
-SAMPLE, OFTEN, FREQUENT = 10_000, 3, 100_000
-#: Links of a document in the first step; rows up to which a table of ids or fingerprints is broadcast.
-LINKS, SMALL = 2, 1_000_000
+#: One distinct text in so many counts for the order; in how many of them a shingle is frequent; frequent shingles told apart, at most.
+ONE_IN, OFTEN, FREQUENT = 8, 3, 400_000
+#: Pairs of a document in the first step; rounds of more pairs once the groups so far are known, a document's pairs in each, and neighbours looked at in a posting list.
+LINKS, AGAIN, MORE, TRIES = 2, 2, 16, 4
+#: Rows up to which a table of ids or fingerprints is broadcast.
+SMALL = 1_000_000
 _BLOCK = 1 << 16
 
 
@@ -49,6 +55,31 @@ def name_of(own: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(own.tobytes(), SEED) if len(own) else 0
 
 
+def simhash_of(own: np.ndarray) -> int:
+    """The SimHash of a set of shingles."""
+    if not len(own):
+        return 0
+    ones = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(own), bitorder="little").view("<u8")[0])
+
+
+def sketch(own: np.ndarray) -> bytes:
+    """How many of a set's shingles fall into each of as many buckets (a power of two) as it has shingles; 255 is 255 or more."""
+    buckets = 1 << max(0, len(own) - 1).bit_length()
+    return np.minimum(np.bincount((own & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets), 255).astype(np.uint8).tobytes()
+
+
+def may_be_similar(n: int, x: bytes, m: int, y: bytes) -> bool:
+    """Whether sketches allow a similarity of 0.8: never false for two sets that have it."""
+    a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    if a.max() == 255 or b.max() == 255:
+        return True
+    if len(a) < len(b):
+        a, b = b, a
+    shared = int(np.minimum(a.reshape(-1, len(b)).sum(0), b).sum())
+    return UNDER * shared >= OVER * (n + m - shared)
+
+
 def fingerprint_column(text: Column) -> Column:
     """The set's fingerprint as a (signed) long."""
 
@@ -65,9 +96,10 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return UNDER * shared >= OVER * (both - shared)
 
 
-def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles, ascending, and their counts in the sample."""
-    part = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(min(1.0, SAMPLE / max(1, n)) * (1 << 20)))
+def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles, ascending, and their counts in a share of the distinct texts."""
+    h = F.xxhash64("text")
+    part = docs.select("text").filter(F.pmod(h, F.lit(ONE_IN)) == 0).groupBy(h.alias("h")).agg(F.first("text").alias("text")).select("text")
 
     def exploded(batches):
         for b in batches:
@@ -80,25 +112,27 @@ def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, n (distinct shingles), prefix: one row a row of ``docs``."""
-    known, counts = frequent(docs, docs.count())
+    """doc_id, fp, n (distinct shingles), sim, sketch, prefix: one row a row of ``docs``."""
+    table = docs.sparkSession.sparkContext.broadcast(frequent(docs))
 
     def rows(batches):
+        known, counts = table.value
         for b in batches:
-            names, sizes, first = [], [], []
-            for t in b["text"]:
+            out = []
+            for t in b.column("text").to_pylist():
                 own = shingles(t)
                 n, often = len(own), np.zeros(len(own), dtype=np.int64)
                 if len(known) and n:
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     often = np.where(known[at] == own, counts[at], 0)
                 keep = n - (OVER * n + UNDER - 1) // UNDER + 1 if n else 0
-                names.append(name_of(own))
-                sizes.append(n)
-                first.append(own[np.lexsort((own, often))[:keep]].view(np.int64))
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": np.array(names, dtype=np.uint64).view(np.int64), "n": sizes, "prefix": first})
+                out.append((name_of(own), n, simhash_of(own), sketch(own), own[np.lexsort((own, often))[:keep]].view(np.int64)))
+            fp, n, sim, sketches, first = zip(*out, strict=True) if out else [()] * 5
+            signed = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
+            columns = [b.column("doc_id"), signed(fp), pa.array(n, pa.int32()), signed(sim), pa.array(sketches, pa.binary()), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "n", "sim", "sketch", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(rows, "doc_id long, fp long, n int, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, fp long, n int, sim long, sketch binary, prefix array<long>")
 
 
 def possible(n: Column, at: Column, m: Column, place: Column) -> Column:
@@ -119,55 +153,101 @@ def texts_of(docs: DataFrame, marked: DataFrame, wanted: DataFrame) -> DataFrame
     return materialise(some.select(fingerprint_column(F.col("text")).alias("fp"), "text"), "texts")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar enough."""
+def sketched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the sketches of ``sets`` (fp, n, sketch) allow."""
+
+    def rows(batches):
+        for b in batches:
+            good = [may_be_similar(*r) for r in zip(b["n"], b["x"], b["m"], b["y"], strict=True)]
+            yield b.loc[np.array(good, dtype=bool), ["a", "b"]]
+
+    pairs = materialise(pairs, "candidates")
+    own = sets.join(few(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()), "fp", "left_semi")
+    both = pairs.join(own.select(F.col("fp").alias("a"), "n", F.col("sketch").alias("x")), "a").join(own.select(F.col("fp").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y")), "b")
+    return both.select("a", "b", "n", "x", "m", "y").mapInPandas(rows, "a long, b long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, marked: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are similar enough, by their texts."""
 
     def rows(batches):
         for b in batches:
             good = [similar(shingles(x), shingles(y)) for x, y in zip(b["x"], b["y"], strict=True)]
             yield b.loc[np.array(good, dtype=bool), ["a", "b"]]
 
-    pairs = materialise(pairs, "pairs")
-    own = few(materialise(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "paired"))
-    texts = texts.join(own, "fp", "left_semi")
+    pairs = materialise(sketched(pairs, sets), "pairs")
+    texts = texts_of(docs, marked, materialise(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "paired")).dropDuplicates(["fp"])
     both = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("y")), "b")
     return materialise(both.select("a", "b", "x", "y").mapInPandas(rows, "a long, b long"), "links")
 
 
+def tree_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b): pairs of sets whose SimHash fingerprints the vantage-point trees link, a star for each fingerprint and each link."""
+    named = materialise(sets.groupBy("sim").agg(F.min("fp").alias("b")), "named")
+    links = materialise(link(named.select(F.col("sim").alias("fp")), named.count()), "tree-links")
+    same = sets.join(named, "sim").filter(F.col("fp") != F.col("b")).select(F.col("fp").alias("a"), "b")
+    ends = links.join(named.select(F.col("sim").alias("a"), F.col("b").alias("x")), "a").join(named.select(F.col("sim").alias("b"), F.col("b").alias("y")), "b")
+    return same.unionByName(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
 def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp) of every row, and (fp, root) of the fingerprints linked to others: root names their group."""
     bound_batches(docs.sparkSession)
     marked = materialise(prefixes(docs), "prefixes")
     copied = few(materialise(marked.groupBy("fp").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("fp"), "copied"))
-    one = marked.join(copied, "fp", "left_semi").groupBy("fp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    one = one.unionByName(marked.join(copied, "fp", "left_anti").select("fp", "n", "prefix"))
-    postings = one.select("fp", "n", F.posexplode("prefix").alias("at", "sh")).repartition("sh")
+
+    def sets(*columns: str) -> DataFrame:
+        """One row for each distinct set."""
+        again = marked.join(copied, "fp", "left_semi").groupBy("fp").agg(*[F.first(c).alias(c) for c in columns])
+        return again.unionByName(marked.join(copied, "fp", "left_anti").select("fp", *columns))
+
+    postings = sets("n", "prefix").select("fp", "n", F.posexplode("prefix").alias("at", "sh")).repartition("sh")
     order = W.partitionBy("sh").orderBy(F.xxhash64("fp", "sh"), "fp")
     seen = postings.withColumn("other", F.lag(F.struct("fp", "n", "at")).over(order)).withColumn("next", F.lead("fp").over(order))
     shared = materialise(seen.filter("other is not null or next is not null").drop("next"), "shared")
-    texts = texts_of(docs, marked.select("doc_id", "fp"), materialise(shared.select("fp").distinct(), "wanted"))
     some = shared.filter("other is not null").filter(possible(F.col("n"), F.col("at"), F.col("other.n"), F.col("other.at")))
     some = some.groupBy("fp", F.col("other.fp").alias("b")).agg(F.count(F.lit(1)).alias("k"))
     some = some.withColumn("r", F.row_number().over(W.partitionBy("fp").orderBy(F.desc("k"), "b"))).filter(F.col("r") <= LINKS)
-    first = verified(some.select(F.col("fp").alias("a"), "b"), texts)
-    member = components(first, "first-links").select(F.col("node").alias("fp"), "root")
-    # What the first step has not put into one group: every such pair of a posting list.
-    rooted = shared.select("sh", "fp", "n", "at").join(member, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    within = W.partitionBy("sh")
-    rooted = materialise(rooted.withColumn("lo", F.min("root").over(within)).withColumn("hi", F.max("root").over(within)).filter("lo < hi").drop("lo", "hi"), "unlinked")
+    some = some.select(F.col("fp").alias("a"), "b").unionByName(tree_pairs(sets("sim")))
+    sketches = sets("n", "sketch")
+    ids = marked.select("doc_id", "fp")
+    checked = lambda pairs: verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), docs, ids, sketches)
+
+    def unlinked(links: DataFrame, name: str) -> DataFrame:
+        """The posting lists that hold several groups, with the group of each set."""
+        member = components(links, name).select(F.col("node").alias("fp"), "root")
+        rooted = shared.select("sh", "fp", "n", "at").join(member, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        within = W.partitionBy("sh")
+        return materialise(rooted.withColumn("lo", F.min("root").over(within)).withColumn("hi", F.max("root").over(within)).filter("lo < hi").drop("lo", "hi"), "unlinked")
+
+    first = checked(some)
+    for again in range(AGAIN):
+        mixed = W.partitionBy("sh").orderBy(F.xxhash64("fp", "sh", F.lit(again)), "fp")
+        beside = F.array(*[F.lag(F.struct("fp", "n", "at", "root"), k).over(mixed) for k in range(1, TRIES + 1)])
+        near = unlinked(first, "first-links").withColumn("beside", beside).withColumn("o", F.explode("beside")).filter("o is not null").filter((F.col("root") != F.col("o.root")) & possible(F.col("n"), F.col("at"), F.col("o.n"), F.col("o.at")))
+        both = F.array(F.struct("fp", F.col("o.fp").alias("b")), F.struct(F.col("o.fp").alias("fp"), F.col("fp").alias("b")))
+        near = near.select(F.explode(both).alias("p")).select("p.fp", "p.b").groupBy("fp", "b").agg(F.count(F.lit(1)).alias("k"))
+        near = near.withColumn("r", F.row_number().over(W.partitionBy("fp").orderBy(F.desc("k"), "b"))).filter(F.col("r") <= MORE)
+        first = first.unionByName(checked(near.select(F.col("fp").alias("a"), "b")))
+    # What these links have not put into one group: every such pair of a posting list.
+    rooted = unlinked(first, "more-links")
     p, q = rooted.alias("p"), rooted.alias("q")
     rest = p.join(q, (F.col("p.sh") == F.col("q.sh")) & (F.col("p.root") < F.col("q.root")) & possible(F.col("p.n"), F.col("p.at"), F.col("q.n"), F.col("q.at")))
-    rest = verified(rest.select(F.col("p.fp").alias("a"), F.col("q.fp").alias("b")).distinct(), texts)
+    rest = checked(rest.select(F.col("p.fp").alias("a"), F.col("q.fp").alias("b")))
     links = components(first.unionByName(rest), "all-links").select(F.col("node").alias("fp"), "root")
-    return marked.select("doc_id", "fp"), materialise(links, "members")
+    return ids, materialise(links, "members")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that are the first of their group: the smallest doc_id, and one row of it.
 
-    Groups are the components of the pairs of similarity 0.8 or more; texts without a word are one group. Rows
-    with a null doc_id stay only where their group has no other; one of them then stays. A doc_id with
-    several texts is told apart by its fingerprints.
+    Groups are the components of the pairs of similarity 0.8 or more; texts without a word, null ones too, are
+    one group. Rows with a null doc_id stay only where their group has no other; one of them then stays. A
+    doc_id with several texts is told apart by its fingerprints. Very long texts are read whole, in blocks. An
+    empty table gives an empty one; other columns, whatever their names, are carried along.
+
+    A Bloom filter of the ids that go says at once which rows stay; only the others, and the few that the filter
+    takes for them, are exchanged to meet the ids that stay.
     """
     marked, linked = groups(docs)
     rows = marked.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -175,8 +255,17 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     kept = materialise(kept.select(F.col("k.doc_id").alias("__id"), F.col("k.fp").alias("__fp")), "kept")
     many = materialise(marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("__many")), "repeated-ids")
     alone = kept.join(many, F.col("__id").eqNullSafe(F.col("__many")), "left_anti")
-    # The same exchange at every size: each text is sent once.
-    once = docs.join(alone.select(F.col("__id").alias("doc_id")).hint("merge"), "doc_id", "left_semi").select(docs.columns)
+    gone = marked.filter("doc_id is not null").select("doc_id").distinct().join(alone, F.col("doc_id") == F.col("__id"), "left_anti")
+    words = docs.sparkSession.sparkContext.broadcast(membership(materialise(gone.select(F.xxhash64("doc_id").alias("h")), "gone")))
+
+    @F.pandas_udf("boolean")
+    def may_go(h: pd.Series) -> pd.Series:
+        return pd.Series(in_filter(words.value, h.to_numpy(dtype=np.int64).view(np.uint64)), dtype=bool)
+
+    asked = docs.withColumn("__go", F.col("doc_id").isNull() | may_go.asNondeterministic()(F.xxhash64(F.col("doc_id").cast("long"))))
+    stay = asked.filter(~F.col("__go")).select(docs.columns)
+    unsure = asked.filter("__go").select(docs.columns).join(alone.select(F.col("__id").alias("doc_id")).hint("merge"), "doc_id", "left_semi").select(docs.columns)
+    once = stay.unionByName(unsure)
     if many.isEmpty():
         return once
     # Repeated ids: one row of each fingerprint that stays, chosen by its content.
