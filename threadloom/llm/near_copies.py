@@ -3,8 +3,8 @@
 Two steps make links, each verified by the sets of its texts. The first takes the links that vantage-point
 trees find among SimHash fingerprints of the sets (simhash.link), and a few pairs from each posting list; then
 more pairs from the lists that still hold several groups. The second is exact: two sets that similar share at least 0.8 n of their shingles, n the size of the larger, so
-under any one order of all shingles they share one among the first n - ceil(0.8 n) + 1 of each; all such
-pairs that the first step has not put into one group are looked at, so a large group is never written out
+under any one order of all shingles they share COMMON among the first n - ceil(0.8 n) + COMMON of each (or
+all they must share, if that is fewer); all such pairs that the first step has not put into one group are looked at, so a large group is never written out
 pair by pair. The order puts shingles that a share of the texts, the same at every size, shows to be frequent
 last, so that common passages make few candidates. Before texts are sent, a sketch (counts of a set's hashes by bucket) bounds
 what two sets can share from above, and leaves out most pairs that are not similar. Shingles are compared by
@@ -28,6 +28,8 @@ from threadloom.llm.simhash import SEED, link
 WORDS = 5
 #: The least similarity, as a fraction, so that the comparison is exact.
 OVER, UNDER = 4, 5
+#: Shingles that two prefixes must share.
+COMMON = 3
 #: One distinct text in so many counts for the order; in how many of them a shingle is frequent; frequent shingles told apart, at most.
 ONE_IN, OFTEN, FREQUENT = 8, 3, 400_000
 #: Pairs of a document in the first step; rounds of more pairs once the groups so far are known, a document's pairs in each, and neighbours looked at in a posting list.
@@ -125,7 +127,7 @@ def prefixes(docs: DataFrame) -> DataFrame:
                 if len(known) and n:
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     often = np.where(known[at] == own, counts[at], 0)
-                keep = n - (OVER * n + UNDER - 1) // UNDER + 1 if n else 0
+                keep = min(n, n - (OVER * n + UNDER - 1) // UNDER + COMMON)
                 out.append((name_of(own), n, simhash_of(own), sketch(own), own[np.lexsort((own, often))[:keep]].view(np.int64)))
             fp, n, sim, sketches, first = zip(*out, strict=True) if out else [()] * 5
             signed = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
@@ -136,8 +138,8 @@ def prefixes(docs: DataFrame) -> DataFrame:
 
 
 def possible(n: Column, at: Column, m: Column, place: Column) -> Column:
-    """Whether two sets of n and m shingles whose first common one stands at these places can be similar enough."""
-    most = F.least(n - at, m - place)
+    """Whether two sets of n and m shingles can be similar enough if one of their first COMMON common ones stands at these places."""
+    most = F.least(n - at, m - place) + (COMMON - 1)
     return (UNDER * F.least(n, m) >= OVER * F.greatest(n, m)) & ((OVER + UNDER) * most >= OVER * (n + m))
 
 
@@ -233,7 +235,9 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rooted = unlinked(first, "more-links")
     p, q = rooted.alias("p"), rooted.alias("q")
     rest = p.join(q, (F.col("p.sh") == F.col("q.sh")) & (F.col("p.root") < F.col("q.root")) & possible(F.col("p.n"), F.col("p.at"), F.col("q.n"), F.col("q.at")))
-    rest = checked(rest.select(F.col("p.fp").alias("a"), F.col("q.fp").alias("b")))
+    least = F.least(F.lit(COMMON), F.ceil(F.greatest("p.n", "q.n") * F.lit(OVER) / F.lit(UNDER)))
+    rest = rest.groupBy(F.col("p.fp").alias("a"), F.col("q.fp").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.max(least).alias("least")).filter("k >= least")
+    rest = checked(rest.select("a", "b"))
     links = components(first.unionByName(rest), "all-links").select(F.col("node").alias("fp"), "root")
     return ids, materialise(links, "members")
 
