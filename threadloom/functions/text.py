@@ -123,7 +123,7 @@ def clamp01(text: Column) -> Column:
 
 def rating(text: Column) -> Column:
     """1 to 5, else null."""
-    value = F.bround(text.try_cast("double")).cast("int")
+    value = F.bround(text.try_cast("double")).try_cast("int")
     return F.when(value.between(1, 5), value)
 
 

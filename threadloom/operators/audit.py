@@ -38,3 +38,22 @@ def write_and_read(rows: DataFrame, kind: str, split: str | None = None) -> Data
     (writer.partitionBy(split) if split else writer).format(kind).save(path)
     reader = rows.sparkSession.read.schema(rows.schema)
     return (reader.option("header", "true") if kind == "csv" else reader).format(kind).load(path)
+
+
+def text_tree(rows: DataFrame, folder: str, text: str = "text", whole: bool = False) -> DataFrame:
+    """folder, text: ``rows`` as a tree of text files, a folder for each value, read again by line (or by file, ``whole``).
+
+    Line breaks within a text would make more lines of it, so they become blanks; null texts are left out.
+    """
+    path = shared_path(rows.sparkSession, "tree")
+    lines = rows.filter(F.col(text).isNotNull()).select(folder, F.regexp_replace(text, r"[\r\n]+", " ").alias("value"))
+    lines.write.partitionBy(folder).text(path)
+    read = rows.sparkSession.read.option("wholetext", whole).option("pathGlobFilter", "*.txt").schema(f"value string, {folder} string")
+    return read.text(path).select(folder, F.col("value").alias(text))
+
+
+def document(row: DataFrame) -> DataFrame:
+    """``row`` (one row) as a JSON document in the shared folder, read again."""
+    path = shared_path(row.sparkSession, "document")
+    row.coalesce(1).write.json(path)
+    return row.sparkSession.read.schema(row.schema).option("multiLine", True).json(path)

@@ -79,3 +79,38 @@ def rank_brands(table: DataFrame, least_inbound: int, least_own: int, least_mult
     from pyspark.sql import Window as W
 
     return passed.select("author", F.round(100.0 - F.col("deflect_pct"), 6).alias("score"), F.rank().over(W.orderBy(F.desc(F.round(100.0 - F.col("deflect_pct"), 6)))).alias("rank"))
+
+
+def brand_profile(msgs: DataFrame) -> DataFrame:
+    """Per outbound author: rates of both kinds of deflection, words a reply, its own conversations (one brand) and their inbound messages,
+    multi-turn ones (depth 2 or more) and sizes, conversations shared with other brands and their inbound messages, first and last seen.
+
+    Rates of conversations are null for a brand that has none of its own. Rows whose author is null are no brand.
+    """
+    conv, own = conversations(msgs), attribution(msgs)
+    single = own.filter("brand is not null").join(conv, "root_id").groupBy(F.col("brand").alias("author")).agg(
+        F.count(F.lit(1)).alias("n_own"), F.sum("n_inbound").alias("n_inbound_own"), F.count_if(F.col("max_depth") >= 2).alias("n_multi_turn"), F.round(F.avg("n_messages"), 2).alias("mean_size"))
+    several = own.filter("n_brands > 1").join(conv, "root_id").select("root_id", "n_inbound")
+    shared = msgs.filter("not inbound").select("root_id", "author").distinct().join(several, "root_id").groupBy("author").agg(F.count(F.lit(1)).alias("n_shared"), F.sum("n_inbound").alias("n_inbound_shared"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    share = lambda a, b, name: F.round(100.0 * F.col(a) / F.col(b), 2).alias(name)
+    return authors(msgs.filter("author is not null")).join(single, "author", "left").join(shared, "author", "left").select(
+        "author", "n_outbound", share("n_deflect", "n_outbound", "deflect_pct"), share("n_deflect_strict", "n_outbound", "deflect_strict_pct"), F.round(F.col("n_words") / F.col("n_outbound"), 1).alias("mean_words"),
+        zero("n_own"), zero("n_inbound_own"), zero("n_multi_turn"), share("n_multi_turn", "n_own", "multi_turn_pct"), "mean_size", zero("n_shared"), zero("n_inbound_shared"), "first_s", "last_s",
+    )
+
+
+def raw_columns(rows: DataFrame) -> DataFrame:
+    """column, n_null of every column of a raw table, from one pass."""
+    one = rows.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in rows.columns])
+    return one.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, rows.columns)), F.array(*[F.col(f"`{c}`") for c in rows.columns]))).alias("column", "n_null"))
+
+
+def raw_messages(rows: DataFrame) -> DataFrame:
+    """One row of raw messages (all strings: tweet_id, in_response_to_tweet_id, created_at): ids and times that cannot be read, parents that are missing, the range of times."""
+    number = lambda c: F.col(c).try_cast("double")
+    parent, at = F.col("in_response_to_tweet_id"), F.try_to_timestamp(F.col("created_at"))
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(number("tweet_id").isNull()).alias("id_non_numeric"), F.count_if(parent.isNull()).alias("parent_missing"), F.count_if(parent.isNotNull() & number("in_response_to_tweet_id").isNull()).alias("parent_non_numeric"),
+        F.count_if(at.isNull()).alias("time_unread"), F.unix_seconds(F.min(at)).alias("first_s"), F.unix_seconds(F.max(at)).alias("last_s"),
+    )

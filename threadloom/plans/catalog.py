@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as X
-from threadloom.operators import audit, evaluation, exchanges, graph, learning, model_calls, policy, profile, retrieval, sampling
+from threadloom.operators import audit, evaluation, exchanges, graph, learning, model_calls, policy, profile, replies, retrieval, sampling
 from threadloom.plans import dialect as D
 from threadloom.session import settle
 from threadloom.sources import tables
@@ -613,3 +613,141 @@ def audit_checks(spark, sf_dir):
 @query("SELECT lang, source, count(*) AS n, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY CUBE (lang, source)")
 def profile_cube(spark, sf_dir):
     return tables.table(spark, sf_dir, "documents").cube("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("n_chars"))
+
+
+# What models answer
+
+
+JUDGED = [
+    (1, '{"relevance": {"score": 4, "why": "x"}, "tone": 5, "unsupported": {"flag": 1}, "apt": 0}'), (2, '```json\n{"relevance": "3", "tone": {"score": 2.5}, "unsupported": 1, "apt": {"flag": "1"}}\n```'),
+    (3, '{"relevance": 6, "tone": 3}'), (4, '{"relevance": {"why": "x"}, "tone": 3}'), (5, "no JSON at all"), (6, '{"relevance": 3.5, "tone": 1, "unsupported": "yes", "apt": "1.0"}'), (7, None), (8, '{"relevance": null, "tone": 2}'),
+    (9, '{"relevance": "nan", "tone": 2}'), (10, '{"relevance": 1e300, "tone": 2}'), (11, '{"relevance": true, "tone": 2, "apt": 1.7}'), (12, "[1, 2]"),
+]
+
+
+@query("""SELECT * FROM (VALUES (1, false, 4, 5, 1, 0, 4.5), (2, false, 3, 2, 1, 1, 2.5), (3, true, NULL, NULL, NULL, NULL, NULL), (4, true, NULL, NULL, NULL, NULL, NULL), (5, true, NULL, NULL, NULL, NULL, NULL),
+(6, false, 4, 1, 0, 0, 2.5), (7, true, NULL, NULL, NULL, NULL, NULL), (8, true, NULL, NULL, NULL, NULL, NULL), (9, true, NULL, NULL, NULL, NULL, NULL), (10, true, NULL, NULL, NULL, NULL, NULL),
+(11, false, 1, 2, 0, 1, 1.5), (12, true, NULL, NULL, NULL, NULL, NULL)) t(id, failed, relevance, tone, unsupported, apt, c), LATERAL (SELECT c::DOUBLE AS composite)""".replace("SELECT * FROM", "SELECT t.* EXCLUDE (c), composite FROM"))
+def judge_rows(spark, sf_dir):
+    rows = spark.createDataFrame(JUDGED, "id int, reply string")
+    return rows.select("id", replies.parse_judgement(F.col("reply"), ["relevance", "tone"], ["unsupported", "apt"]).alias("j")).select("id", "j.*")
+
+
+REPLIES = [
+    (1, '{"results": [{"id": 0, "intent": "good", "confidence": 0.7}, {"id": "1", "intent": "fine", "confidence": "1.5"}, {"id": 2, "intent": "strange", "confidence": 1}, {"id": "x", "intent": "good"}]}'),
+    (2, '{"results": [{"id": 0, "intent": "bad"}, {"id": 0, "intent": "good", "confidence": null}, 7, {"intent": "good"}, {"id": 1.9, "intent": "fine", "confidence": -2}]}'), (3, "broken"),
+]
+
+
+@query("""SELECT * FROM (VALUES (1, 0, 'good', 0.7::DOUBLE, false), (1, 1, 'fine', 1.0, false), (1, 2, 'other', 0.0, true), (1, 3, 'other', 0.0, true), (2, 0, 'good', 0.0, false), (2, 1, 'fine', 0.0, false), (2, 2, 'other', 0.0, true),
+(3, 0, 'other', 0.0, true), (4, 0, 'other', 0.0, true)) t(batch, id, intent, confidence, parse_failed)""")
+def batch_alignment(spark, sf_dir):
+    asked = spark.createDataFrame([(b, i) for b, n in ((1, 4), (2, 3), (3, 1), (4, 1)) for i in range(n)], "batch int, id long")
+    return replies.align_batches(asked, spark.createDataFrame(REPLIES, "batch int, reply string"), INTENTS).withColumn("id", F.col("id").cast("int"))
+
+
+CLAIMS = [
+    (1, '{"claims": [{"c": "a", "supported_by": []}, {"c": "b", "supported_by": ["E1"]}, {"c": "c"}, "loose", {"supported_by": null}, {"supported_by": "E2"}, {"supported_by": ""}]}'),
+    (2, '{"claims": null}'), (3, '{"claims": "none"}'), (4, None), (5, '{"claims": []}'),
+]
+
+
+@query("SELECT * FROM (VALUES (1, 4), (2, 0), (3, 0), (4, 0), (5, 0)) t(id, n_unsupported)")
+def unsupported_claims(spark, sf_dir):
+    return spark.createDataFrame(CLAIMS, "id int, reply string").select("id", replies.unsupported_claims(F.col("reply")).alias("n_unsupported"))
+
+
+@query("SELECT '- billing: money matters' || chr(10) || '    includes: invoices' || chr(10) || '- bugs: what breaks' || chr(10) || '    includes: crashes' || chr(10) || '    excludes: wishes' || chr(10) || '- rest: all else' AS text")
+def taxonomy_text(spark, sf_dir):
+    rows = [(2, "bugs", "what breaks", "crashes", "wishes"), (1, "billing", "money matters", "invoices", ""), (3, "rest", "all else", None, None)]
+    return replies.taxonomy_text(spark.createDataFrame(rows, "place int, name string, definition string, includes string, excludes string"))
+
+
+@query("SELECT doc_id, d.source, d.lang, d.n_chars, l.quality, l.toxic, l.quality + l.toxic AS n_chars_l FROM documents d LEFT JOIN (SELECT * FROM labels WHERE toxic = 0 OR quality = 1) l USING (doc_id)")
+def left_merge(spark, sf_dir):
+    l = tables.table(spark, sf_dir, "labels").filter("toxic = 0 OR quality = 1").select("doc_id", "quality", "toxic", (F.col("quality") + F.col("toxic")).alias("n_chars"))
+    return replies.left_merge(tables.table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars"), l, "doc_id", "_l")
+
+
+_WORDS = lambda t, p: f"regexp_matches(lower(coalesce({t}, '')), {D.lit(X.between_words(p))})"
+
+
+@query(f"""WITH r AS (SELECT doc_id, CASE WHEN {_WORDS("text", FIXTURE_SENSITIVE)} THEN 'sensitive_topic' WHEN {_WORDS("text", FIXTURE_ACCOUNT)} THEN 'account_action_required' WHEN coalesce(n_chars, 0) % 3 = 0 THEN 'insufficient_evidence' ELSE 'rule_baseline' END AS rule_code,
+{_WORDS("text", FIXTURE_SENSITIVE)} OR {_WORDS("text", FIXTURE_ACCOUNT)} OR lang IS NULL OR lang = 'other' AS suggested FROM documents)
+SELECT doc_id, 'good' AS trivial_intent, 'auto_handle' AS trivial_decision, 'trivial_baseline' AS trivial_code, rule_code, CASE WHEN rule_code = 'rule_baseline' THEN 'auto_handle' ELSE 'escalate' END AS rule_decision, suggested FROM r""")
+def baseline_decisions(spark, sf_dir):
+    d = tables.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (F.col("n_chars") % 3).alias("n_hits"))
+    out = replies.baselines(d, "good", FIXTURE_SENSITIVE, FIXTURE_ACCOUNT).withColumn("suggested", replies.suggest_escalation(F.col("text"), F.col("lang"), FIXTURE_SENSITIVE, FIXTURE_ACCOUNT))
+    return out.drop("text", "lang", "n_hits")
+
+
+@query(f"""WITH e AS (SELECT event_id % 3 AS s, event_id % 17 = 0 AS failed, (1 + floor({D.bucket("event_id")} / 8) % 5)::INTEGER AS g FROM events), m AS (SELECT round(avg(g) FILTER (s = 0 AND NOT failed), 6) AS a, round(avg(g) FILTER (s = 2 AND NOT failed), 6) AS c FROM e)
+SELECT a AS agent, c AS control, round(a - c, 6) AS gap, abs(round(a - c, 6)) >= 0.5 AS separates, 0.2::DOUBLE AS chance, abs(0.24 - 0.2) < 0.05 AS near_chance FROM m""")
+def placebo_verdict(spark, sf_dir):
+    e, h = tables.table(spark, sf_dir, "events"), X.bucket(F.col("event_id").cast("string"))
+    system = F.when(F.col("event_id") % 3 == 0, "agent").when(F.col("event_id") % 3 == 1, "baseline").otherwise("placebo")
+    rows = e.select(system.alias("system"), (F.col("event_id") % 17 == 0).alias("failed"), F.lit(False).alias("flagged"), (1 + F.floor(h / 8) % 5).cast("int").alias("groundedness"))
+    return replies.placebo(evaluation.judged(rows, ["groundedness"]), F.lit(0.24), 5)
+
+
+@query("""WITH c AS (SELECT (event_id % 40 + 1) / 8 AS s, CASE WHEN event_id % 13 = 0 THEN 'HTTP 429' WHEN event_id % 13 = 1 THEN 'resource_exhausted' WHEN event_id % 13 = 2 THEN 'Quota' WHEN event_id % 13 = 3 THEN 'timeout' END AS e FROM events)
+SELECT count(*) AS attempted, count(*) FILTER (e IS NULL) AS succeeded, count(*) FILTER (e IN ('HTTP 429', 'resource_exhausted', 'Quota')) AS rate_limited, count(*) FILTER (e = 'timeout') AS other_errors,
+round(avg(s) FILTER (e IS NULL), 2) AS mean_s, round(max(s) FILTER (e IS NULL), 2) AS max_s, round(60 / avg(s) FILTER (e IS NULL), 1) AS per_minute FROM c""")
+def latency_stats(spark, sf_dir):
+    k = F.col("event_id") % 13
+    error = F.when(k == 0, "HTTP 429").when(k == 1, "resource_exhausted").when(k == 2, "Quota").when(k == 3, "timeout")
+    return replies.latency(tables.table(spark, sf_dir, "events").select(((F.col("event_id") % 40 + 1) / 8).alias("seconds"), error.alias("error")))
+
+
+@query("SELECT * FROM (VALUES ('m-1.5-lite', 0, -1.5::DOUBLE, 10), ('M-2-flash', 1, -2.0, 9), ('pro-3.1-7', 3, -7.0, 9), ('plain', 2, 0.0, 5)) t(name, tier, version, length)")
+def cheapness_rank(spark, sf_dir):
+    names = spark.createDataFrame([("m-1.5-lite",), ("M-2-flash",), ("pro-3.1-7",), ("plain",)], "name string")
+    return names.select("name", replies.cheapness(F.col("name")).alias("c")).select("name", "c.*")
+
+
+# Profiles and sinks, the rest
+
+
+@query(f"""WITH RECURSIVE {D.THREADS}, {_OWN}, {_CONV}, a AS (SELECT author, count(*) AS n_outbound, count(*) FILTER ({D.has("text", X.DEFLECT)}) AS n_deflect, count(*) FILTER ({D.has("text", X.DEFLECT)} AND {D.words("text")} <= 25) AS n_strict, sum({D.words("text")}) AS n_words, min(created_s) AS first_s, max(created_s) AS last_s FROM msgs WHERE NOT inbound GROUP BY author),
+s AS (SELECT brand AS author, count(*) AS n_own, sum(n_inbound) AS n_in, count(*) FILTER (max_depth >= 2) AS n_multi, round(avg(n_messages), 2) AS mean_size FROM own JOIN conv USING (root_id) WHERE brand IS NOT NULL GROUP BY brand),
+m AS (SELECT author, count(*) AS n_shared, sum(n_inbound) AS n_in FROM (SELECT DISTINCT root_id, author FROM thr WHERE NOT inbound) JOIN own USING (root_id) JOIN conv USING (root_id) WHERE n_brands > 1 GROUP BY author)
+SELECT a.author, n_outbound, round(100.0::DOUBLE * n_deflect / n_outbound, 2) AS deflect_pct, round(100.0::DOUBLE * n_strict / n_outbound, 2) AS deflect_strict_pct, round(n_words / n_outbound, 1)::DOUBLE AS mean_words, coalesce(n_own, 0)::BIGINT AS n_own, coalesce(s.n_in, 0)::BIGINT AS n_inbound_own,
+coalesce(n_multi, 0)::BIGINT AS n_multi_turn, round(100.0::DOUBLE * n_multi / n_own, 2) AS multi_turn_pct, mean_size, coalesce(n_shared, 0)::BIGINT AS n_shared, coalesce(m.n_in, 0)::BIGINT AS n_inbound_shared, first_s, last_s FROM a LEFT JOIN s USING (author) LEFT JOIN m USING (author)""")
+def brand_profile(spark, sf_dir):
+    return profile.brand_profile(threads(spark, sf_dir))
+
+
+def raw(spark, sf_dir):
+    """Messages as a raw table of strings, some of them unreadable."""
+    m, k = tables.messages(spark, sf_dir), F.col("tweet_id") % 50
+    s = lambda c: F.col(c).cast("string")
+    at = F.when(k == 5, "yesterday").when(k != 6, F.date_format(F.timestamp_seconds("created_s"), "yyyy-MM-dd HH:mm:ss"))
+    return m.select(F.when(k == 0, F.concat(F.lit("t"), s("tweet_id"))).otherwise(s("tweet_id")).alias("tweet_id"), F.when(k == 3, "none").otherwise(s("parent_id")).alias("in_response_to_tweet_id"), at.alias("created_at"), "text")
+
+
+@query(f"""WITH {D.MSGS} SELECT count(*) AS n_rows, count(*) FILTER (tweet_id % 50 = 0) AS id_non_numeric, count(*) FILTER (parent_id IS NULL AND tweet_id % 50 <> 3) AS parent_missing, count(*) FILTER (tweet_id % 50 = 3) AS parent_non_numeric,
+count(*) FILTER (tweet_id % 50 IN (5, 6)) AS time_unread, min(created_s) FILTER (tweet_id % 50 NOT IN (5, 6)) AS first_s, max(created_s) FILTER (tweet_id % 50 NOT IN (5, 6)) AS last_s FROM msgs""")
+def raw_profile(spark, sf_dir):
+    return profile.raw_messages(raw(spark, sf_dir))
+
+
+@query(f"""WITH {D.MSGS} SELECT unnest(['tweet_id', 'in_response_to_tweet_id', 'created_at', 'text']) AS "column", unnest([0, count(*) FILTER (parent_id IS NULL AND tweet_id % 50 <> 3), count(*) FILTER (tweet_id % 50 = 6), count(*) FILTER (text IS NULL)]) AS n_null FROM msgs""")
+def raw_nulls(spark, sf_dir):
+    return profile.raw_columns(raw(spark, sf_dir))
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 500")
+def limited_scan(spark, sf_dir):
+    return tables.first_rows(tables.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), 500, "o_orderkey")
+
+
+@query("SELECT source, count(*) AS n, sum(len(regexp_replace(text, '[\\r\\n]+', ' ', 'g')))::BIGINT AS n_chars FROM documents WHERE text IS NOT NULL GROUP BY source")
+def text_tree_scan(spark, sf_dir):
+    read = audit.text_tree(tables.table(spark, sf_dir, "documents").select("source", "text"), "source")
+    return read.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query("SELECT count(*) AS n_rows, sum(n_chars)::BIGINT AS n_chars, list_sort(list(DISTINCT lang))::VARCHAR AS langs FROM documents")
+def json_document(spark, sf_dir):
+    facts = tables.table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_chars").alias("n_chars"), F.array_sort(F.collect_set("lang")).alias("langs"))
+    return audit.document(facts).withColumn("langs", F.concat(F.lit("["), F.array_join("langs", ", "), F.lit("]")))

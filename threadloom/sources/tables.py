@@ -68,3 +68,8 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     pred = F.when(F.col("n_chars") % 7 == 0, (F.col("quality") * 2 + F.col("toxic") + 1) % 4).when(F.col("lang") == "es", F.lit(2)).otherwise(F.col("quality") * 2 + F.col("toxic"))
     conf = F.round((F.col("n_chars") % 101) / 100.0, 2)
     return d.select("doc_id", "lang", (F.col("quality") * 2 + F.col("toxic")).alias("gold"), pred.alias("pred"), conf.alias("conf"), (F.col("toxic") == 1).alias("gold_escalate"), (F.col("n_chars") % 5 == 0).alias("pred_escalate"), "n_chars")
+
+
+def first_rows(rows: DataFrame, n: int, *by: str) -> DataFrame:
+    """The first ``n`` rows in that order, so that a limited scan gives the same rows each time."""
+    return rows.orderBy(*by).limit(n)
