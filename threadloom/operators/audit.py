@@ -48,8 +48,8 @@ def text_tree(rows: DataFrame, folder: str, text: str = "text", whole: bool = Fa
     path = shared_path(rows.sparkSession, "tree")
     lines = rows.filter(F.col(text).isNotNull()).select(folder, F.regexp_replace(text, r"[\r\n]+", " ").alias("value"))
     lines.write.partitionBy(folder).text(path)
-    read = rows.sparkSession.read.option("wholetext", whole).option("pathGlobFilter", "*.txt").schema(f"value string, {folder} string")
-    return read.text(path).select(folder, F.col("value").alias(text))
+    read = rows.sparkSession.read.option("pathGlobFilter", "*.txt").schema(f"value string, {folder} string")
+    return read.text(path, wholetext=whole).select(folder, F.col("value").alias(text))
 
 
 def document(row: DataFrame) -> DataFrame:

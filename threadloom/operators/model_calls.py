@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import random
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as X
+from threadloom.session import settle
 
 PROMPT = "Message: %s\nReturn ONLY JSON with intent and confidence."
 
@@ -30,24 +34,51 @@ def with_cache(prompts: DataFrame, cache: DataFrame) -> DataFrame:
     return prompts.join(cache.groupBy("key").agg(F.max("response").alias("response")), "key", "left")
 
 
-def call_model(prompts: DataFrame, client: Callable[[str], str], attempts: int = 4) -> DataFrame:
-    """key, response of prompts (key, prompt); a call that keeps failing gives null. The client is called in the partitions."""
+def call_model(prompts: DataFrame, client: Callable[[str], str], attempts: int = 4, wait_s: float = 0.0) -> DataFrame:
+    """key, response, tries, waited_s of prompts (key, prompt); a call that keeps failing gives null. The client is called in the partitions.
+
+    Before another try a task waits ``wait_s`` seconds, twice as long each time, and up to as much again by chance.
+    """
 
     def calls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for p in b["prompt"]:
-                reply = None
-                for _ in range(attempts):
-                    try:
+                reply, waited, tried = None, 0.0, 0
+                while reply is None and tried < attempts:
+                    if tried and wait_s:
+                        pause = wait_s * 2 ** (tried - 1) * (1 + random.random())
+                        time.sleep(pause)
+                        waited += pause
+                    tried += 1
+                    with contextlib.suppress(OSError, TimeoutError):
                         reply = client(p)
-                        break
-                    except (OSError, TimeoutError):
-                        continue
-                out.append(reply)
-            yield pd.DataFrame({"key": b["key"], "response": out})
+                out.append((reply, tried, waited))
+            yield pd.DataFrame({"key": b["key"], **{c: [o[i] for o in out] for i, c in enumerate(("response", "tries", "waited_s"))}})
+
+    return prompts.select("key", "prompt").mapInPandas(calls, "key string, response string, tries int, waited_s double")
 
-    return prompts.select("key", "prompt").mapInPandas(calls, "key string, response string")
+
+def answered(prompts: DataFrame, path: str, client: Callable[[str], str], attempts: int = 4, wait_s: float = 0.0) -> DataFrame:
+    """key, response, tries (0: from the cache), waited_s of each distinct key of prompts (key, prompt).
+
+    The cache is a Parquet table (key, response) at ``path``; what it lacks is asked once a key, written to the
+    shared folder, and what came back is appended. A response that is null is not cached: it is asked again next time.
+    """
+    spark = prompts.sparkSession
+    cache = spark.read.schema("key string, response string").parquet(path).groupBy("key").agg(F.max("response").alias("response"))
+    wanted = prompts.groupBy("key").agg(F.min("prompt").alias("prompt"))
+    hits = settle(wanted.join(cache, "key").select("key", "response", F.lit(0).alias("tries"), F.lit(0.0).alias("waited_s")), "hits")
+    fresh = settle(call_model(wanted.join(hits, "key", "left_anti"), client, attempts, wait_s), "answers")
+    fresh.filter("response is not null").select("key", "response").write.mode("append").parquet(path)
+    return hits.unionByName(fresh)
+
+
+def usage(calls: DataFrame) -> DataFrame:
+    """One row of answered calls: how many were made, came from the cache, failed, were tried again, and the seconds waited."""
+    made = F.col("tries") > 0
+    again = F.coalesce(F.sum(F.when(made, F.col("tries") - 1)), F.lit(0)).alias("retries")
+    return calls.agg(F.count_if(made).alias("calls"), F.count_if(F.col("tries") == 0).alias("cache_hits"), F.count_if(made & F.col("response").isNull()).alias("errors"), again, F.coalesce(F.round(F.sum("waited_s"), 3), F.lit(0.0)).alias("waited_s"))
 
 
 def parse_reply(reply: Column) -> Column:

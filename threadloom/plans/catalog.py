@@ -633,7 +633,7 @@ def judge_rows(spark, sf_dir):
     return rows.select("id", replies.parse_judgement(F.col("reply"), ["relevance", "tone"], ["unsupported", "apt"]).alias("j")).select("id", "j.*")
 
 
-REPLIES = [
+BATCHES = [
     (1, '{"results": [{"id": 0, "intent": "good", "confidence": 0.7}, {"id": "1", "intent": "fine", "confidence": "1.5"}, {"id": 2, "intent": "strange", "confidence": 1}, {"id": "x", "intent": "good"}]}'),
     (2, '{"results": [{"id": 0, "intent": "bad"}, {"id": 0, "intent": "good", "confidence": null}, 7, {"intent": "good"}, {"id": 1.9, "intent": "fine", "confidence": -2}]}'), (3, "broken"),
 ]
@@ -643,7 +643,7 @@ REPLIES = [
 (3, 0, 'other', 0.0, true), (4, 0, 'other', 0.0, true)) t(batch, id, intent, confidence, parse_failed)""")
 def batch_alignment(spark, sf_dir):
     asked = spark.createDataFrame([(b, i) for b, n in ((1, 4), (2, 3), (3, 1), (4, 1)) for i in range(n)], "batch int, id long")
-    return replies.align_batches(asked, spark.createDataFrame(REPLIES, "batch int, reply string"), INTENTS).withColumn("id", F.col("id").cast("int"))
+    return replies.align_batches(asked, spark.createDataFrame(BATCHES, "batch int, reply string"), INTENTS).withColumn("id", F.col("id").cast("int"))
 
 
 CLAIMS = [
