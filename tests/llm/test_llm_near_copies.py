@@ -52,6 +52,31 @@ def test_group_of_many_near_copies(spark):
     assert kept(corpus_pipeline.near_duplicates(spark, df, "")) == want
 
 
+def test_lists_dealt_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "LIST_BLOCK", 7)
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join(f"n{i}x{k}" if k in gone else w for k, w in enumerate(base))) for i in range(120) if (gone := set(rng.choice(60, int(rng.integers(0, 4)), replace=False).tolist())) is not None]
+    want, pairs = brute_force(rows)
+    assert pairs > 100 and 1 < len(want) < 120
+    df = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], SCHEMA)
+    assert kept(corpus_pipeline.near_duplicates(spark, df, "")) == want
+
+
+def test_block_pairs_are_all_that_may_be_similar():
+    rng = np.random.default_rng(9)
+    common = rng.integers(0, 2**64, 40, dtype=np.uint64)
+    sets = [np.unique(np.r_[common[rng.random(40) < rng.choice([0.5, 0.95])], rng.integers(0, 2**64, int(rng.integers(0, 12)), dtype=np.uint64)]) for _ in range(1300)]
+    n, root, block = np.array([len(x) for x in sets]), rng.integers(0, 300, 1300), rng.integers(0, 2, 1300)
+    short = np.frombuffer(b"".join(near_copies.folded(x) for x in sets), np.uint8).reshape(-1, near_copies.FOLDED)
+    found = set(zip(*(x.tolist() for x in near_copies.block_pairs(n, np.zeros(1300, dtype=np.int64), root, block, short)), strict=True))
+    assert all(root[p] < root[q] and block[p] != block[q] for p, q in found)
+    for p in range(0, 1300, 13):
+        for q in range(1300):
+            if root[p] < root[q] and block[p] != block[q] and near_copies.similar(sets[p], sets[q]):
+                assert (p, q) in found
+
+
 def test_no_documents(spark):
     assert near_copies.drop_near_copies(spark.createDataFrame([], SCHEMA)).count() == 0
 

@@ -33,7 +33,9 @@ COMMON = 3
 #: One distinct text in so many counts for the order; in how many of them a shingle is frequent; frequent shingles told apart, at most.
 ONE_IN, OFTEN, FREQUENT = 8, 3, 400_000
 #: Pairs of a document in the first step; rounds of more pairs once the groups so far are known, a document's pairs in each, and neighbours looked at in a posting list.
-LINKS, AGAIN, MORE, TRIES = 2, 2, 16, 4
+LINKS, AGAIN, MORE, TRIES = 2, 1, 16, 4
+#: Rows of a block of a posting list; buckets of the folded sketch that stands beside each row there; pairs whose sketches are compared at once.
+LIST_BLOCK, FOLDED, AT_ONCE = 512, 128, 8192
 #: Rows up to which a table of ids or fingerprints is broadcast.
 SMALL = 1_000_000
 _BLOCK = 1 << 16
@@ -71,6 +73,11 @@ def sketch(own: np.ndarray) -> bytes:
     return np.minimum(np.bincount((own & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets), 255).astype(np.uint8).tobytes()
 
 
+def folded(own: np.ndarray) -> bytes:
+    """A sketch of FOLDED buckets, whatever the set's size; 255 is 255 or more."""
+    return np.minimum(np.bincount((own & np.uint64(FOLDED - 1)).astype(np.int64), minlength=FOLDED), 255).astype(np.uint8).tobytes()
+
+
 def may_be_similar(n: int, x: bytes, m: int, y: bytes) -> bool:
     """Whether sketches allow a similarity of 0.8: never false for two sets that have it."""
     a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
@@ -114,7 +121,7 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, n (distinct shingles), sim, sketch, prefix: one row a row of ``docs``."""
+    """doc_id, fp, n (distinct shingles), sim, sketch, folded, prefix: one row a row of ``docs``."""
     table = docs.sparkSession.sparkContext.broadcast(frequent(docs))
 
     def rows(batches):
@@ -128,13 +135,13 @@ def prefixes(docs: DataFrame) -> DataFrame:
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     often = np.where(known[at] == own, counts[at], 0)
                 keep = min(n, n - (OVER * n + UNDER - 1) // UNDER + COMMON)
-                out.append((name_of(own), n, simhash_of(own), sketch(own), own[np.lexsort((own, often))[:keep]].view(np.int64)))
-            fp, n, sim, sketches, first = zip(*out, strict=True) if out else [()] * 5
+                out.append((name_of(own), n, simhash_of(own), sketch(own), folded(own), own[np.lexsort((own, often))[:keep]].view(np.int64)))
+            fp, n, sim, sketches, short, first = zip(*out, strict=True) if out else [()] * 6
             signed = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
-            columns = [b.column("doc_id"), signed(fp), pa.array(n, pa.int32()), signed(sim), pa.array(sketches, pa.binary()), pa.array(first, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "n", "sim", "sketch", "prefix"])
+            columns = [b.column("doc_id"), signed(fp), pa.array(n, pa.int32()), signed(sim), pa.array(sketches, pa.binary()), pa.array(short, pa.binary()), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "n", "sim", "sketch", "folded", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, fp long, n int, sim long, sketch binary, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, fp long, n int, sim long, sketch binary, folded binary, prefix array<long>")
 
 
 def possible(n: Column, at: Column, m: Column, place: Column) -> Column:
@@ -143,6 +150,72 @@ def possible(n: Column, at: Column, m: Column, place: Column) -> Column:
     return (UNDER * F.least(n, m) >= OVER * F.greatest(n, m)) & ((OVER + UNDER) * most >= OVER * (n + m))
 
 
+def block_pairs(n: np.ndarray, at: np.ndarray, root: np.ndarray, block: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places p, q of a list's rows with root[p] < root[q] that may be similar by sizes, places and folded sketches.
+
+    Where the rows are of two blocks, each pair has one of each.
+    """
+    found, full, two = [], (short == 255).any(axis=1), block[0] != block[-1] or len(np.unique(block)) > 1
+    for s in range(0, len(n), LIST_BLOCK):
+        x = slice(s, s + LIST_BLOCK)
+        good = root[x, None] < root[None, :]
+        if two:
+            good &= block[x, None] != block[None, :]
+        good &= UNDER * np.minimum(n[x, None], n) >= OVER * np.maximum(n[x, None], n)
+        good &= (OVER + UNDER) * (np.minimum((n - at)[x, None], n - at) + (COMMON - 1)) >= OVER * (n[x, None] + n)
+        p, q = np.nonzero(good)
+        p += s
+        for k in range(0, len(p), AT_ONCE):
+            i, j = p[k : k + AT_ONCE], q[k : k + AT_ONCE]
+            shared = np.minimum(short[i], short[j]).sum(axis=1, dtype=np.int64)
+            may = full[i] | full[j] | (UNDER * shared >= OVER * (n[i] + n[j] - shared))
+            found.append((i[may], j[may]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.int64),) * 2
+
+
+def list_pairs(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: the pairs of posting lists (sh, fp, n, at, root, many: the list's rows) of different roots that may be similar.
+
+    They share COMMON shingles of their prefixes (or all they must share), and the folded sketches of ``sets``
+    (fp, folded) allow it. A list is dealt in blocks of about LIST_BLOCK rows: a task compares two blocks,
+    and gives only the pairs that pass, so neither a row for each pair nor a long list meets in one place.
+    """
+    blocks = F.ceil(F.col("many") / LIST_BLOCK).cast("int")
+    dealt = lists.join(sets, "fp").withColumn("block", F.pmod(F.xxhash64("fp", "sh"), blocks).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("sh", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "fp", "n", "at", "root", "folded")
+
+    def compared(rows: pd.DataFrame) -> pd.DataFrame:
+        whole = rows[["sh", "i", "j"]].to_numpy(dtype=np.int64)
+        ends = np.r_[np.flatnonzero((whole[1:] != whole[:-1]).any(axis=1)) + 1, len(rows)]
+        fp, n, at, root, block = (rows[c].to_numpy(dtype=np.int64) for c in ("fp", "n", "at", "root", "block"))
+        short = np.frombuffer(b"".join(rows["folded"]), np.uint8).reshape(-1, FOLDED)
+        out, start = [], 0
+        for end in ends.tolist():
+            own = slice(start, end)
+            if end - start > 1 and (root[own] != root[start]).any():
+                p, q = block_pairs(n[own], at[own], root[own], block[own], short[own])
+                out.append((p + start, q + start))
+            start = end
+        p, q = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, dtype=np.int64),) * 2
+        must = (OVER * np.maximum(n[p], n[q]) + UNDER - 1) // UNDER
+        return pd.DataFrame({"a": fp[p], "b": fp[q], "least": np.minimum(COMMON, must)})
+
+    def rows(batches):
+        held = None
+        for b in batches:
+            held = b if held is None else pd.concat([held, b], ignore_index=True)
+            key = held[["sh", "i", "j"]].to_numpy(dtype=np.int64)
+            last = int(np.flatnonzero((key != key[-1]).any(axis=1)).max(initial=-1)) + 1 if len(held) else 0
+            if last:
+                yield compared(held.iloc[:last])
+                held = held.iloc[last:]
+        if held is not None and len(held):
+            yield compared(held)
+
+    each = dealt.repartition("sh", "i", "j").sortWithinPartitions("sh", "i", "j").mapInPandas(rows, "a long, b long, least long")
+    return each.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.max("least").alias("least")).filter("k >= least").select("a", "b")
+
+
 def few(df: DataFrame) -> DataFrame:
     """``df`` marked for a broadcast if its counted size is small, for an exchange beyond that."""
     return F.broadcast(df) if df.count() <= SMALL else df.hint("merge")
@@ -220,7 +293,7 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         member = components(links, name).select(F.col("node").alias("fp"), "root")
         rooted = shared.select("sh", "fp", "n", "at").join(member, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         within = W.partitionBy("sh")
-        return materialise(rooted.withColumn("lo", F.min("root").over(within)).withColumn("hi", F.max("root").over(within)).filter("lo < hi").drop("lo", "hi"), "unlinked")
+        return materialise(rooted.withColumn("lo", F.min("root").over(within)).withColumn("hi", F.max("root").over(within)).withColumn("many", F.count(F.lit(1)).over(within)).filter("lo < hi").drop("lo", "hi"), "unlinked")
 
     first = checked(some)
     for again in range(AGAIN):
@@ -232,12 +305,7 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         near = near.withColumn("r", F.row_number().over(W.partitionBy("fp").orderBy(F.desc("k"), "b"))).filter(F.col("r") <= MORE)
         first = first.unionByName(checked(near.select(F.col("fp").alias("a"), "b")))
     # What these links have not put into one group: every such pair of a posting list.
-    rooted = unlinked(first, "more-links")
-    p, q = rooted.alias("p"), rooted.alias("q")
-    rest = p.join(q, (F.col("p.sh") == F.col("q.sh")) & (F.col("p.root") < F.col("q.root")) & possible(F.col("p.n"), F.col("p.at"), F.col("q.n"), F.col("q.at")))
-    least = F.least(F.lit(COMMON), F.ceil(F.greatest("p.n", "q.n") * F.lit(OVER) / F.lit(UNDER)))
-    rest = rest.groupBy(F.col("p.fp").alias("a"), F.col("q.fp").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.max(least).alias("least")).filter("k >= least")
-    rest = checked(rest.select("a", "b"))
+    rest = checked(list_pairs(unlinked(first, "more-links"), sets("folded")))
     links = components(first.unionByName(rest), "all-links").select(F.col("node").alias("fp"), "root")
     return ids, materialise(links, "members")
 
