@@ -91,3 +91,9 @@ def membership(hashes: DataFrame) -> np.ndarray:
     words = np.zeros(size // 64, dtype=np.uint64)
     words[got["word"].to_numpy(dtype=np.int64)] = got["bits"].to_numpy(dtype=np.int64).view(np.uint64)
     return words
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table of this subpackage's own that nothing reads any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

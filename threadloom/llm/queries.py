@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import bpe, langid, license_scan, media, mixing, quality, simhash, token_count, token_store, topk
+from threadloom.llm import bpe, langid, license_scan, media, merkle, mixing, quality, quality_rules, simhash, token_count, token_store, topk, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,8 +51,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes_and_errors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(table(spark, sf_dir, "documents"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_token_store, op3_quality, op4_simhash, op5_media, op6_token_count, op7_topk, op8_bpe, op9_langid, op10_mixing)}
+    own = (op1_license_scan, op2_token_store, op3_quality, op4_simhash, op5_media, op6_token_count, op7_topk, op8_bpe, op9_langid, op10_mixing, op11_vector_codes, op12_merkle, op13_quality_rules)
+    return {f.__name__: f for f in own}
 
 
 def license_sql(templates: tuple[license_scan.Template, ...] = license_scan.TEMPLATES) -> str:
@@ -99,5 +112,49 @@ SELECT d.*, x.copy_no::INTEGER AS copy_no, md5(d.doc_id || ':' || x.copy_no || '
 FROM documents d JOIN k USING (doc_id), unnest(range(0, copies)) AS x(copy_no)"""
 
 
+def codes_sql(rounds: int = 6) -> str:
+    """Every part against every entry, a common table for each round."""
+    out = """
+WITH k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, s, v[s * len(v) // 8 + 1 : (s + 1) * len(v) // 8] AS x FROM k, range(8) AS t(s)),
+c0 AS MATERIALIZED (SELECT s, e - 1 AS e, x AS c FROM (SELECT s, x, row_number() OVER (PARTITION BY s ORDER BY vec_id) AS e FROM p) WHERE e <= 16)"""
+    for r in range(rounds + 1):
+        out += f""",
+a{r} AS MATERIALIZED (SELECT vec_id, s, min({{'d': d, 'e': e}}) AS m, any_value(x) AS x FROM (SELECT vec_id, s, e, x, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::BIGINT AS d FROM p JOIN c{r} USING (s)) GROUP BY vec_id, s)"""
+        if r < rounds:
+            out += f""",
+n{r} AS (SELECT s, e, list((t - ((t % n) + n) % n) // n ORDER BY j) AS c FROM (SELECT s, m.e AS e, j, sum(x[j])::BIGINT AS t, count(*) AS n FROM a{r}, unnest(range(1, len(x) + 1)) AS u(j) GROUP BY ALL) GROUP BY s, e),
+c{r + 1} AS MATERIALIZED (SELECT s, e, coalesce(n{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN n{r} USING (s, e))"""
+    return out + f""",
+g AS (SELECT vec_id, string_agg(lpad(lower(to_hex(m.e)), 2, '0'), '' ORDER BY s) AS code, sum(m.d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY s, e)) FROM c{rounds}) AS codebooks_sha256 FROM g JOIN k USING (vec_id)"""
+
+
+_FIELD = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({c}::VARCHAR)) || ':' || {c} END"
+_LEAF = lambda text: "sha256(" + " || ".join(map(_FIELD, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+#: CRC-32 bit by bit over the digits of the id; both kinds of tree (k 0: of a source, 1: over the subroots) climb by the same recursion.
+MERKLE_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, {_LEAF("text")} AS leaf, {_LEAF("replace(text, chr(10), '')")} AS changed,
+  xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda r, b: list_reduce(list_prepend(xor(r, b), range(8)), lambda z, i: CASE WHEN z % 2 = 1 THEN xor(z // 2, 3988292384) ELSE z // 2 END)), 4294967295) % 2 = 0 AS trial FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM d),
+low AS (SELECT source, 0 AS level, idx, leaf AS h, count(*) OVER (PARTITION BY source) AS n FROM l
+  UNION ALL SELECT source, level + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 2) // 3 FROM low WHERE n > 1 GROUP BY source, level, idx // 3),
+sub AS (SELECT source, h, level, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place FROM low WHERE n = 1),
+high AS (SELECT 0 AS level, place AS idx, h, count(*) OVER () AS n FROM sub
+  UNION ALL SELECT level + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 2) // 3 FROM high WHERE n > 1 GROUP BY level, idx // 3),
+nodes AS (SELECT 0 AS k, coalesce('s' || source, '') AS t, level, idx, h FROM low WHERE n > 1 UNION ALL SELECT 1, '', level, idx, h FROM high WHERE n > 1),
+up AS (SELECT k, t, level, idx, h AS own, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b
+  FROM nodes WINDOW w AS (PARTITION BY k, t, level, idx // 3 ORDER BY idx)),
+f AS (SELECT row_number() OVER () AS id, doc_id, source, leaf, 0 AS k, 0 AS level, idx, CASE WHEN trial THEN coalesce(changed, leaf) ELSE leaf END AS h, '' AS proof FROM l
+  UNION ALL SELECT id, doc_id, f.source, leaf, CASE WHEN up.k IS NULL THEN 1 ELSE f.k END, CASE WHEN up.k IS NULL THEN 0 ELSE f.level + 1 END, CASE WHEN up.k IS NULL THEN sub.place ELSE f.idx // 3 END,
+    CASE WHEN up.k IS NULL THEN f.h ELSE sha256(a || f.h || b) END, proof || coalesce(a || b, '')
+  FROM f JOIN sub ON sub.source IS NOT DISTINCT FROM f.source LEFT JOIN up ON up.k = f.k AND up.t = CASE WHEN f.k = 0 THEN coalesce('s' || f.source, '') ELSE '' END AND up.level = f.level AND up.idx = f.idx
+  WHERE up.k IS NOT NULL OR f.k = 0),
+e AS (SELECT id, any_value(doc_id) AS doc_id, any_value(source) AS source, any_value(leaf) AS leaf, arg_max(h, k * 1000 + level) AS folded_root, sha256(arg_max(proof, k * 1000 + level)) AS proof_sha256 FROM f GROUP BY id)
+SELECT doc_id, leaf, sub.h AS subroot, r.h AS root, proof_sha256, folded_root, folded_root = r.h AS verified FROM e JOIN sub ON sub.source IS NOT DISTINCT FROM e.source, (SELECT h FROM high WHERE n = 1) r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_sql(), "op7_topk": TOPK_SQL, "op10_mixing": MIX_SQL}
+    return {"op1_license_scan": license_sql(), "op7_topk": TOPK_SQL, "op10_mixing": MIX_SQL, "op11_vector_codes": codes_sql(), "op12_merkle": MERKLE_SQL}
