@@ -15,22 +15,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import materialise
+from threadloom.llm.common import bound_batches, materialise
 
 SCALE = 64
-#: Candidates in a shard of the index, and queries in a block.
-SHARD, BLOCK = 65_536, 512
+#: No component that is scored is larger.
+LARGEST = 2.0**52
+#: Candidates in a shard of the index.
+SHARD = 65_536
+#: Tasks aimed at: with fewer shards, each is searched in so many parts of the queries that there are about as many.
+TASKS = 16
 #: Processing stops when at most this share of a shard's candidates is possible.
 RESCORE = 0.05
 
 
-def pack(vectors: pd.Series) -> pd.Series:
-    """floor(SCALE * x) as packed 64-bit integers; None for a vector with a null or non-finite component."""
-    out = []
+def pack(vectors: pd.Series) -> pd.DataFrame:
+    """v: floor(SCALE * x) as packed 64-bit integers, None for a vector with a null or non-finite component; top: the largest absolute value of SCALE * x, and 1."""
+    out, top = [], []
     for v in vectors:
-        x = None if v is None else np.array([np.nan if c is None else c for c in v], dtype=np.float64)
-        out.append(None if x is None or not np.isfinite(x).all() else np.floor(SCALE * x).astype("<i8").tobytes())
-    return pd.Series(out, dtype=object)
+        x = None if v is None else SCALE * np.array([np.nan if c is None else c for c in v], dtype=np.float64)
+        good = x is not None and np.isfinite(x / SCALE).all()
+        top.append(1 + float(np.abs(x).max(initial=0.0)) if good else 0.0)
+        out.append(np.floor(np.clip(x, -LARGEST, LARGEST)).astype("<i8").tobytes() if good else None)
+    return pd.DataFrame({"v": pd.Series(out, dtype=object), "top": pd.Series(top, dtype=float)})
 
 
 def unpack(packed: list[bytes], width: int) -> np.ndarray:
@@ -101,32 +107,60 @@ class Index:
         return int(np.partition(self.vectors[lead] @ q, len(lead) - k)[len(lead) - k])
 
 
-def top_k(vectors: DataFrame, k: int = 20, every: int = 20, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+def search(width: int, k: int):
+    """Answers queries from rows (shard, part, kind, vec_id, v) sorted by these: a shard's candidates (kind 0) come first, queries follow batch by batch."""
+
+    def found(batches):
+        key, ids, vectors, index = None, [], [], None
+        for b in batches:
+            if not len(b):
+                continue
+            names = b[["shard", "part", "kind"]].to_numpy(dtype=np.int64)
+            starts = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]).any(axis=1)])
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(b)], strict=True):
+                own = names[s, :2].tolist()
+                if own != key:
+                    key, ids, vectors, index = own, [], [], None
+                part, v = b["vec_id"].to_numpy(dtype=np.int64)[s:e], unpack(b["v"].iloc[s:e].tolist(), width)
+                if names[s, 2] == 0:
+                    ids.append(part)
+                    vectors.append(v)
+                elif ids:
+                    index = index or Index(np.concatenate(ids), np.concatenate(vectors))
+                    for one, q in zip(part.tolist(), v, strict=True):
+                        near, score = index.search(one, q, k)
+                        yield pd.DataFrame({"query_id": one, "vec_id": near, "score": score})
+
+    return found
+
+
+def top_k(vectors: DataFrame, k: int = 20, every: int = 20, shard: int = SHARD, tasks: int = TASKS) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows of each row whose vec_id is divisible by ``every``.
 
     Ties go to the smaller vec_id. Rows with a null vec_id or a vector that is null or holds null or
-    non-finite components take no part; a shorter vector counts as filled up with zeros. Rows that repeat an
-    id are candidates each, never for a query of that id, which is answered once. Blocks of queries meet
-    shards of candidates; each pair gives k rows a query at most, and these meet by query.
+    non-finite components take no part; a shorter vector counts as filled up with zeros, an empty one scores 0. Rows that repeat an
+    id are candidates each, never for a query of that id, which is answered once. Components whose products could leave
+    64 bits are an error, never a wrong score. An empty table gives an empty result; other columns, whatever their names, are not read.
+
+    A shard of candidates is indexed once in a task, to which all queries are sent; only while there are fewer shards than
+    ``tasks`` are shards copied, for a part of the queries each. Each gives k rows a query at most, and these meet by query.
     """
-    pack_column = F.pandas_udf(pack, "binary").asNondeterministic()
-    packed = materialise(vectors.filter("vec_id is not null").select("vec_id", pack_column("embedding").alias("v")).filter("v is not null"), "vectors")
-    n, n_queries, width = packed.agg(F.count(F.lit(1)), F.count_if(F.col("vec_id") % every == 0), F.max(F.octet_length("v"))).first()
-    shards, blocks, width = max(1, -(-n // shard)), max(1, -(-n_queries // block)), (width or 0) // 8
+    bound_batches(vectors.sparkSession)
+    pack_column = F.pandas_udf(pack, "v binary, top double").asNondeterministic()
+    packed = vectors.filter("vec_id is not null").select("vec_id", pack_column("embedding").alias("p")).select("vec_id", "p.v", "p.top").filter("v is not null")
+    packed = materialise(packed, "vectors")
+    n, width, top = packed.agg(F.count(F.lit(1)), F.max(F.octet_length("v")), F.max("top")).first()
+    width = (width or 0) // 8
+    if n and (top >= LARGEST or width * top * top >= 2.0**62):
+        raise ValueError(f"components as large as {top / SCALE} have products beyond 64 bits")
+    shards = max(1, -(-n // shard))
+    parts = max(1, tasks // shards)
     place = lambda name, parts: F.pmod(F.xxhash64("vec_id", F.lit(name)), F.lit(parts)).cast("int")
-    candidates = packed.select("vec_id", "v", place("shard", shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    candidates = packed.select(place("shard", shards).alias("shard"), all_(parts).alias("part"), F.lit(0).alias("kind"), "vec_id", "v")
     queries = packed.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    queries = queries.select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), place("block", blocks).alias("block"))
-
-    def search(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(asked) and len(held):
-            index = Index(held["vec_id"].to_numpy(dtype=np.int64), unpack(held["v"].tolist(), width))
-            for own, q in zip(asked["vec_id"].to_numpy(dtype=np.int64).tolist(), unpack(asked["v"].tolist(), width), strict=True):
-                ids, score = index.search(own, q, k)
-                out.append(pd.DataFrame({"query_id": own, "vec_id": ids, "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-
-    found = queries.groupBy("shard", "block").cogroup(candidates.groupBy("shard", "block")).applyInPandas(search, "query_id long, vec_id long, score long")
+    queries = queries.select(all_(shards).alias("shard"), place("part", parts).alias("part"), F.lit(1).alias("kind"), "vec_id", "v")
+    dealt = candidates.unionByName(queries).repartition(shards * parts, "shard", "part").sortWithinPartitions("shard", "part", "kind")
+    found = dealt.mapInPandas(search(width, k), "query_id long, vec_id long, score long")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
