@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import bound_batches
+from threadloom.llm.common import bound_batches, fresh, materialise
 
-#: Documents a language that the centroids are fitted on at most, those with the smallest hashes; languages learned, the most frequent.
-SAMPLE, LANGUAGES = 400, 100
+#: Documents a language that the centroids are fitted on at most, those with the smallest hashes.
+SAMPLE = 400
 BUCKETS = 8192
 CENTROIDS = 3
 #: The share of the training pieces of a length that rejection may cost at most.
@@ -77,24 +77,31 @@ def length(x: np.ndarray) -> int:
     return min(LENGTHS - 1, int(np.log2(1 + float(x.sum()))))
 
 
-def calibrate(model: Model, texts: list[str]) -> np.ndarray:
-    """For each length the least cosine that is not rejected.
+def pieces(model: Model, texts: list[str]) -> pd.DataFrame:
+    """length, true, noise: the cosines of pieces of the texts, one of each length that a text has, and of the same with their letters shuffled."""
+    rng, out = np.random.default_rng(0), []
+    for t in texts:
+        for k in range(min(LENGTHS, len(t).bit_length())):
+            at = int(rng.integers(0, len(t) - (1 << k) + 1))
+            piece = t[at : at + (1 << k)]
+            if any(map(str.isalpha, piece)):
+                x = counts(piece)
+                if length(x) == k:
+                    out.append((k, model.nearest(x)[1], model.nearest(counts("".join(rng.permutation(list(piece)))))[1]))
+    return pd.DataFrame(out, columns=["length", "true", "noise"])
+
+
+def floors(rows: list) -> np.ndarray:
+    """For each length the least cosine that is not rejected, from rows (length, n, noise_most, middle, cost).
 
     It lies half way between what 99 % of shuffled pieces stay below and the middle of the true ones, but
-    never above what COST of the true ones stay below. A length without pieces has the next shorter one's.
+    never above what COST of the true ones stay below. A length without enough pieces has the next shorter one's.
     """
-    rng, floor = np.random.default_rng(0), np.zeros(LENGTHS)
+    by, floor = {r["length"]: r for r in rows}, np.zeros(LENGTHS)
     for k in range(LENGTHS):
-        true, noise = [], []
-        for t in texts:
-            if len(t) >= 1 << k and any(map(str.isalpha, piece := t[(s := int(rng.integers(0, len(t) - (1 << k) + 1))) : s + (1 << k)])):
-                x = counts(piece)
-                if length(x) == k:
-                    true.append(model.nearest(x)[1])
-                    noise.append(model.nearest(counts("".join(rng.permutation(list(piece)))))[1])
         floor[k] = floor[k - 1] if k else 0.0
-        if len(true) >= 20:
-            floor[k] = min((np.quantile(noise, 0.99) + np.median(true)) / 2, np.quantile(true, COST))
+        if k in by and by[k]["n"] >= 20:
+            floor[k] = min((by[k]["noise_most"] + by[k]["middle"]) / 2, by[k]["cost"])
     return floor
 
 
@@ -121,53 +128,53 @@ def held_out(doc_id: Column) -> Column:
 NOTHING = Model([], np.zeros(0, int), np.zeros((0, BUCKETS), np.float32), np.ones(BUCKETS, np.float32), np.zeros(LENGTHS))
 
 
-def train(rows: pd.DataFrame, k: int = CENTROIDS) -> Model:
-    """From lang and text; the rows' order counts."""
-    vectors = [counts(t) for t in rows["text"]]
-    df = np.zeros(BUCKETS)
-    for v in vectors:
-        df += v > 0
-    idf = (np.log((1 + len(vectors)) / (1 + df)) + 1).astype(np.float32)
-    languages, owner, centroids, pieces = [], [], [], []
-    for lang, own in rows.groupby("lang", sort=True).indices.items():
-        x = np.stack([vectors[i] for i in own]) * idf
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        x = x[norm[:, 0] > 0] / norm[norm[:, 0] > 0]
-        if len(x):
-            c = spherical_kmeans(x, k)
-            centroids.append(c)
-            owner += [len(languages)] * len(c)
-            languages.append(str(lang))
-            pieces += rows["text"].iloc[own[:PIECES]].tolist()
-    if not languages:
-        return NOTHING
-    model = Model(languages, np.array(owner), (np.concatenate(centroids) * idf).astype(np.float32), idf, np.zeros(LENGTHS))
-    model.floor = calibrate(model, pieces)
-    return model
+def centroids_of(texts: list[str], idf: np.ndarray, k: int = CENTROIDS) -> np.ndarray | None:
+    """Unit centroids of a language's weighted vectors, None if no text has a trigram; the texts' order counts."""
+    x = np.stack([counts(t) for t in texts]) * idf
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    x = x[norm[:, 0] > 0] / norm[norm[:, 0] > 0]
+    return spherical_kmeans(x, k) if len(x) else None
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
-    """Fitted on at most ``sample`` documents of each of the LANGUAGES most frequent languages, none of them held out.
+    """Every language learned from at most ``sample`` of its documents, none of them held out.
 
-    It is fitted in one task on an executor; the driver gets the model.
+    Each language is fitted in a group of its own, at most ``sample`` vectors; the driver gets the centroids, 32 KB each, and a row a length.
     """
     known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     h = F.xxhash64("doc_id", "text", F.lit("langid"))
-    near = known.join(F.broadcast(sizes), "lang").withColumn("__h", h).filter(F.pmod("__h", F.lit(1 << 30)) < F.least(F.lit(1.0), 3 * sample / F.col("n")) * (1 << 30))
-    one = near.groupBy("lang", "__h").agg(F.min("text").alias("text")).withColumn("__r", F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("__h", F.lit(1 << 30)), "__h")))
-
-    def trained(batches):
-        got = [b for b in batches if len(b)]
-        if got:
-            m = train(pd.concat(got).sort_values(["lang", "__r"], ignore_index=True), k)
-            yield pd.DataFrame({"languages": [m.languages], "owner": [m.owner], "weighted": [m.weighted.tobytes()], "idf": [m.idf.tobytes()], "floor": [m.floor]})
-
-    schema = "languages array<string>, owner array<long>, weighted binary, idf binary, floor array<double>"
-    got = one.filter(F.col("__r") <= sample).select("lang", "__r", "text").coalesce(1).mapInPandas(trained, schema).first()
-    if got is None or not got["languages"]:
+    near = known.join(sizes, "lang").withColumn("__h", h).filter(F.pmod("__h", F.lit(1 << 30)) < F.least(F.lit(1.0), 3 * sample / F.col("n")) * (1 << 30))
+    one = near.groupBy("lang", "__h").agg(F.min("text").alias("text")).withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("__h", F.lit(1 << 30)), "__h")))
+    rows = materialise(one.filter(F.col("r") <= sample).select("lang", "r", "text"), "language-samples")
+
+    def seen(batches):
+        for b in batches:
+            df, n = np.zeros(BUCKETS, dtype=np.int64), 0
+            for t in b["text"]:
+                df += counts(t) > 0
+                n += 1
+            yield pd.DataFrame({"at": np.arange(BUCKETS + 1), "df": np.r_[df, n]})
+
+    df = rows.select("text").mapInPandas(seen, "at long, df long").groupBy("at").agg(F.sum("df").alias("df")).toPandas()  # BUCKETS rows
+    if not len(df):
+        return NOTHING
+    in_order = df.sort_values("at")["df"].to_numpy()
+    idf = (np.log((1 + in_order[-1]) / (1 + in_order[:-1])) + 1).astype(np.float32)
+
+    def learned(name: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        c = centroids_of(own.sort_values("r")["text"].tolist(), idf, k)
+        return pd.DataFrame({"lang": [name[0]], "n": [len(c)], "c": [c.astype(np.float32).tobytes()]}) if c is not None else pd.DataFrame({"lang": [], "n": [], "c": []})
+
+    got = rows.groupBy("lang").applyInPandas(learned, "lang string, n int, c binary").orderBy("lang").collect()
+    if not got:
         return NOTHING
-    return Model(list(got["languages"]), np.array(got["owner"]), np.frombuffer(got["weighted"], np.float32).reshape(-1, BUCKETS), np.frombuffer(got["idf"], np.float32), np.array(got["floor"]))
+    weighted = np.concatenate([np.frombuffer(r["c"], np.float32).reshape(-1, BUCKETS) for r in got]) * idf
+    model = Model([r["lang"] for r in got], np.repeat(np.arange(len(got)), [r["n"] for r in got]), weighted.astype(np.float32), idf, np.zeros(LENGTHS))
+    tried = rows.filter(F.col("r") <= PIECES).groupBy("lang").applyInPandas(lambda own: pieces(model, own.sort_values("r")["text"].tolist()), "length int, true double, noise double")
+    each = tried.groupBy("length").agg(F.count(F.lit(1)).alias("n"), F.percentile("noise", F.lit(0.99)).alias("noise_most"), F.percentile("true", F.lit(0.5)).alias("middle"), F.percentile("true", F.lit(COST)).alias("cost"))
+    model.floor = floors(each.collect())
+    return model
 
 
 def language_column(model: Model, text: Column) -> Column:
@@ -184,7 +191,8 @@ def identify_languages(docs: DataFrame, model: Model | None = None) -> DataFrame
     """doc_id, held_out, lang_pred, score, rejected: one row a row of ``docs``, predicted from the text alone.
 
     A null text, or one without a letter, is 'und' with score 0 and rejected; so is every text if no
-    document could be learned from. Extra columns are not read; repeated rows give repeated rows.
+    document could be learned from. Very long texts are read whole, in slices. Extra columns are not read; repeated rows give repeated
+    rows; an empty table gives an empty result.
     """
     bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text", "lang")
@@ -196,8 +204,9 @@ def identify_languages(docs: DataFrame, model: Model | None = None) -> DataFrame
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is not rejected; null texts, and texts without a letter, are.
 
-    Repeated rows share a decision; an empty table gives an empty one.
+    Repeated rows share a decision; an empty table gives an empty one; other columns, whatever their names, are carried along.
     """
     bound_batches(docs.sparkSession)
     model = fit(docs.select("doc_id", "text", "lang"))
-    return docs.withColumn("__language", language_column(model, F.col("text"))).filter(~F.col("__language.rejected")).drop("__language")
+    own = fresh(docs, "__language")
+    return docs.withColumn(own, language_column(model, F.col("text"))).filter(~F.col(f"{own}.rejected")).drop(own)
