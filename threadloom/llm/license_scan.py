@@ -10,14 +10,14 @@ the template collection, so the index is a constant and a scan needs no exchange
 from __future__ import annotations
 
 import math
+import string
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed value: what stands between words, in a lower-cased text. lower() also lowers other alphabets, which moves no
-#: word's ends and makes ASCII letters only of the Kelvin sign (k) and a dotted I (i with a combining dot).
+#: Fixed value: what stands between words, in a text whose A to Z are lower-cased.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -81,7 +81,7 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
     rare = [rare_words(t, weight) for t in templates]
     names = sorted({w for r in rare for w, _ in r})
     words = F.col("__words")
-    df = docs.select("doc_id", F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), SEPARATOR, -1).alias("__parts"))
+    df = docs.select("doc_id", F.split(F.translate(F.coalesce(F.col("text"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase), SEPARATOR, -1).alias("__parts"))
     df = df.select("doc_id", words_of(F.col("__parts")).alias("__words"))
     df = df.withColumn("__hits", F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(names), F.struct(i.alias("p"), w.alias("w"))))))
     df = df.select("doc_id", F.size("__words").cast("long").alias("n_words"), "__hits", F.when(F.size("__hits") > 0, words).alias("__words"))
