@@ -13,6 +13,8 @@ PART_MEAN = 16.0
 
 #: The table of sources is broadcast up to these sizes, which are counted first; a larger one meets the documents by an exchange.
 BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 4_000_000
+#: Parts that the documents of a source are dealt in for that exchange.
+SALTS = 32
 
 
 def poisson(mean: Column, key: Column, seed: str = SEED) -> Column:
@@ -62,14 +64,22 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     The count comes from doc_id alone, so repeated rows get equal counts and a retry gives the same rows.
     With ``shuffle`` the copies are dealt over all partitions by their hash and sorted by it within each, a
     global shuffle in one exchange. A null source is a source of its own; a null doc_id counts as the text
-    'null'; empty tables give empty results. Columns of the input with the names copy_no, mix_key are replaced.
+    'null'; empty tables give empty results, very long texts are moved whole. Columns of the input with the names copy_no, mix_key are
+    replaced, all others are carried along, whatever their names.
     """
     docs = docs.drop("copy_no", "mix_key")
     rates = repetition_rates(docs, weights, temperature, size)
     n, size_bytes = rates.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("__source") + 16), F.lit(0))).first()
-    small = n <= BROADCAST_ROWS and size_bytes <= BROADCAST_BYTES
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    n = docs.join(F.broadcast(rates) if small else rates, F.col("source").eqNullSafe(F.col("__source")), "left").withColumn("__copies", poisson(F.col("__mean"), key, seed))
-    out = n.filter(F.col("__copies") > 0).withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1))).drop("__copies", "__mean", "__source")
-    out = out.withColumn("mix_key", F.md5(F.concat_ws(":", key, F.col("copy_no").cast("string"), F.lit(seed), F.lit("order"))))
+    # A row is one column from here on, so that its names clash with none.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"), F.col("source").alias("of"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
+    same = F.col("of").eqNullSafe(F.col("__source"))
+    if n <= BROADCAST_ROWS and size_bytes <= BROADCAST_BYTES:
+        rated = rows.join(F.broadcast(rates), same, "left")
+    else:
+        salted = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rated = rows.join(salted, same & (F.col("salt") == F.col("__salt")), "left")
+    counted = rated.select("row", "key", poisson(F.col("__mean"), F.col("key"), seed).alias("copies")).filter("copies > 0")
+    out = counted.select("row", "key", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy_no"))
+    out = out.select("row.*", "copy_no", F.md5(F.concat_ws(":", "key", F.col("copy_no").cast("string"), F.lit(seed), F.lit("order"))).alias("mix_key"))
     return out.repartition(F.col("mix_key")).sortWithinPartitions("mix_key") if shuffle else out
