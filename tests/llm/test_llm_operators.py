@@ -175,7 +175,7 @@ def test_classifiers_learn_from_bounded_samples(spark):
     assert sorted(langid.fit(docs, sample=50).languages) == ["de", "en"]
 
 
-def plain_cosines(train, texts):
+def plain_cosines(spark, train, texts):
     """Dense TF-IDF vectors of trigrams, hashed as the operator says; the nearest of the given centroids' cosines, by plain loops."""
 
     def vector(t):
@@ -186,7 +186,8 @@ def plain_cosines(train, texts):
                 x[(int.from_bytes(data[i : i + 3], "big") * 2654435761 & 0xFFFFFFFF) >> 19] += 1
         return x
 
-    model = langid.train(train)
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 4 != 2][: len(train)]
+    model = langid.fit(spark.createDataFrame(train.assign(doc_id=ids), "lang string, text string, doc_id long"))
     vectors = [vector(t) for t in train["text"]]
     idf = [math.log((1 + len(vectors)) / (1 + sum(v[j] > 0 for v in vectors))) + 1 for j in range(langid.BUCKETS)]
     centroids = [[w / i for w, i in zip(c, idf, strict=True)] for c in model.weighted.tolist()]
@@ -200,10 +201,10 @@ def plain_cosines(train, texts):
     return model, out
 
 
-def test_langid_equals_dense_cosines_and_rejects_junk(docs):
+def test_langid_equals_dense_cosines_and_rejects_junk(spark, docs):
     known = docs.filter("lang is not null and text is not null").orderBy("doc_id").select("lang", "text").toPandas()
     train, rest = known.iloc[:100].reset_index(drop=True), known["text"].iloc[100:130].tolist()
-    model, want = plain_cosines(train, rest)
+    model, want = plain_cosines(spark, train, rest)
     got = [model.predict(t) for t in rest]
     assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want], atol=1e-4)
     whole = langid.fit(docs)
@@ -370,8 +371,10 @@ def test_topk(spark):
         if q % 20 == 0:
             best = sorted((-int(v @ c), i) for i, c in good if i != q)[:20]
             want += [(q, k, i, -s) for k, (s, i) in enumerate(best, 1)]
-    for shard, block in ((topk.SHARD, topk.BLOCK), (64, 4)):
-        assert sorted(map(tuple, topk.top_k(e, shard=shard, block=block).collect())) == want
+    for shard, tasks in ((topk.SHARD, topk.TASKS), (64, 1), (64, 30)):
+        assert sorted(map(tuple, topk.top_k(e.withColumns({c: F.lit(1) for c in ("v", "shard", "score")}), shard=shard, tasks=tasks).collect())) == want
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.top_k(spark.createDataFrame([(20, [1e30]), (21, [2.0])], "vec_id long, embedding array<float>"))
     assert topk.top_k(e.limit(0)).count() == 0
     assert topk.top_k(spark.createDataFrame([(20, [1.0]), (21, [2.0])], "vec_id long, embedding array<float>")).collect()[0].asDict() == {"query_id": 20, "rank": 1, "vec_id": 21, "score": 8192}
 

@@ -334,14 +334,14 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     def may_go(h: pd.Series) -> pd.Series:
         return pd.Series(in_filter(words.value, h.to_numpy(dtype=np.int64).view(np.uint64)), dtype=bool)
 
-    asked = docs.withColumn("__go", F.col("doc_id").isNull() | may_go.asNondeterministic()(F.xxhash64(F.col("doc_id").cast("long"))))
-    stay = asked.filter(~F.col("__go")).select(docs.columns)
-    unsure = asked.filter("__go").select(docs.columns).join(alone.select(F.col("__id").alias("doc_id")).hint("merge"), "doc_id", "left_semi").select(docs.columns)
-    once = stay.unionByName(unsure)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # a row is one column, so that its names clash with none
+    asked = docs.select(whole, "doc_id", (F.col("doc_id").isNull() | may_go.asNondeterministic()(F.xxhash64(F.col("doc_id").cast("long")))).alias("go"))
+    unsure = asked.filter("go").join(alone.select(F.col("__id").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+    once = asked.filter(~F.col("go")).select("row.*").unionByName(unsure.select("row.*"))
     if many.isEmpty():
         return once
     # Repeated ids: one row of each fingerprint that stays, chosen by its content.
-    again = docs.join(many, F.col("doc_id").eqNullSafe(F.col("__many")), "left_semi").withColumn("__of", fingerprint_column(F.col("text")))
-    again = again.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__fp")), "left_semi").withColumn("__row", F.struct(*docs.columns))
-    picked = again.groupBy("doc_id", "__of").agg(F.min_by("__row", F.struct(F.xxhash64("__row"), F.col("__row.text"))).alias("__row"))
-    return once.unionByName(picked.select("__row.*"))
+    again = docs.select(whole, "doc_id", "text").join(many, F.col("doc_id").eqNullSafe(F.col("__many")), "left_semi").withColumn("of", fingerprint_column(F.col("text")))
+    again = again.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("of") == F.col("__fp")), "left_semi")
+    picked = again.groupBy("doc_id", "of").agg(F.min_by("row", F.struct(F.xxhash64("row"), F.col("text"))).alias("row"))
+    return once.unionByName(picked.select("row.*"))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import bound_batches, bounded_sample, unit_hash
+from threadloom.llm.common import bound_batches, bounded_sample, fresh, unit_hash
 
 #: Labelled documents, and documents of the unlabelled pool, that the classifiers are fitted on at most.
 LABELLED, POOL = 4000, 2000
@@ -213,8 +213,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, model: Model | None = None
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that are kept.
 
-    Nulls, empty texts, missing labels and repeats as in ``score_quality``; an empty table gives an empty one.
+    Nulls, empty texts, missing labels and repeats as in ``score_quality``; very long texts are read whole, an empty table gives an
+    empty one, and other columns, whatever their names, are carried along.
     """
     bound_batches(docs.sparkSession)
     model = fit(docs, labels)
-    return docs.withColumn("__quality", quality_column(model, *map(F.col, ("text", "source", "lang", "n_chars")))).filter(F.col("__quality.score") >= KEEP).drop("__quality")
+    own = fresh(docs, "__quality")
+    return docs.withColumn(own, quality_column(model, *map(F.col, ("text", "source", "lang", "n_chars")))).filter(F.col(f"{own}.score") >= KEEP).drop(own)

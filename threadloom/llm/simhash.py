@@ -142,15 +142,26 @@ class Sets:
 
 
 def link_shard(x: np.ndarray, half: np.ndarray, radius: int, bits: int = BITS) -> Sets:
-    """Links every two of the distinct fingerprints x whose halves are within the radius and which differ in at most ``bits``."""
+    """Links every two of the distinct fingerprints x whose halves are within the radius and which differ in at most ``bits`` (3 at most).
+
+    Many that share their half, or nearly, can't be told apart by it. These are dealt by each of the four bytes of their other half: of
+    two that differ in at most 3 bits, one byte there is equal.
+    """
     sets = Sets(len(x))
-    todo = [np.arange(len(x))]
+    todo = [(np.arange(len(x)), False)]
+    other = (x ^ half.astype(np.uint64)) if ((x & np.uint64(0xFFFFFFFF)) == half).all() else (x << np.uint64(32))
     while todo:
-        at = todo.pop()
-        found = split(half[at], radius) if len(at) > DIRECT else None
-        if found is not None:
-            d = distance(half[at], np.uint32(found[0]))
-            todo += [at[d <= found[1]], at[d > found[1] - radius]]
+        at, dealt = todo.pop()
+        if len(at) > DIRECT and not dealt:
+            found = split(half[at], radius)
+            if found is not None:
+                d = distance(half[at], np.uint32(found[0]))
+                todo += [(at[d <= found[1]], False), (at[d > found[1] - radius], False)]
+                continue
+            for k in range(4):
+                byte = (other[at] >> np.uint64(32 + 8 * k)) & np.uint64(0xFF)
+                order = np.argsort(byte, kind="stable")
+                todo += [(own, True) for own in np.split(at[order], np.flatnonzero(np.diff(byte[order])) + 1)]
             continue
         own = x[at]
         for s in range(0, len(at), 256):
@@ -218,13 +229,13 @@ def drop_near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS)
     """
     classes = near_duplicates(docs.select("doc_id", "text"), words, bits)
     stays = materialise(classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows")), "stays")
-    # The same exchange at every size: each text is sent once.
-    once = docs.join(stays.filter("__rows = 1 and doc_id is not null").select("doc_id").hint("merge"), "doc_id", "left_semi").select(docs.columns)
-    repeated = stays.filter("__rows > 1 or doc_id is null").withColumnRenamed("doc_id", "__id")
+    # The same exchange at every size: each text is sent once. A row is one column, so that its names clash with none.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"))
+    once = rows.join(stays.filter("__rows = 1 and doc_id is not null").select(F.col("doc_id").alias("id")).hint("merge"), "id", "left_semi").select("row.*")
+    repeated = stays.filter("__rows > 1 or doc_id is null").select(F.col("doc_id").alias("__id"))
     if repeated.isEmpty():
         return once
     # Repeated ids: one row of each, chosen by its content.
-    again = docs.join(repeated, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    picked = again.withColumn("__fp", fingerprint_column(F.col("text"), words)).withColumn("__row", F.struct(*docs.columns))
-    picked = picked.groupBy(F.col("doc_id").alias("__id"), F.when(F.col("doc_id").isNull(), F.col("__fp")).alias("__of")).agg(F.min_by("__row", F.struct(F.xxhash64("__row"), F.col("__row.text"))).alias("__row"))
-    return once.unionByName(picked.select("__row.*"))
+    again = rows.join(repeated, F.col("id").eqNullSafe(F.col("__id")), "left_semi").withColumn("fp", fingerprint_column(F.col("row.text"), words))
+    picked = again.groupBy("id", F.when(F.col("id").isNull(), F.col("fp")).alias("of")).agg(F.min_by("row", F.struct(F.xxhash64("row"), F.col("row.text"))).alias("row"))
+    return once.unionByName(picked.select("row.*"))
