@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,8 +15,8 @@ STOP_WORDS = (
     "does did can could would should have had im ive dont cant just get got so if what when how why"
 ).split()
 #: Patterns for lower-cased texts. A phrase pattern with \\b has its own bounds, any other stands between characters that are no word characters.
-URL = r"https?://[^ \t\n\r\f]+|www\.[^ \t\n\r\f]+"
-MENTION = r"@[a-z0-9_]+"
+URL = r"https?://[^ \t\n\r\f]+|(^|[^\p{L}\p{N}_])www\.[^ \t\n\r\f]+"
+MENTION = r"@[\p{L}\p{N}_]+"
 DEFLECT = r"(?:\bdms?\b|\bd\.?m\.?\b|direct message|private message|\bpm us\b|inbox us|message us privately)"
 THANKS = r"\b(?:thank(?:s| you)|cheers|appreciate it|sorted|fixed it|that worked|perfect|awesome|legend)\b"
 SENSITIVE = (
@@ -61,7 +62,7 @@ def squeeze(text: Column) -> Column:
 def normalise(text: Column) -> Column:
     """Lower case without addresses and mentions, white space squeezed."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    return squeeze(F.regexp_replace(F.regexp_replace(low, URL, " "), MENTION, " "))
+    return squeeze(F.regexp_replace(F.regexp_replace(low, URL, "$1 "), MENTION, " "))  # what stands before www is kept
 
 
 def tokens(text: Column, stop: list[str] | None = None) -> Column:
@@ -73,6 +74,23 @@ def tokens(text: Column, stop: list[str] | None = None) -> Column:
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(left_out))
 
 
+def _unaccented() -> tuple[str, str]:
+    """Letters of the Latin and Greek blocks with marks, and the same without."""
+    pairs = [(chr(c), "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x))) for c in [*range(0xC0, 0x400), *range(0x1E00, 0x2000)]]
+    pairs = [(a, b) for a, b in pairs if len(b) == 1 and a != b]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+ACCENTED, BARE = _unaccented()
+
+
+def terms(text: Column, stop: list[str] | None = None) -> Column:
+    """Words of two or more letters, digits or underscores, lower-cased and without accents, that are no stop words."""
+    plain = F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, BARE), r"\p{Mn}", "")
+    words = F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    return F.filter(words, lambda w: ~w.isin(sorted(set(stop)))) if stop else words
+
+
 def word_count(text: Column) -> Column:
     return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z0-9_]+"), F.lit(0)))
 
@@ -83,9 +101,9 @@ def blank_split_count(text: Column) -> Column:
 
 
 def low_quality(text: Column, least: int = 4) -> Column:
-    """Fewer than ``least`` words once addresses, mentions and marks are gone."""
+    """Fewer than ``least`` words once addresses, mentions and all that is no letter, digit, underscore or white space are gone."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    bare = F.regexp_replace(F.regexp_replace(low, r"https?://[^ \t\n\r\f]+|@[a-z0-9_]+", " "), r"[!-/:-@\[-^`{-~]", " ")
+    bare = F.regexp_replace(F.regexp_replace(low, r"https?://[^ \t\n\r\f]+|@[\p{L}\p{N}_]+", " "), r"[^\p{L}\p{N}_ \t\n\r\f\x0B]", " ")
     return blank_split_count(bare) < least
 
 

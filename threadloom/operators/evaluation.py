@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadloom.functions.stats import ratio, wilson
-from threadloom.functions.text import bucket
+from threadloom.functions.stats import correlation_p, ratio, wilson
 from threadloom.session import settle
 
-#: Where a 32-bit hash becomes a Poisson count of mean 1: one more for each bound that it reaches.
-POISSON = tuple(int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 2**32) for k in range(12))
 #: Fixed value: pairs below which agreement is not reported.
 MIN_PAIRS = 8
 
@@ -47,19 +47,85 @@ def coverage_risk(rows: DataFrame, steps: int = 20) -> DataFrame:
     return g.select(F.round(F.col("k") / steps, 2).alias("tau"), "n_auto", F.round(F.col("n_auto") / F.col("n"), 6).alias("coverage"), F.round(ratio(F.col("n_unsafe"), F.col("n_auto")), 6).alias("unsafe_share"), F.round(ratio(F.col("n_wrong"), F.col("n_auto")), 6).alias("error_rate"))
 
 
-def bootstrap_mean(rows: DataFrame, value: str, order: str, n_boot: int, seed: str = "boot") -> DataFrame:
-    """One row: the mean of a value, and the 2.5 and 97.5 percentiles of its mean over resamples.
-
-    In a resample each row (named by ``order``) comes as often as a Poisson count of mean 1 says that is
-    hashed from its name: one pass, whose aggregate has ``n_boot`` groups and a map-side part.
+def beta_share(x: float, a: np.ndarray, b: np.ndarray, least: float = 1e-15) -> np.ndarray:
+    """The regularised incomplete beta function at 0 < x < 1 for arrays a, b > 0, by its continued fraction."""
+    swap = x >= (a + 1) / (a + b + 2)
+    x, a, b = np.where(swap, 1 - x, x), np.where(swap, b, a), np.where(swap, a, b)
+    f, c, d = np.ones_like(a), np.ones_like(a), np.zeros_like(a)
+    for i in range(200_000):
+        m = i // 2
+        n = np.ones_like(a) if i == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1 / np.where((v := 1 + n * d) == 0, 1e-300, v)
+        c = np.where((v := 1 + n / c) == 0, 1e-300, v)
+        f = f * c * d
+        if i > 1 and (np.abs(c * d - 1) < least).all():
+            break
+    gamma = np.vectorize(math.lgamma, otypes=[float])
+    out = np.exp(a * np.log(x) + b * np.log1p(-x) + gamma(a + b) - gamma(a) - gamma(b)) / a * (f - 1)
+    return np.where(swap, 1 - out, out)
+
+
+def binomial(u: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
+    """The least k of n draws at p (0 < p < 1) whose distribution function reaches u, by bisection."""
+    low, high = np.full(len(n), -1, dtype=np.int64), n.copy()
+    while (open_ := high - low > 1).any():
+        k = (low + high) // 2
+        at = np.flatnonzero(open_)
+        reached = np.zeros(len(n), dtype=bool)
+        reached[at] = beta_share(1 - p, (n - k)[at].astype(float), (k + 1)[at].astype(float)) >= u[at]
+        high, low = np.where(open_ & reached, k, high), np.where(open_ & ~reached, k, low)
+    return high
+
+
+def resampled(cells: list[tuple[str, int]], b: np.ndarray, seed: str) -> np.ndarray:
+    """For each resample b how often each cell (name, count) is drawn in n draws with replacement: a multinomial, as binomials one after the other.
+
+    A cell's uniform is hashed from b and its name, so the draws don't depend on how the work is dealt.
+    """
+    rest = sum(c for _, c in cells)
+    left = np.full(len(b), rest, dtype=np.int64)
+    out = np.zeros((len(b), len(cells)), dtype=np.int64)
+    for i, (name, c) in enumerate(cells):
+        u = np.array([int(hashlib.md5(f"{x}:{name}:{seed}".encode()).hexdigest()[:8], 16) for x in b.tolist()])
+        out[:, i] = left if c == rest else binomial((u + 0.5) / 2**32, left, c / rest)
+        left, rest = left - out[:, i], rest - c
+    return out
+
+
+def rates(cells: list[tuple], n: np.ndarray, labels: list) -> tuple[np.ndarray, np.ndarray]:
+    """Accuracy and macro-F1 over the labels, for each row of counts of the cells (gold, pred)."""
+    right = np.array([g == p for g, p in cells])
+    f1 = []
+    for x in labels:
+        gold, pred = np.array([g == x for g, _ in cells]), np.array([p == x for _, p in cells])
+        f1.append(2 * n[:, gold & pred].sum(axis=1) / np.maximum(1, n[:, gold].sum(axis=1) + n[:, pred].sum(axis=1)))
+    return n[:, right].sum(axis=1) / np.maximum(1, n.sum(axis=1)), np.mean(f1, axis=0)
+
+
+def bootstrap(rows: DataFrame, labels: list, n_boot: int, seed: str = "boot") -> DataFrame:
+    """One row: accuracy and macro_f1 of rows (gold, pred), each with the 2.5 and 97.5 percentiles over resamples (_low, _high), and n_boot.
+
+    Each resample draws n of n rows with replacement. Rows with equal gold and pred are alike, so what is drawn are their counts: the work
+    is n_boot times the pairs of classes, whatever the number of rows. Without rows all figures are null. macro_f1 is the mean over ``labels``.
     """
-    drawn = rows.select(F.col(value).cast("double").alias("v"), F.col(order).cast("string").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
-    u = bucket(F.col("b").cast("string"), F.col("i"), seed)
-    times = sum((F.when(u >= t, 1).otherwise(0) for t in POISSON[1:]), F.when(u >= POISSON[0], 1).otherwise(0))
-    drawn = drawn.withColumn("n", times)
-    means = drawn.groupBy("b").agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("m"))
-    ends = means.agg(F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"), F.count(F.lit(1)).alias("n_boot"))
-    return rows.agg(F.round(F.avg(F.col(value).cast("double")), 6).alias("mean")).crossJoin(ends)
+    spark = rows.sparkSession
+    counted = sorted((r["gold"], r["pred"], r["n"]) for r in rows.filter("gold is not null and pred is not null").groupBy("gold", "pred").agg(F.count(F.lit(1)).alias("n")).collect())  # a row a pair of classes
+    cells = [(g, p) for g, p, _ in counted]
+    if not cells:
+        return spark.range(1).select(*[F.lit(None).cast("double").alias(c) for c in ("accuracy", "accuracy_low", "accuracy_high", "macro_f1", "macro_f1_low", "macro_f1_high")], F.lit(0).cast("long").alias("n_boot"))
+    named = [(f"{g}:{p}", n) for g, p, n in counted]
+
+    def drawn(batches):
+        for b in batches:
+            x = b["id"].to_numpy()
+            accuracy, f1 = rates(cells, resampled(named, x, seed), labels)
+            yield pd.DataFrame({"accuracy": accuracy, "macro_f1": f1})
+
+    each = spark.range(n_boot).mapInPandas(drawn, "accuracy double, macro_f1 double")
+    whole = rates(cells, np.array([[n for *_, n in counted]]), labels)
+    ends = [F.round(F.percentile(c, F.lit(q)), 6).alias(f"{c}_{name}") for c in ("accuracy", "macro_f1") for name, q in (("low", 0.025), ("high", 0.975))]
+    out = each.agg(*ends, F.count(F.lit(1)).alias("n_boot"))  # n_boot rows
+    return out.withColumns({"accuracy": F.round(F.lit(float(whole[0][0])), 6), "macro_f1": F.round(F.lit(float(whole[1][0])), 6)})
 
 
 def average_rank(cells: DataFrame, by: str, column: str, name: str) -> DataFrame:
@@ -69,8 +135,26 @@ def average_rank(cells: DataFrame, by: str, column: str, name: str) -> DataFrame
     return n.select(by, column, (below + (F.col("n") + 1) / 2.0).alias(name))
 
 
+def paired(human: DataFrame, judge: DataFrame, dims: list[str]) -> DataFrame:
+    """dimension, human, judge: both ratings of each item (id) that both have rated; rows on which the judge failed and null ratings are left out."""
+    j = judge.filter(~F.coalesce("failed", F.lit(False))).select("id", F.struct(*dims).alias("__j"))
+    both = human.select("id", F.struct(*dims).alias("__h")).join(j, "id")
+    each = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(f"__h.{d}").alias("human"), F.col(f"__j.{d}").alias("judge")) for d in dims]))
+    return both.select(each.alias("p")).select("p.*").filter("human is not null and judge is not null")
+
+
+def assembled(gold: DataFrame, runs: DataFrame, judged_: DataFrame) -> DataFrame:
+    """What ``failures`` reads: gold (id, gold, gold_escalate) with the system's runs (id, pred, decision, n_evidence, parse_failed) and the judge's rows (id, failed, groundedness, unsupported).
+
+    Items without a run are left out; those without a judge's row keep nulls in its columns.
+    """
+    r = runs.select("id", "pred", (F.col("decision") == "escalate").alias("pred_escalate"), (F.col("n_evidence") > 0).alias("has_evidence"), "parse_failed")
+    j = judged_.select("id", F.col("failed").alias("judge_failed"), "groundedness", "unsupported")
+    return gold.select("id", "gold", "gold_escalate").join(r, "id").join(j, "id", "left")
+
+
 def agreement(pairs: DataFrame, by: str = "dimension") -> DataFrame:
-    """Per dimension of pairs (human, judge): status, Spearman, plain and quadratic kappa, exact, within one, mean distance, bias (judge - human).
+    """Per dimension of pairs (human, judge): status, Spearman and its two-sided p, plain and quadratic kappa, exact, within one, mean distance, bias (judge - human).
 
     Weights go by the place of a rating in the sorted union of ratings that occur. Kappas are null where chance leaves no disagreement.
     Everything comes from one count of the pairs by their ratings, which are few.
@@ -95,7 +179,7 @@ def agreement(pairs: DataFrame, by: str = "dimension") -> DataFrame:
     r6 = lambda c, name: F.round(c, 6).alias(name)
     n = F.col("n")
     all_ = plain.join(chance, by).join(seen, by)
-    return all_.select(by, "n", F.when(n == 0, "PENDING").when(n < MIN_PAIRS, "INSUFFICIENT").otherwise("OK").alias("status"), r6("spearman", "spearman"), r6(F.when(F.col("e") < n * n, (F.col("exact") - F.col("e") / (n * n)) / (1 - F.col("e") / (n * n))), "kappa"), r6(F.when(F.col("ew") > 0, 1 - F.col("ow") * n / F.col("ew")), "weighted_kappa"), *[r6(c, c) for c in ("exact", "within_one", "distance", "bias")])
+    return all_.select(by, "n", F.when(n == 0, "PENDING").when(n < MIN_PAIRS, "INSUFFICIENT").otherwise("OK").alias("status"), r6("spearman", "spearman"), F.round(correlation_p(F.col("spearman"), n), 4).alias("spearman_p"), r6(F.when(F.col("e") < n * n, (F.col("exact") - F.col("e") / (n * n)) / (1 - F.col("e") / (n * n))), "kappa"), r6(F.when(F.col("ew") > 0, 1 - F.col("ow") * n / F.col("ew")), "weighted_kappa"), *[r6(c, c) for c in ("exact", "within_one", "distance", "bias")])
 
 
 def failures(rows: DataFrame, top: int = 5) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as X
+from threadloom.operators.ranks import quantiles
+from threadloom.session import settle
 
 
 def exchanges(msgs: DataFrame) -> DataFrame:
@@ -46,9 +48,10 @@ def spans(events: DataFrame, key: str, at: str) -> DataFrame:
 
 def split_by_time(spanned: DataFrame, first: float = 0.7, second: float = 0.9) -> DataFrame:
     """history, dev, gold_pool, or straddler, by quantiles of the starts; one that reaches over a cut is a straddler."""
-    cuts = spanned.agg(F.percentile("lo", F.lit(first)).alias("t1"), F.percentile("lo", F.lit(second)).alias("t2"))
-    where = F.when(F.col("hi") < F.col("t1"), "history").when((F.col("lo") >= F.col("t1")) & (F.col("hi") < F.col("t2")), "dev").when(F.col("lo") >= F.col("t2"), "gold_pool").otherwise("straddler")
-    return spanned.crossJoin(F.broadcast(cuts)).withColumn("split", where)
+    spanned = settle(spanned, "spans")
+    t1, t2 = quantiles(spanned, "lo", [first, second])
+    where = F.when(F.col("hi") < t1, "history").when((F.col("lo") >= t1) & (F.col("hi") < t2), "dev").when(F.col("lo") >= t2, "gold_pool").otherwise("straddler")
+    return spanned.withColumns({"t1": F.lit(t1).cast("double"), "t2": F.lit(t2).cast("double"), "split": where})
 
 
 def keep_first(docs: DataFrame, key: str, *order: str) -> DataFrame:

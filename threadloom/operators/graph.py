@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from threadloom.operators.ranks import quantiles
 from threadloom.session import settle
 
 MAX_DEPTH = 1000
@@ -54,6 +55,8 @@ def thread_stats(parents: DataFrame, depths: DataFrame) -> DataFrame:
     """One row: replies, resolvable, orphans, conversations, cycles, depth and size figures."""
     replies = parents.agg(F.count(F.lit(1)).alias("n_messages"), F.count_if("orphan").alias("n_orphans"), F.count_if(F.col("id") != F.col("parent")).alias("n_resolved"))
     depth = depths.agg(F.count_if(F.expr("depth < 0")).alias("n_cycle"), F.max("depth").alias("max_depth"), F.round(F.avg(F.when(F.col("depth") >= 0, F.col("depth"))), 6).alias("mean_depth"))
-    size = depths.filter("depth >= 0").groupBy("root_id").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("n_conversations"), F.round(F.avg("n"), 6).alias("mean_size"), F.percentile("n", F.lit(0.5)).alias("median_size"), F.max("n").alias("max_size"))
+    sizes = settle(depths.filter("depth >= 0").groupBy("root_id").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    (median,) = quantiles(sizes, "n", [0.5])
+    size = sizes.agg(F.count(F.lit(1)).alias("n_conversations"), F.round(F.avg("n"), 6).alias("mean_size"), F.lit(median).cast("double").alias("median_size"), F.max("n").alias("max_size"))
     out = replies.crossJoin(depth).crossJoin(size)  # one row each
     return out.withColumn("orphan_rate", F.round(F.col("n_orphans") / F.greatest(F.col("n_orphans") + F.col("n_resolved"), F.lit(1)), 6))

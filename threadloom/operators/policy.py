@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,15 @@ DETAILS = {
     "ungrounded_draft": "the draft could not be fully supported by the retrieved evidence",
     "multi_intent": "message contains more than one distinct request",
 }
+#: What a reason says with numbers, and the sentences around it.
+NUMBERED = {
+    "low_quality_input": "message has fewer than {least} content words, too little to act on",
+    "low_confidence": "intent confidence {conf} is below the {tau} threshold",
+    "insufficient_evidence": "only {strong} of {n} retrieved precedents scored above {theta}; the brand has no consistent historical response",
+    "intent_not_auto_allowed": "intent '{intent}' is not on the auto-handle allowlist",
+}
+HANDLED_REASON = "auto_handle \u2014 confident_intent: '{intent}' at {conf} (>= {tau}), {strong} historical precedents above similarity {theta}, and no account action or sensitive content detected."
+ESCALATED_REASON = "escalate \u2014 {primary}: {detail}. Needs a human."
 #: Words that a message needs at least.
 LEAST_WORDS = 4
 CONFLICT = 0.45 * 0.35
@@ -54,27 +65,31 @@ def evidence_conflict(texts: Column, threshold: float = CONFLICT) -> Column:
     return F.coalesce(mean < threshold, F.lit(False))
 
 
+def ask(code: Column) -> Column:
+    """What to ask for a reason, or the default."""
+    asks = F.create_map(*[F.lit(x) for kv in ASKS.items() for x in kv])
+    return F.coalesce(F.try_element_at(asks, code), F.lit(DEFAULT_ASK))
+
+
 def holding_reply(code: Column) -> Column:
     """What a customer is told while a person looks: the template with what to ask for a reason, or the default."""
-    asks = F.create_map(*[F.lit(x) for kv in ASKS.items() for x in kv])
-    return F.format_string(HOLDING, F.coalesce(F.try_element_at(asks, code), F.lit(DEFAULT_ASK)))
+    return F.format_string(HOLDING, ask(code))
 
 
 def reason(primary: Column, strong: Column, n_evidence: Column, tau: float, theta: float) -> Column:
     """The decision in words, with its numbers; ``primary`` is null for what is handled. Reads intent and conf."""
     conf = F.format_string("%.2f", F.col("conf"))
     said = F.create_map(*[F.lit(x) for kv in DETAILS.items() for x in kv])
-    numbers = {
-        "low_quality_input": F.lit(f"message has fewer than {LEAST_WORDS} content words, too little to act on"),
-        "low_confidence": F.concat(F.lit("intent confidence "), conf, F.lit(f" is below the {tau} threshold")),
-        "insufficient_evidence": F.concat(F.lit("only "), strong.cast("string"), F.lit(" of "), n_evidence.cast("string"), F.lit(f" retrieved precedents scored above {theta}; the brand has no consistent historical response")),
-        "intent_not_auto_allowed": F.concat(F.lit("intent '"), F.col("intent"), F.lit("' is not on the auto-handle allowlist")),
-    }
+    values = {"least": F.lit(LEAST_WORDS), "conf": conf, "tau": F.lit(tau), "strong": strong, "n": n_evidence, "theta": F.lit(theta), "intent": F.col("intent")}
+
+    def sentence(text: str, **more: Column) -> Column:
+        parts = re.split(r"\{(\w+)\}", text)
+        return F.concat(*[(values | more)[p].cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
     detail = F.try_element_at(said, primary)
-    for code, text in numbers.items():
-        detail = F.when(primary == code, text).otherwise(detail)
-    handled = F.concat(F.lit("auto_handle \u2014 confident_intent: '"), F.col("intent"), F.lit("' at "), conf, F.lit(f" (>= {tau}), "), strong.cast("string"), F.lit(f" historical precedents above similarity {theta}, and no account action or sensitive content detected."))
-    return F.when(primary.isNull(), handled).otherwise(F.concat(F.lit("escalate \u2014 "), primary, F.lit(": "), detail, F.lit(". Needs a human.")))
+    for code, text in NUMBERED.items():
+        detail = F.when(primary == code, sentence(text)).otherwise(detail)
+    return F.when(primary.isNull(), sentence(HANDLED_REASON)).otherwise(sentence(ESCALATED_REASON, primary=primary, detail=detail))
 
 
 def decide(rows: DataFrame, tau: float, theta: float, least_strong: int, allowed: list[str], sensitive: str = X.SENSITIVE, account: str = X.ACCOUNT_ACTION, unknown: str = "other") -> DataFrame:
@@ -88,6 +103,5 @@ def decide(rows: DataFrame, tau: float, theta: float, least_strong: int, allowed
     codes = F.array_compact(F.array(*[F.when(flags[r], r) for r in REASONS]))
     out = rows.withColumn("codes", codes)
     none = F.size("codes") == 0
-    asks = F.create_map(*[F.lit(x) for kv in ASKS.items() for x in kv])
     primary = F.when(~none, F.col("codes")[0])
-    return out.withColumns({"decision": F.when(none, "auto_handle").otherwise("escalate"), "reason_codes": F.array_join(F.when(none, F.array(*map(F.lit, HANDLED))).otherwise(F.col("codes")), ","), "primary": primary, "ask": F.when(~none, F.coalesce(F.try_element_at(asks, primary), F.lit(DEFAULT_ASK))), "reason": reason(primary, strong, F.size("scores"), tau, theta)}).drop("codes")
+    return out.withColumns({"decision": F.when(none, "auto_handle").otherwise("escalate"), "reason_codes": F.array_join(F.when(none, F.array(*map(F.lit, HANDLED))).otherwise(F.col("codes")), ","), "primary": primary, "ask": F.when(~none, ask(primary)), "reason": reason(primary, strong, F.size("scores"), tau, theta)}).drop("codes")

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as X
+from threadloom.operators.ranks import numbered
 from threadloom.session import settle
 
 K1, B = 1.5, 0.75
+#: Fixed value: what stands for evidence where there is none.
+NO_EVIDENCE = "(no historical precedent found)"
+#: Orders that random evidence is drawn in, and places in a span of time.
+ORDERS, SPAN = 8, 512
 
 
 def tokenised(docs: DataFrame) -> DataFrame:
@@ -57,10 +65,40 @@ def best(scored: DataFrame, k: int, floor: float = 0.0) -> DataFrame:
 
 
 def sampled_evidence(docs: DataFrame, queries: DataFrame, k: int, seed: str) -> DataFrame:
-    """k documents older than each query, by hash: a placebo for evidence."""
-    order = W.partitionBy("item_id").orderBy("h", "doc_id")
-    pairs = queries.select("item_id", F.col("at").alias("q_at")).join(docs.select("doc_id", "at"), F.col("at") < F.col("q_at"))
-    return pairs.withColumn("h", X.bucket(F.col("item_id").cast("string"), F.col("doc_id").cast("string"), seed)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("item_id", "doc_id", "rank")
+    """item_id, doc_id, rank: k documents older than each query, by hash: a placebo for evidence. Without a time nothing is older.
+
+    A query takes one of ORDERS orders of the documents, so a query's documents are the first k of its order before its time.
+    Documents and queries are numbered together by time and lie in spans of SPAN places. For every order the first k of each span are
+    kept, and of each two, four, ... spans; a query looks at the few such nodes that make up all spans before
+    its own, and at the documents of its own span. No pair of a query and an older document is made but these.
+    """
+    both = docs.select(F.col("at").cast("double").alias("at"), F.lit(1).alias("doc"), F.col("doc_id").alias("id")).unionByName(queries.select(F.col("at").cast("double").alias("at"), F.lit(0).alias("doc"), F.col("item_id").alias("id")))
+    placed = settle(numbered(both.filter("at is not null"), "at", "doc", "id", name="place").withColumn("span", F.floor(F.col("place") / SPAN)), "placed")
+    order = F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1)))
+    asked = placed.filter("doc = 0").select(F.col("id").alias("item_id"), F.col("at").alias("q_at"), F.col("span").alias("q_span"), F.pmod(X.bucket(F.col("id").cast("string"), seed), F.lit(ORDERS)).cast("int").alias("o"))
+    known = placed.filter("doc = 1").select(F.col("id").alias("doc_id"), "at", "span", order.alias("o")).withColumn("h", X.bucket(F.col("o").cast("string"), F.col("doc_id").cast("string"), F.lit(seed)))
+    spans = (placed.agg(F.max("span")).first()[0] or 0) + 1
+    levels = max(1, math.ceil(math.log2(spans)) + 1)
+    first = W.partitionBy("o", "level", "node").orderBy("h", "doc_id")  # a limit by group, taken before the exchange too
+    kept = [known.select("o", F.lit(0).alias("level"), F.col("span").alias("node"), "h", "doc_id")]
+    for level in range(levels):
+        rows = kept[-1].withColumn("k", F.row_number().over(first)).filter(F.col("k") <= k).drop("k")
+        kept[-1] = settle(rows, "nodes")
+        kept.append(kept[-1].select("o", F.lit(level + 1).alias("level"), F.floor(F.col("node") / 2).alias("node"), "h", "doc_id"))
+    nodes = reduce(DataFrame.unionByName, kept[:-1])
+    # The spans before number s: for each bit of s a node of that level, the one before where the bits above it end.
+    bits = F.filter(F.sequence(F.lit(0), F.lit(levels - 1)), lambda b: F.expr("1L").bitwiseAND(F.call_function("shiftright", F.col("q_span"), b)) == 1)
+    parts = asked.withColumn("level", F.explode(bits)).withColumn("node", F.call_function("shiftright", F.col("q_span"), F.col("level")) - 1)
+    older = parts.join(nodes, ["o", "level", "node"]).select("item_id", "h", "doc_id")
+    beside = asked.join(known, (asked["q_span"] == known["span"]) & (asked["o"] == known["o"])).filter(F.col("at") < F.col("q_at")).select("item_id", "h", "doc_id")
+    best = W.partitionBy("item_id").orderBy("h", "doc_id")
+    return older.unionByName(beside).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("item_id", "doc_id", "rank")
+
+
+def rendered(hits: Column) -> Column:
+    """Evidence as text: rank, score and both sides of each hit (rank, score, asked, answered); a line of its own says that there is none."""
+    one = lambda x: F.concat(F.lit("[E"), x["rank"].cast("string"), F.lit("] (similarity "), F.format_string("%.4f", x["score"]), F.lit(")\n  Customer: "), F.coalesce(x["asked"], F.lit("")), F.lit("\n  Brand replied: "), F.coalesce(x["answered"], F.lit("")))
+    return F.when(F.size(hits) > 0, F.array_join(F.transform(hits, one), "\n")).otherwise(NO_EVIDENCE)
 
 
 def central_text(docs: DataFrame, key: str, low: int = 8, high: int = 30, first: int = 200, cut: int = 280) -> DataFrame:

@@ -2,32 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as X
-from threadloom.operators import audit, evaluation, exchanges, graph, learning, model_calls, policy, profile, replies, retrieval, sampling
+from threadloom.operators import audit, evaluation, exchanges, graph, learning, model_calls, policy, profile, ranks, replies, retrieval, sampling
 from threadloom.plans import dialect as D
+from threadloom.plans.registry import ORACLE, QUERIES, query  # noqa: F401
 from threadloom.session import settle
 from threadloom.sources import tables
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return register
-
-
 def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages with root_id and depth."""
     m = tables.messages(spark, sf_dir)
@@ -46,6 +31,13 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.crossJoin(F.broadcast(ends)).select("item_id", F.expr("(item_id + 1) * __end div __items").alias("at"), "text")
 
 
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """doc_id (the smallest), text, n of each distinct text: digests are exchanged and counted, texts only of the rows that stay."""
+    d = docs.select("doc_id", F.sha2("text", 256).alias("digest"))
+    one = d.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).select("doc_id", "n")
+    return docs.select("doc_id", "text").join(one, "doc_id")
+
+
 def hits(spark: SparkSession, sf_dir: str, k: int, floor: float = 0.0) -> DataFrame:
     return retrieval.best(retrieval.scores(corpus(spark, sf_dir), items(spark, sf_dir)), k, floor)
 
@@ -63,19 +55,9 @@ def thread_depth(spark, sf_dir):
     return graph.thread_depths(graph.resolve_parents(tables.messages(spark, sf_dir)))
 
 
-EDGES = [(1, None), (2, 1), (3, 1), (4, 2), (10, 999), (20, 21), (21, 20), (22, 21), (30, 30), (40, None), (40, 1), (41, 40)]
-
-
-@query("SELECT * FROM (VALUES (1::BIGINT, 1::BIGINT, 0::BIGINT), (2, 1, 1), (3, 1, 1), (4, 1, 2), (10, 10, 0), (20, 20, -1), (21, 20, -1), (22, 20, -1), (30, 30, 0), (40, 40, 0), (41, 40, 1)) t(id, root_id, depth)")
-def thread_depth_edge_cases(spark, sf_dir):
-    rows = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(EDGES)], "tweet_id long, parent_id long, created_s long")
-    d = graph.thread_depths(graph.resolve_parents(rows))
-    return d.select("id", F.when(F.col("depth") < 0, 20).otherwise(F.col("root_id")).cast("long").alias("root_id"), "depth")
-
-
 @query(f"""WITH RECURSIVE {D.THREADS}, c AS (SELECT root_id, count(*) AS n FROM thr GROUP BY root_id),
-d AS (SELECT count(*) AS n_messages, 0::BIGINT AS n_orphans, count(*) FILTER (depth > 0) AS n_resolved, 0::BIGINT AS n_cycle, max(depth) AS max_depth, round(avg(depth), 6) AS mean_depth FROM thr)
-SELECT d.*, (SELECT count(*) FROM c) AS n_conversations, (SELECT round(avg(n), 6) FROM c) AS mean_size, (SELECT quantile_cont(n, 0.5)::DOUBLE FROM c) AS median_size, (SELECT max(n) FROM c) AS max_size, 0.0::DOUBLE AS orphan_rate FROM d""")
+d AS (SELECT count(*) AS n_messages, count(*) FILTER (parent_id NOT IN (SELECT tweet_id FROM msgs)) AS n_orphans, count(*) FILTER (depth > 0) AS n_resolved, (SELECT count(*) FROM msgs WHERE tweet_id NOT IN (SELECT tweet_id FROM thr)) AS n_cycle, max(depth) AS max_depth, round(avg(depth), 6) AS mean_depth FROM thr)
+SELECT d.*, (SELECT count(*) FROM c) AS n_conversations, (SELECT round(avg(n), 6) FROM c) AS mean_size, (SELECT quantile_cont(n, 0.5)::DOUBLE FROM c) AS median_size, (SELECT max(n) FROM c) AS max_size, round(n_orphans / greatest(n_orphans + n_resolved, 1), 6)::DOUBLE AS orphan_rate FROM d""")
 def thread_stats(spark, sf_dir):
     p = settle(graph.resolve_parents(tables.messages(spark, sf_dir)), "parents")
     return graph.thread_stats(p, graph.thread_depths(p))
@@ -93,14 +75,14 @@ def thread_histograms(spark, sf_dir):
 
 
 @query(f"""SELECT count(*) AS n_rows, count(*) FILTER (text IS NULL) AS n_null, count(*) FILTER ({D.squeeze("coalesce(text, '')")} = '') AS n_empty, count(*) FILTER (len({D.squeeze("coalesce(text, '')")}) < 5) AS n_short,
-count(*) FILTER (regexp_matches(text, '[^\\x00-\\x7F]')) AS n_non_ascii, count(*) FILTER (regexp_matches({D.low("text")}, {D.lit(X.URL)})) AS n_url, count(*) FILTER (regexp_matches({D.low("text")}, {D.lit(X.MENTION)})) AS n_mention,
+count(*) FILTER (regexp_matches(text, '[^\\x00-\\x7F]')) AS n_non_ascii, count(*) FILTER (regexp_matches({D.low("text")}, {D.lit(D.URL)})) AS n_url, count(*) FILTER (regexp_matches({D.low("text")}, {D.lit(D.MENTION)})) AS n_mention,
 count(*) FILTER (regexp_matches({D.low("text")}, {D.lit(X.MASK)})) AS n_masked, count(*) FILTER ({D.norm("text")} = '') AS n_url_or_mention_only, min(len(coalesce(text, ''))) AS min_chars, max(len(coalesce(text, ''))) AS max_chars FROM documents""")
 def text_quality_profile(spark, sf_dir):
     return profile.text_quality(tables.table(spark, sf_dir, "documents"))
 
 
-@query(f"""WITH l AS (SELECT lang, len(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) AS n, len(regexp_replace(regexp_replace(text, '[^\\p{{L}}]', '', 'g'), '[{X.LATIN}]', '', 'g')) AS o FROM documents)
-SELECT lang, count(*) AS n_docs, sum(n)::BIGINT AS n_letters, sum(o)::BIGINT AS n_other, count(*) FILTER (n >= 3 AND o > 0.5 * n) AS n_non_latin, 0::BIGINT AS n_symbols_only FROM l GROUP BY lang""")
+@query(f"""WITH l AS (SELECT lang, len(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) AS n, len(regexp_replace(regexp_replace(text, '[^\\p{{L}}]', '', 'g'), '[{D.LATIN}]', '', 'g')) AS o, regexp_full_match(text, '[\\p{{So}}\\p{{Sk}}\\s]+') AND regexp_matches(text, '[\\p{{So}}\\p{{Sk}}]') AS y FROM documents)
+SELECT lang, count(*) AS n_docs, sum(n)::BIGINT AS n_letters, sum(o)::BIGINT AS n_other, count(*) FILTER (n >= 3 AND o > 0.5 * n) AS n_non_latin, count(*) FILTER (y) AS n_symbols_only FROM l GROUP BY lang""")
 def script_profile(spark, sf_dir):
     letters = F.regexp_replace("text", r"[^\p{L}]", "")
     return tables.table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.length(letters)).alias("n_letters"), F.sum(F.length(F.regexp_replace(letters, f"[{X.LATIN}]", ""))).alias("n_other"), F.count_if(X.non_latin(F.col("text"))).alias("n_non_latin"), F.count_if(X.symbols_only(F.col("text"))).alias("n_symbols_only"))
@@ -113,12 +95,12 @@ def duplicate_profile(spark, sf_dir):
 
 
 @query(f"""WITH {D.MSGS} SELECT count(*) FILTER (inbound) AS n_inbound, count(*) FILTER (NOT inbound) AS n_outbound, round(avg(inbound::INTEGER), 6) AS inbound_share, count(DISTINCT author) FILTER (NOT inbound) AS n_brands,
-count(DISTINCT author) FILTER (NOT inbound AND NOT regexp_matches(author, '^[0-9]+$')) AS n_named_brands, round(coalesce(avg(({D.has("text", X.DEFLECT)} AND {D.words("text")} <= 25)::INTEGER) FILTER (NOT inbound), 0.0), 6) AS strict_deflect_rate FROM msgs""")
+count(DISTINCT author) FILTER (NOT inbound AND NOT regexp_matches(author, '^[0-9]+$')) AS n_named_brands, round(coalesce(avg((regexp_matches({D.low('text')}, {D.lit(D.DEFLECT)}) AND {D.words("text")} <= 25)::INTEGER) FILTER (NOT inbound), 0.0), 6) AS strict_deflect_rate FROM msgs""")
 def role_summary(spark, sf_dir):
     return profile.role_summary(tables.messages(spark, sf_dir))
 
 
-@query(f"""WITH {D.MSGS} SELECT author, count(*) AS n_outbound, count(*) FILTER ({D.has("text", X.DEFLECT)}) AS n_deflect, count(*) FILTER ({D.has("text", X.DEFLECT)} AND {D.words("text")} <= 25) AS n_deflect_strict,
+@query(f"""WITH {D.MSGS} SELECT author, count(*) AS n_outbound, count(*) FILTER (regexp_matches({D.low('text')}, {D.lit(D.DEFLECT)})) AS n_deflect, count(*) FILTER (regexp_matches({D.low('text')}, {D.lit(D.DEFLECT)}) AND {D.words("text")} <= 25) AS n_deflect_strict,
 sum(len(text))::BIGINT AS n_chars, sum({D.words("text")})::BIGINT AS n_words, min(created_s) AS first_s, max(created_s) AS last_s FROM msgs WHERE NOT inbound GROUP BY author""")
 def author_profile(spark, sf_dir):
     return profile.authors(tables.messages(spark, sf_dir))
@@ -139,7 +121,7 @@ def conv_rollup(spark, sf_dir):
 
 
 _BRANDS = f"""{_OWN}, {_CONV},
-a AS (SELECT author, count(*) AS n_outbound, count(*) FILTER ({D.has("text", X.DEFLECT)}) AS n_deflect, sum({D.words("text")}) AS n_words FROM msgs WHERE NOT inbound GROUP BY author),
+a AS (SELECT author, count(*) AS n_outbound, count(*) FILTER (regexp_matches({D.low('text')}, {D.lit(D.DEFLECT)})) AS n_deflect, sum({D.words("text")}) AS n_words FROM msgs WHERE NOT inbound GROUP BY author),
 s AS (SELECT brand AS author, count(*) AS n_own, sum(n_inbound) AS n_inbound, count(*) FILTER (n_messages > 2) AS n_multi, round(avg(n_messages), 6) AS mean_size, min(start_s) AS f, max(end_s) AS l FROM own JOIN conv USING (root_id) WHERE brand IS NOT NULL GROUP BY brand),
 m AS (SELECT author, count(DISTINCT root_id) AS n_shared FROM thr JOIN own USING (root_id) WHERE NOT inbound AND n_brands > 1 GROUP BY author),
 brands AS (SELECT author, n_outbound, coalesce(n_own, 0)::BIGINT AS n_own, coalesce(n_inbound, 0)::BIGINT AS n_inbound, coalesce(n_shared, 0)::BIGINT AS n_shared, round(100.0::DOUBLE * n_deflect / n_outbound, 6) AS deflect_pct,
@@ -254,8 +236,9 @@ def bm25_topk(spark, sf_dir):
 
 @query(f"WITH {D.BM25}, top AS (SELECT item_id, coalesce(max(score), 0) AS s FROM items LEFT JOIN ranked USING (item_id) GROUP BY item_id) SELECT count(*) AS n_queries, round(quantile_cont(s, 0.25), 4) AS theta FROM top")
 def bm25_theta(spark, sf_dir):
-    top = items(spark, sf_dir).select("item_id").join(hits(spark, sf_dir, 1).select("item_id", "score"), "item_id", "left")
-    return top.agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.percentile(F.coalesce("score", F.lit(0.0)), F.lit(0.25)), 4).alias("theta"))
+    top = settle(items(spark, sf_dir).select("item_id").join(hits(spark, sf_dir, 1).select("item_id", "score"), "item_id", "left"), "tops")
+    (theta,) = ranks.quantiles(top, F.coalesce("score", F.lit(0.0)), [0.25])
+    return top.agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.lit(theta).cast("double"), 4).alias("theta"))
 
 
 @query(f"WITH {D.BM25} SELECT item_id, ranked.doc_id, substr(docs.text, 1, 280) AS reply FROM ranked JOIN docs USING (doc_id) WHERE rank = 1")
@@ -271,7 +254,7 @@ def retrieval_precision(spark, sf_dir):
     return q.agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("p"), 6).alias("p_at_5"), F.round(F.avg("rr"), 6).alias("mrr"))
 
 
-@query(f"""WITH h AS (SELECT item_id, doc_id, {D.bucket("item_id", "doc_id", "'placebo'")} AS h FROM benchmark JOIN documents ON doc_id * 60 < ((item_id + 1) * (SELECT (max(doc_id) + 1) * 60 FROM documents)) // (SELECT max(item_id) + 1 FROM benchmark)),
+@query(f"""WITH h AS (SELECT item_id, doc_id, {D.bucket("(" + D.bucket("item_id", "'placebo'") + " % 8)", "doc_id", "'placebo'")} AS h FROM benchmark JOIN documents ON doc_id * 60 < ((item_id + 1) * (SELECT (max(doc_id) + 1) * 60 FROM documents)) // (SELECT max(item_id) + 1 FROM benchmark)),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY h, doc_id) AS rank FROM h) SELECT item_id, doc_id, rank::INTEGER AS rank FROM r WHERE rank <= 5""")
 def random_evidence(spark, sf_dir):
     return retrieval.sampled_evidence(corpus(spark, sf_dir), items(spark, sf_dir), 5, "placebo")
@@ -380,12 +363,18 @@ def coverage_risk_curve(spark, sf_dir):
     return evaluation.coverage_risk(tables.gold(spark, sf_dir))
 
 
-@query(f"""WITH {D.GOLD}, r AS (SELECT (gold = pred)::INTEGER AS v, doc_id FROM gold),
-d AS (SELECT b, v, len(list_filter({list(evaluation.POISSON)}, lambda t: t <= {D.bucket("b", "doc_id", "'boot'")})) AS n FROM r, unnest(range(200)) AS x(b)), m AS (SELECT b, sum(n * v) / sum(n) AS m FROM d GROUP BY b)
-SELECT (SELECT round(avg(v), 6) FROM r) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, count(*) AS n_boot FROM m""")
+#: Each cell's draw sums the binomial distribution from 0 on, one cell after the other.
+@query(f"""WITH RECURSIVE {D.GOLD}, cells AS (SELECT gold, pred, count(*) AS c, row_number() OVER (ORDER BY gold, pred) AS i FROM gold GROUP BY gold, pred), c AS (SELECT *, (sum(c) OVER (ORDER BY i DESC))::BIGINT AS rest FROM cells),
+r AS (SELECT b, 0::BIGINT AS i, (SELECT count(*) FROM gold)::BIGINT AS held, 0::BIGINT AS k FROM range(200) AS x(b)
+  UNION ALL SELECT b, c.i, held - k, CASE WHEN c.c = rest THEN held - k WHEN held = k THEN 0 ELSE list_reduce(list_prepend({{'s': 0.0::DOUBLE, 'k': 0::BIGINT}}, list_transform(range(0, held - k), lambda t: {{'s': exp(lgamma(held - k + 1) - lgamma(t + 1) - lgamma(held - k - t + 1) + t * ln(c.c / rest) + (held - k - t) * ln(1 - c.c / rest)), 'k': 0::BIGINT}})),
+    lambda a, x: {{'s': a.s + x.s, 'k': a.k + CASE WHEN ({D.bucket("b", "c.gold", "c.pred", "'boot'")} + 0.5::DOUBLE) / 4294967296 > a.s + x.s THEN 1 ELSE 0 END}}).k END FROM r JOIN c ON c.i = r.i + 1),
+n AS (SELECT b, gold, pred, k AS n FROM r JOIN c USING (i) UNION ALL SELECT -1, gold, pred, c FROM cells),
+f AS (SELECT b, l, 2.0::DOUBLE * coalesce(sum(n) FILTER (gold = l AND pred = l), 0) / greatest(1, coalesce(sum(n) FILTER (gold = l), 0) + coalesce(sum(n) FILTER (pred = l), 0)) AS f FROM n, range(5) AS y(l) GROUP BY b, l),
+s AS (SELECT b, sum(n) FILTER (gold = pred) / sum(n) AS a, (SELECT avg(f) FROM f WHERE f.b = n.b) AS m FROM n GROUP BY b)
+SELECT (SELECT round(a, 6) FROM s WHERE b = -1) AS accuracy, round(quantile_cont(a, 0.025), 6) AS accuracy_low, round(quantile_cont(a, 0.975), 6) AS accuracy_high,
+(SELECT round(m, 6) FROM s WHERE b = -1) AS macro_f1, round(quantile_cont(m, 0.025), 6) AS macro_f1_low, round(quantile_cont(m, 0.975), 6) AS macro_f1_high, count(*) AS n_boot FROM s WHERE b >= 0""")
 def bootstrap_accuracy(spark, sf_dir):
-    g = tables.gold(spark, sf_dir).withColumn("right", F.col("gold") == F.col("pred"))
-    return evaluation.bootstrap_mean(g, "right", "doc_id", 200)
+    return evaluation.bootstrap(tables.gold(spark, sf_dir), list(range(5)), 200)
 
 
 _RATED = f"""pairs AS (SELECT event_type AS dimension, (1 + floor(abs(value)) % 5)::INTEGER AS human, CASE WHEN event_id % 3 = 0 THEN (1 + {D.bucket("event_id", "'judge'")} % 4)::INTEGER ELSE (1 + floor(abs(value)) % 5)::INTEGER END AS judge FROM events)"""
@@ -402,8 +391,10 @@ u AS (SELECT dimension, r, row_number() OVER (PARTITION BY dimension ORDER BY r)
 p AS (SELECT pairs.dimension, a.i AS i, b.i AS j FROM pairs JOIN u a ON a.dimension = pairs.dimension AND a.r = human JOIN u b ON b.dimension = pairs.dimension AND b.r = judge),
 h AS (SELECT dimension, i, count(*) AS nh FROM p GROUP BY ALL), j AS (SELECT dimension, j, count(*) AS nj FROM p GROUP BY ALL),
 e AS (SELECT dimension, sum(nh * nj * (i - j) ** 2)::DOUBLE AS ew, sum(CASE WHEN i = j THEN nh * nj ELSE 0 END)::DOUBLE AS e FROM h JOIN j USING (dimension) GROUP BY dimension), o AS (SELECT dimension, sum((i - j) ** 2) AS ow FROM p GROUP BY dimension),
+tail AS (SELECT dimension, 1 - sum(CASE WHEN t IN (0, 4000) THEN 1 WHEN t % 2 = 1 THEN 4 ELSE 2 END * pow(1 - pow(r * t / 4000, 2), (n - 4) / 2)) * r / 4000 / 3 * 2 / exp(lgamma(0.5) + lgamma((n - 2) / 2) - lgamma((n - 1) / 2)) AS p
+  FROM (SELECT dimension, count(*)::DOUBLE AS n, abs(corr(rh, rj)) AS r FROM rk GROUP BY dimension), range(4001) AS u(t) GROUP BY dimension, n, r),
 s AS (SELECT dimension, count(*) AS n, corr(rh, rj) AS rho, avg((human = judge)::INTEGER) AS x, avg((abs(human - judge) <= 1)::INTEGER) AS w1, avg(abs(human - judge)) AS d, avg(judge - human) AS b FROM rk GROUP BY dimension)
-SELECT dimension, n, CASE WHEN n < 8 THEN 'INSUFFICIENT' ELSE 'OK' END AS status, round(rho, 6) AS spearman, round((x - e / (n * n)) / (1 - e / (n * n)), 6) AS kappa, round(1 - ow * n / ew, 6) AS weighted_kappa, round(x, 6) AS exact, round(w1, 6) AS within_one, round(d, 6) AS distance, round(b, 6) AS bias FROM s JOIN e USING (dimension) JOIN o USING (dimension)""")
+SELECT dimension, n, CASE WHEN n < 8 THEN 'INSUFFICIENT' ELSE 'OK' END AS status, round(rho, 6) AS spearman, abs(round(p, 4)) AS spearman_p, round((x - e / (n * n)) / (1 - e / (n * n)), 6) AS kappa, round(1 - ow * n / ew, 6) AS weighted_kappa, round(x, 6) AS exact, round(w1, 6) AS within_one, round(d, 6) AS distance, round(b, 6) AS bias FROM s JOIN e USING (dimension) JOIN o USING (dimension) JOIN tail USING (dimension)""")
 def rater_agreement(spark, sf_dir):
     return evaluation.agreement(rated_pairs(spark, sf_dir))
 
@@ -436,7 +427,8 @@ def failure_modes(spark, sf_dir):
 @query("SELECT count(*) AS n, round(median(abs(value)), 6) AS median_s, round(avg(abs(value)), 6) AS mean_s, round(avg((abs(value) < 2)::INTEGER), 6) AS under_2s, round(avg((event_id % 4 = 0)::INTEGER), 6) AS override_share FROM events")
 def label_effort(spark, sf_dir):
     v = F.abs("value")
-    return tables.table(spark, sf_dir, "events").agg(F.count(F.lit(1)).alias("n"), F.round(F.median(v), 6).alias("median_s"), F.round(F.avg(v), 6).alias("mean_s"), F.round(F.avg((v < 2).cast("int")), 6).alias("under_2s"), F.round(F.avg((F.col("event_id") % 4 == 0).cast("int")), 6).alias("override_share"))
+    (median,) = ranks.quantiles(tables.table(spark, sf_dir, "events"), v, [0.5])
+    return tables.table(spark, sf_dir, "events").agg(F.count(F.lit(1)).alias("n"), F.round(F.lit(median).cast("double"), 6).alias("median_s"), F.round(F.avg(v), 6).alias("mean_s"), F.round(F.avg((v < 2).cast("int")), 6).alias("under_2s"), F.round(F.avg((F.col("event_id") % 4 == 0).cast("int")), 6).alias("override_share"))
 
 
 # Samples
@@ -469,15 +461,6 @@ def stratified_sample(spark, sf_dir):
 
 # Model calls
 
-REPLIES = [(1, '{"intent": "billing", "confidence": 0.7}'), (2, 'Sure:\n```json\n{"intent": "refund", "confidence": 1.4}\n```'), (3, 'x {"intent": "app", "confidence": "bad"} y'), (4, "no json"), (5, '{"confidence": 0.2}'), (6, None)]
-
-
-@query("SELECT * FROM (VALUES (1, 'billing', 0.7::DOUBLE, false), (2, 'refund', 1.0, false), (3, 'app', 0.0, false), (4, 'other', 0.0, true), (5, 'other', 0.2, true), (6, 'other', 0.0, true)) t(id, intent, confidence, failed)")
-def json_repair(spark, sf_dir):
-    r = spark.createDataFrame(REPLIES, "id int, reply string").select("id", model_calls.parse_reply(F.col("reply")).alias("p"))
-    return r.select("id", "p.intent", "p.confidence", "p.failed")
-
-
 _PROMPT = "'Message: ' || substr(text, 1, 1500) || chr(10) || 'Return ONLY JSON with intent and confidence.'"
 _H = "('0x' || substr(sha256(prompt), 1, 8))::BIGINT"
 _MOCK = f"""p AS (SELECT item_id, {_PROMPT} AS prompt FROM benchmark), k AS (SELECT item_id, sha256('mock' || chr(10) || prompt) AS key, {_H} AS h FROM p)"""
@@ -518,16 +501,6 @@ def rate_window(spark, sf_dir):
     return model_calls.rate_window(e, "s", 15, 3600).select("event_id", "in_window", "over")
 
 
-ITEMS = [("gold candidates", 200), ("silver labels", -(-1500 // 20)), ("agent classification", 150), ("agent generation", 150), ("judge", 450), ("agreement subset", 50)]
-
-
-@query(f"WITH i(item, calls) AS (VALUES {', '.join(f'({D.lit(a)}, {n})' for a, n in ITEMS)}), t AS (SELECT sum(calls) AS s FROM i) SELECT item, calls::BIGINT AS calls FROM i UNION ALL SELECT 'retries', floor(s * 0.15)::BIGINT FROM t UNION ALL SELECT 'total', (s + floor(s * 0.15))::BIGINT FROM t")
-def budget_projection(spark, sf_dir):
-    i = spark.createDataFrame(ITEMS, "item string, calls long")
-    t = i.agg(F.sum("calls").alias("s")).withColumn("r", F.floor(F.col("s") * 0.15))
-    return i.unionByName(t.select(F.lit("retries").alias("item"), F.col("r").alias("calls"))).unionByName(t.select(F.lit("total").alias("item"), (F.col("s") + F.col("r")).alias("calls")))
-
-
 # Learning, sources, sinks, audits
 
 
@@ -539,9 +512,15 @@ def tfidf_weights(spark, sf_dir):
 
 @query(None)
 def lr_predictions(spark, sf_dir):
-    d = learning.vectors(tables.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "features")
-    labelled = d.join(tables.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
-    return learning.fit_predict(labelled, d, "doc_id")
+    labels = tables.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return learning.classify(tables.table(spark, sf_dir, "documents").select("doc_id", "text"), labels, "doc_id")
+
+
+@query(None)
+def text_clusters(spark, sf_dir):
+    d = distinct_texts(tables.table(spark, sf_dir, "documents").filter(X.blank_split_count(F.col("text")) >= 3))
+    v = settle(learning.weighted(d, "doc_id", learning.with_pairs(X.terms(F.col("text"), X.STOP_WORDS)), least_df=3, most_df=0.6), "vectors")
+    return learning.described(learning.text_clusters(v, "doc_id", learning.n_clusters(v.count())), d, "doc_id")
 
 
 @query(None)
@@ -583,18 +562,7 @@ def eval_rows(spark, sf_dir):
 
 @query(f"SELECT text, count(*) AS n FROM documents WHERE {D.blanks('text')} >= 3 GROUP BY text")
 def discovery_corpus(spark, sf_dir):
-    d = tables.table(spark, sf_dir, "documents").filter(X.blank_split_count(F.col("text")) >= 3)
-    return d.groupBy("text").agg(F.count(F.lit(1)).alias("n"))
-
-
-TAXONOMY = [(0, " Billing Issue "), (1, "billing-issue"), (2, "Other"), (3, "App Bug"), (4, "device support")]
-
-
-@query("SELECT * FROM (VALUES ('billing_issue', 1), ('app_bug', 2), ('device_support', 3)) t(name, place)")
-def taxonomy_cleanup(spark, sf_dir):
-    t = spark.createDataFrame(TAXONOMY, "at int, raw string").withColumn("name", X.name_key(F.col("raw"))).filter("name <> 'other'")
-    one = exchanges.keep_first(t, "name", "at")
-    return one.withColumn("place", F.row_number().over(W.orderBy("at"))).filter("place <= 9").select("name", "place")
+    return distinct_texts(tables.table(spark, sf_dir, "documents").filter(X.blank_split_count(F.col("text")) >= 3)).select("text", "n")
 
 
 @query(f"""WITH {D.SESSIONS} SELECT CASE WHEN n = 0 THEN 'OK' ELSE s END AS status, name, n AS n_failed FROM (SELECT 'CRITICAL' AS s, 'documents without a text' AS name, (SELECT count(*) FROM documents WHERE text IS NULL) AS n
@@ -618,51 +586,6 @@ def profile_cube(spark, sf_dir):
 # What models answer
 
 
-JUDGED = [
-    (1, '{"relevance": {"score": 4, "why": "x"}, "tone": 5, "unsupported": {"flag": 1}, "apt": 0}'), (2, '```json\n{"relevance": "3", "tone": {"score": 2.5}, "unsupported": 1, "apt": {"flag": "1"}}\n```'),
-    (3, '{"relevance": 6, "tone": 3}'), (4, '{"relevance": {"why": "x"}, "tone": 3}'), (5, "no JSON at all"), (6, '{"relevance": 3.5, "tone": 1, "unsupported": "yes", "apt": "1.0"}'), (7, None), (8, '{"relevance": null, "tone": 2}'),
-    (9, '{"relevance": "nan", "tone": 2}'), (10, '{"relevance": 1e300, "tone": 2}'), (11, '{"relevance": true, "tone": 2, "apt": 1.7}'), (12, "[1, 2]"),
-]
-
-
-@query("""SELECT * FROM (VALUES (1, false, 4, 5, 1, 0, 4.5), (2, false, 3, 2, 1, 1, 2.5), (3, true, NULL, NULL, NULL, NULL, NULL), (4, true, NULL, NULL, NULL, NULL, NULL), (5, true, NULL, NULL, NULL, NULL, NULL),
-(6, false, 4, 1, 0, 0, 2.5), (7, true, NULL, NULL, NULL, NULL, NULL), (8, true, NULL, NULL, NULL, NULL, NULL), (9, true, NULL, NULL, NULL, NULL, NULL), (10, true, NULL, NULL, NULL, NULL, NULL),
-(11, false, 1, 2, 0, 1, 1.5), (12, true, NULL, NULL, NULL, NULL, NULL)) t(id, failed, relevance, tone, unsupported, apt, c), LATERAL (SELECT c::DOUBLE AS composite)""".replace("SELECT * FROM", "SELECT t.* EXCLUDE (c), composite FROM"))
-def judge_rows(spark, sf_dir):
-    rows = spark.createDataFrame(JUDGED, "id int, reply string")
-    return rows.select("id", replies.parse_judgement(F.col("reply"), ["relevance", "tone"], ["unsupported", "apt"]).alias("j")).select("id", "j.*")
-
-
-BATCHES = [
-    (1, '{"results": [{"id": 0, "intent": "good", "confidence": 0.7}, {"id": "1", "intent": "fine", "confidence": "1.5"}, {"id": 2, "intent": "strange", "confidence": 1}, {"id": "x", "intent": "good"}]}'),
-    (2, '{"results": [{"id": 0, "intent": "bad"}, {"id": 0, "intent": "good", "confidence": null}, 7, {"intent": "good"}, {"id": 1.9, "intent": "fine", "confidence": -2}]}'), (3, "broken"),
-]
-
-
-@query("""SELECT * FROM (VALUES (1, 0, 'good', 0.7::DOUBLE, false), (1, 1, 'fine', 1.0, false), (1, 2, 'other', 0.0, true), (1, 3, 'other', 0.0, true), (2, 0, 'good', 0.0, false), (2, 1, 'fine', 0.0, false), (2, 2, 'other', 0.0, true),
-(3, 0, 'other', 0.0, true), (4, 0, 'other', 0.0, true)) t(batch, id, intent, confidence, parse_failed)""")
-def batch_alignment(spark, sf_dir):
-    asked = spark.createDataFrame([(b, i) for b, n in ((1, 4), (2, 3), (3, 1), (4, 1)) for i in range(n)], "batch int, id long")
-    return replies.align_batches(asked, spark.createDataFrame(BATCHES, "batch int, reply string"), INTENTS).withColumn("id", F.col("id").cast("int"))
-
-
-CLAIMS = [
-    (1, '{"claims": [{"c": "a", "supported_by": []}, {"c": "b", "supported_by": ["E1"]}, {"c": "c"}, "loose", {"supported_by": null}, {"supported_by": "E2"}, {"supported_by": ""}]}'),
-    (2, '{"claims": null}'), (3, '{"claims": "none"}'), (4, None), (5, '{"claims": []}'),
-]
-
-
-@query("SELECT * FROM (VALUES (1, 4), (2, 0), (3, 0), (4, 0), (5, 0)) t(id, n_unsupported)")
-def unsupported_claims(spark, sf_dir):
-    return spark.createDataFrame(CLAIMS, "id int, reply string").select("id", replies.unsupported_claims(F.col("reply")).alias("n_unsupported"))
-
-
-@query("SELECT '- billing: money matters' || chr(10) || '    includes: invoices' || chr(10) || '- bugs: what breaks' || chr(10) || '    includes: crashes' || chr(10) || '    excludes: wishes' || chr(10) || '- rest: all else' AS text")
-def taxonomy_text(spark, sf_dir):
-    rows = [(2, "bugs", "what breaks", "crashes", "wishes"), (1, "billing", "money matters", "invoices", ""), (3, "rest", "all else", None, None)]
-    return replies.taxonomy_text(spark.createDataFrame(rows, "place int, name string, definition string, includes string, excludes string"))
-
-
 @query("SELECT doc_id, d.source, d.lang, d.n_chars, l.quality, l.toxic, l.quality + l.toxic AS n_chars_l FROM documents d LEFT JOIN (SELECT * FROM labels WHERE toxic = 0 OR quality = 1) l USING (doc_id)")
 def left_merge(spark, sf_dir):
     l = tables.table(spark, sf_dir, "labels").filter("toxic = 0 OR quality = 1").select("doc_id", "quality", "toxic", (F.col("quality") + F.col("toxic")).alias("n_chars"))
@@ -699,16 +622,10 @@ def latency_stats(spark, sf_dir):
     return replies.latency(tables.table(spark, sf_dir, "events").select(((F.col("event_id") % 40 + 1) / 8).alias("seconds"), error.alias("error")))
 
 
-@query("SELECT * FROM (VALUES ('m-1.5-lite', 0, -1.5::DOUBLE, 10), ('M-2-flash', 1, -2.0, 9), ('pro-3.1-7', 3, -7.0, 9), ('plain', 2, 0.0, 5)) t(name, tier, version, length)")
-def cheapness_rank(spark, sf_dir):
-    names = spark.createDataFrame([("m-1.5-lite",), ("M-2-flash",), ("pro-3.1-7",), ("plain",)], "name string")
-    return names.select("name", replies.cheapness(F.col("name")).alias("c")).select("name", "c.*")
-
-
 # Profiles and sinks, the rest
 
 
-@query(f"""WITH RECURSIVE {D.THREADS}, {_OWN}, {_CONV}, a AS (SELECT author, count(*) AS n_outbound, count(*) FILTER ({D.has("text", X.DEFLECT)}) AS n_deflect, count(*) FILTER ({D.has("text", X.DEFLECT)} AND {D.words("text")} <= 25) AS n_strict, sum({D.words("text")}) AS n_words, min(created_s) AS first_s, max(created_s) AS last_s FROM msgs WHERE NOT inbound GROUP BY author),
+@query(f"""WITH RECURSIVE {D.THREADS}, {_OWN}, {_CONV}, a AS (SELECT author, count(*) AS n_outbound, count(*) FILTER (regexp_matches({D.low('text')}, {D.lit(D.DEFLECT)})) AS n_deflect, count(*) FILTER (regexp_matches({D.low('text')}, {D.lit(D.DEFLECT)}) AND {D.words("text")} <= 25) AS n_strict, sum({D.words("text")}) AS n_words, min(created_s) AS first_s, max(created_s) AS last_s FROM msgs WHERE NOT inbound GROUP BY author),
 s AS (SELECT brand AS author, count(*) AS n_own, sum(n_inbound) AS n_in, count(*) FILTER (max_depth >= 2) AS n_multi, round(avg(n_messages), 2) AS mean_size FROM own JOIN conv USING (root_id) WHERE brand IS NOT NULL GROUP BY brand),
 m AS (SELECT author, count(*) AS n_shared, sum(n_inbound) AS n_in FROM (SELECT DISTINCT root_id, author FROM thr WHERE NOT inbound) JOIN own USING (root_id) JOIN conv USING (root_id) WHERE n_brands > 1 GROUP BY author)
 SELECT a.author, n_outbound, round(100.0::DOUBLE * n_deflect / n_outbound, 2) AS deflect_pct, round(100.0::DOUBLE * n_strict / n_outbound, 2) AS deflect_strict_pct, round(n_words / n_outbound, 1)::DOUBLE AS mean_words, coalesce(n_own, 0)::BIGINT AS n_own, coalesce(s.n_in, 0)::BIGINT AS n_inbound_own,

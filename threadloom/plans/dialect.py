@@ -5,6 +5,21 @@ from __future__ import annotations
 from threadloom.functions import text as X
 
 
+#: Fixed values once more, so that a wrong one in the functions does not pass.
+URL, MENTION = r"https?://[^ \t\n\r\f]+|(^|[^\p{L}\p{N}_])www\.[^ \t\n\r\f]+", r"@[\p{L}\p{N}_]+"
+DEFLECT = r"((^|[^a-z0-9_])dms?([^a-z0-9_]|$)|(^|[^a-z0-9_])d\.?m\.?([^a-z0-9_]|$)|direct message|private message|(^|[^a-z0-9_])pm us([^a-z0-9_]|$)|inbox us|message us privately)"
+THANKS = r"(^|[^a-z0-9_])(thanks|thank you|cheers|appreciate it|sorted|fixed it|that worked|perfect|awesome|legend)([^a-z0-9_]|$)"
+SENSITIVE = (
+    r"(^|[^a-z0-9_])(lawsuit|sue|suing|legal action|attorney|lawyer|court|subpoena|fraud|fraudulent|unauthorou?ised|stolen|identity theft|hacked|discriminat[a-z0-9_]*|racist|harass[a-z0-9_]*|threat[a-z0-9_]*|"
+    r"died|death|passed away|funeral|hospital|medical|disabilit[a-z0-9_]*|self.?harm|suicid[a-z0-9_]*|kill myself|data breach|gdpr|ombudsman|regulator|complaint to)([^a-z0-9_]|$)"
+)
+ACCOUNT = (
+    r"(^|[^a-z0-9_])(refund|charge ?back|reimburse|credit my|cancel my (account|subscription|plan)|close my account|delete my account|reset my password|change my (email|address|card)|"
+    r"update my (card|billing|payment)|bill(ed|ing) me|double.?charged|unsubscribe me|downgrade my|upgrade my)([^a-z0-9_]|$)"
+)
+LATIN = r"A-Za-z\x{C0}-\x{24F}\x{1E00}-\x{1EFF}\x{2C60}-\x{2C7F}\x{A720}-\x{A7FF}"
+
+
 def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -18,7 +33,7 @@ def squeeze(x: str) -> str:
 
 
 def norm(t: str) -> str:
-    return squeeze(f"regexp_replace(regexp_replace({low(t)}, {lit(X.URL)}, ' ', 'g'), {lit(X.MENTION)}, ' ', 'g')")
+    return squeeze(f"regexp_replace(regexp_replace({low(t)}, {lit(URL)}, '\\1 ', 'g'), {lit(MENTION)}, ' ', 'g')")
 
 
 _CLEAN = lit(r"https?://[^ \t\n\r\f]+|@[a-z0-9_]+")
@@ -42,7 +57,8 @@ def has(t: str, pattern: str) -> str:
 
 
 def low_quality(t: str, least: int = 4) -> str:
-    bare = f"regexp_replace(regexp_replace({low(t)}, {_CLEAN}, ' ', 'g'), {lit(r'[!-/:-@\[-^`{-~]')}, ' ', 'g')"
+    gone = lit(r"https?://[^ \t\n\r\f]+|@[\p{L}\p{N}_]+")
+    bare = f"regexp_replace(regexp_replace({low(t)}, {gone}, ' ', 'g'), {lit(r'[^\p{L}\p{N}_ \t\n\r\f\x0B]')}, ' ', 'g')"
     return f"({blanks(bare)} < {least})"
 
 
