@@ -57,3 +57,14 @@ def test_many_fingerprints_that_share_a_half():
     for i in range(0, len(x), 97):
         near = np.flatnonzero(np.bitwise_count(x ^ x[i]) <= 3)
         assert len({sets.find(int(j)) for j in near}) == 1
+
+
+def test_whole_notices_score_by_what_agrees(spark):
+    of = {t.label: t for t in license_scan.TEMPLATES}
+    mit, bsd = of["mit-text"].notice.split(), of["bsd"].notice
+    half = " ".join(mit[: len(mit) // 2] + ["other"] * 40)
+    docs = spark.createDataFrame([(1, "x " + " ".join(mit) + " y"), (2, half), (3, bsd.upper()), (4, "license " * 5000), (5, of["mit-text"].key.replace("granted", "given"))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(docs).collect()}
+    assert got[1]["labels"] == got[2]["labels"] == "mit-text" and got[1]["score"] == 1.0 and 0.2 < got[2]["score"] < 0.8
+    assert got[3]["labels"] == "bsd" and got[3]["score"] == 1.0 and got[3]["n_base"] == 0 and got[3]["first_word"] is None
+    assert got[4]["labels"] == got[5]["labels"] == "" and got[4]["n_words"] == 5000

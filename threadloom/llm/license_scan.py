@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import math
 import string
+from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed value: what stands between words, in a text whose A to Z are lower-cased.
@@ -31,23 +32,53 @@ class Template:
     base: bool = False
 
 
-#: Labels, key phrases and notices.
+#: Labels, key phrases and notices (the customary ones, in lower case and without marks).
 TEMPLATES = (
     Template("gpl", "gnu general public license", "this work is licensed under the gnu general public license", True),
     Template("apache", "apache license", "licensed under the apache license", True),
     Template("cc-by", "cc by", "licensed under cc by", True),
     Template("mit", "mit license", "released under the mit license", True),
     Template("gpl-3.0", "gnu general public license version 3", "this work is licensed under the gnu general public license version 3"),
+    Template(
+        "gpl-notice", "under the terms of the gnu general public license as published by the free software foundation",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version "
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details "
+        "you should have received a copy of the gnu general public license along with this program if not see https www gnu org licenses",
+    ),
     Template("apache-2.0", "apache license version 2 0", "licensed under the apache license version 2 0"),
+    Template(
+        "apache-notice", "you may not use this file except in compliance with the license",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license",
+    ),
     Template("cc-by-nc-4.0", "cc by nc 4 0", "licensed under cc by nc 4 0"),
     Template("cc-by-sa-4.0", "cc by sa 4 0", "licensed under cc by sa 4 0"),
-    Template("lgpl", "gnu lesser general public license", "under the terms of the gnu lesser general public license"),
-    Template("agpl", "gnu affero general public license", "under the terms of the gnu affero general public license"),
-    Template("mpl-2.0", "mozilla public license", "subject to the terms of the mozilla public license v 2 0"),
-    Template("bsd", "redistribution and use in source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted"),
-    Template("mit-text", "permission is hereby granted free of charge to any person", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    Template("unlicense", "free and unencumbered software released into the public domain", "this is free and unencumbered software released into the public domain"),
-)
+    Template("lgpl", "gnu lesser general public license", "under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    Template("agpl", "gnu affero general public license", "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    Template("mpl-2.0", "mozilla public license", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"),
+    Template(
+        "bsd", "redistribution and use in source and binary forms",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    ),
+    Template(
+        "mit-text", "permission is hereby granted free of charge to any person",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish "
+        "distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    ),
+    Template(
+        "isc", "permission to use copy modify and or distribute this software for any purpose",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    ),
+    Template(
+        "unlicense", "free and unencumbered software released into the public domain",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    ),
+)
 
 
 def idf(templates: tuple[Template, ...] = TEMPLATES) -> dict[str, float]:
@@ -70,51 +101,70 @@ def words_of(parts: Column) -> Column:
     return F.slice(parts, first + 1, F.greatest(F.size(parts) - first - last, F.lit(0)))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row; an expression that a lambda names would be computed again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def index(spark: SparkSession, templates: tuple[Template, ...]) -> DataFrame:
+    """One row: templates (array of struct, by number), postings (from a rare word to the templates and places in the key phrase)."""
+    weight = idf(templates)
+    spaced = lambda s: F.split(F.lit(s), " ")
+    rows, postings = [], defaultdict(list)
+    for t, x in enumerate(templates):
+        notice = x.notice.split()
+        weights = [weight[w] for w in notice]
+        rare = rare_words(x, weight)
+        for word, place in rare:
+            postings[word].append(F.struct(F.lit(t).alias("t"), F.lit(place).alias("place")))
+        given = F.transform(spaced(" ".join(map(repr, weights))), lambda w: w.cast("double"))
+        rows.append(F.struct(F.lit(x.label).alias("label"), F.lit(x.base).alias("base"), spaced(x.key).alias("key"), F.lit(f" {x.notice} ".split(f" {x.key} ")[0].count(" ")).alias("at"), spaced(x.notice).alias("notice"), given.alias("weights"), F.lit(sum(weights)).alias("whole"), F.lit(len(rare)).alias("rare")))
+    places = F.create_map(*[c for w, p in sorted(postings.items()) for c in (F.lit(w), F.array(*p))])
+    return spark.range(1).select(F.array(*rows).alias("__templates"), places.alias("__postings"))
+
+
 def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score: one row a row of ``docs``.
 
     score is the best share of a found template's IDF weight that stands at the aligned places, 0 without
-    any. A null or empty text has no words: counts 0, places null, labels ''. Repeated rows give repeated
-    rows. Only doc_id and text are read. Places that overlap all count.
+    any. A null or empty text has no words: counts 0, places null, labels ''. Texts are read whole, however long. Repeated rows give repeated
+    rows, an empty table an empty result. Only doc_id and text are read. Places that overlap all count.
+
+    The index is one row, of the size of the collection, that a broadcast join puts beside every document; no template stands in an expression.
     """
-    weight = idf(templates)
-    rare = [rare_words(t, weight) for t in templates]
-    names = sorted({w for r in rare for w, _ in r})
-    words = F.col("__words")
+    names = sorted({w for t in templates for w, _ in rare_words(t, idf(templates))})
     df = docs.select("doc_id", F.split(F.translate(F.coalesce(F.col("text"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase), SEPARATOR, -1).alias("__parts"))
     df = df.select("doc_id", words_of(F.col("__parts")).alias("__words"))
-    df = df.withColumn("__hits", F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(names), F.struct(i.alias("p"), w.alias("w"))))))
-    df = df.select("doc_id", F.size("__words").cast("long").alias("n_words"), "__hits", F.when(F.size("__hits") > 0, words).alias("__words"))
-
-    def starts(word: str, place: int) -> Column:
-        return F.transform(F.filter("__hits", lambda h: h["w"] == word), lambda h: h["p"] - place)
-
-    def found(t: Template, anchors: list[tuple[str, int]]) -> Column:
-        key = t.key.split()
-        both = reduce(F.array_intersect, [starts(w, j) for w, j in anchors])
-        phrase = F.array(*map(F.lit, key))
-        return F.filter(both, lambda s: F.when(s >= 0, F.slice(words, s + 1, F.lit(len(key))) == phrase).otherwise(False))
-
-    df = df.select("doc_id", "n_words", "__words", *[F.when(F.size("__hits") > 0, found(t, a)).otherwise(F.array().cast("array<int>")).alias(f"__t{k}") for k, (t, a) in enumerate(zip(templates, rare, strict=True))])
-
-    def coverage(k: int, t: Template) -> Column:
-        notice = t.notice.split()
-        at = " ".join(notice).split(t.key)[0].count(" ")
-        whole = sum(weight[w] for w in notice)
-
-        def share(s: Column) -> Column:
-            total = F.lit(0.0)
-            for j, w in enumerate(notice):
-                place = s + (j - at)
-                total = total + F.when((place >= 0) & F.get(words, F.greatest(place, F.lit(0))).eqNullSafe(F.lit(w)), weight[w]).otherwise(0.0)
-            return F.round(total / whole, 6)
-
-        return F.coalesce(F.array_max(F.transform(f"__t{k}", share)), F.lit(0.0))
-
-    base = [k for k, t in enumerate(templates) if t.base]
-    places = F.flatten(F.array(*[F.col(f"__t{k}") for k in base]))
-    label = lambda ks: F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.size(f"__t{k}") > 0, templates[k].label) for k in ks])))), ",")
-    return df.select(
-        "doc_id", "n_words", F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"),
-        label(base).alias("base_labels"), label(range(len(templates))).alias("labels"), F.greatest(*[coverage(k, t) for k, t in enumerate(templates)]).alias("score"),
-    )
+    rare = let(F.col("__words"), lambda words: F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(names), F.struct(i.alias("p"), w.alias("w"))))))
+    df = df.withColumn("__hits", rare).select("doc_id", F.size("__words").cast("long").alias("n_words"), "__hits", F.when(F.size("__hits") > 0, F.col("__words")).alias("__words"))
+    df = df.crossJoin(F.broadcast(index(docs.sparkSession, templates)))  # one row
+
+    def template(t: Column) -> Column:
+        return F.get("__templates", t)
+
+    def agreeing(all_: Column) -> Column:
+        """The starts on which a template's rare words all agree: of the sorted candidates, runs of as many as it has."""
+        of = lambda x: F.struct(x["t"], x["s"])
+        run = F.transform(all_, lambda x, i: F.when(of(F.get(all_, i + template(x["t"])["rare"] - 1)).eqNullSafe(of(x)), F.struct(x["t"].alias("t"), x["s"].alias("s"))))
+        return F.array_distinct(F.array_compact(run))
+
+    looked_up = F.flatten(F.transform("__hits", lambda h: F.transform(F.element_at("__postings", h["w"]), lambda x: F.struct(x["t"].alias("t"), (h["p"] - x["place"]).alias("s"), x["place"].alias("place")))))
+    candidates = let(F.array_sort(looked_up), agreeing)
+    verified = F.filter(candidates, lambda c: (c["s"] >= 0) & (F.slice("__words", F.greatest(c["s"], F.lit(0)) + 1, F.size(template(c["t"])["key"])) == template(c["t"])["key"]))
+
+    def share(c: Column) -> Column:
+        t, first = template(c["t"]), c["s"] - template(c["t"])["at"]
+        own = lambda w, j: F.when((first + j >= 0) & F.get("__words", F.greatest(first + j, F.lit(0))).eqNullSafe(w), F.get(t["weights"], j)).otherwise(0.0)
+        return F.round(F.aggregate(F.transform(t["notice"], own), F.lit(0.0), lambda a, x: a + x) / t["whole"], 6)
+
+    found = F.transform(verified, lambda c: F.struct(c["s"].alias("s"), template(c["t"])["label"].alias("label"), template(c["t"])["base"].alias("base"), share(c).alias("share")))
+    none = F.array().cast("array<struct<s:int,label:string,base:boolean,share:double>>")
+    df = df.select("doc_id", "n_words", F.when(F.size("__hits") > 0, found).otherwise(none).alias("f"))
+
+    def result(f: Column) -> Column:
+        places = F.transform(F.filter(f, lambda x: x["base"]), lambda x: x["s"])
+        label = lambda g: F.array_join(F.array_sort(F.array_distinct(F.transform(g, lambda x: x["label"]))), ",")
+        best = F.coalesce(F.array_max(F.transform(f, lambda x: x["share"])), F.lit(0.0))
+        return F.struct(F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"), label(F.filter(f, lambda x: x["base"])).alias("base_labels"), label(f).alias("labels"), best.alias("score"))
+
+    return df.select("doc_id", "n_words", let(F.col("f"), result).alias("r")).select("doc_id", "n_words", "r.*")

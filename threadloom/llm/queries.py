@@ -69,24 +69,24 @@ def queries() -> dict:
 
 
 def license_sql(templates: tuple[license_scan.Template, ...] = license_scan.TEMPLATES) -> str:
-    """Every place of every key phrase by comparing lists at each word, without an index."""
+    """Every key phrase at every word that it could begin at, by comparing lists, without an index."""
     weight = license_scan.idf(templates)
     rows = []
     for t in templates:
-        notice = t.notice.split()
-        at = t.notice.split(t.key)[0].count(" ")
-        whole = sum(weight[w] for w in notice)
-        key = ", ".join(f"'{w}'" for w in t.key.split())
-        share = " + ".join(f"(CASE WHEN p + {j - at} >= 0 AND words[p + {j - at} + 1] = '{w}' THEN {weight[w]!r}::DOUBLE ELSE 0.0::DOUBLE END)" for j, w in enumerate(notice))
-        rows.append(f"SELECT doc_id, '{t.label}' AS label, {t.base} AS base, p, round((0.0::DOUBLE + {share}) / {whole!r}::DOUBLE, 6) AS share FROM spots WHERE words[p + 1 : p + {len(t.key.split())}] = [{key}]")
+        notice, key = t.notice.split(), t.key.split()
+        at = min(i for i in range(len(notice)) if notice[i : i + len(key)] == key)
+        listed = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+        rows.append(f"('{t.label}', {t.base}, {listed(key)}, {at}, {listed(notice)}, [{', '.join(f'{weight[w]!r}::DOUBLE' for w in notice)}])")
     return f"""
-WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
-spots AS (SELECT doc_id, words, unnest(list_filter(range(len(words)), lambda p: words[p + 1] IN ('gnu', 'apache', 'cc', 'mit', 'mozilla', 'redistribution', 'permission', 'free'))) AS p FROM w),
-f AS ({" UNION ALL ".join(rows)}),
-g AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(p) FILTER (base) AS first_word, max(p) FILTER (base) AS last_word,
-  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM f GROUP BY doc_id)
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+t(label, base, key, lead, notice, weights) AS (VALUES {", ".join(rows)}),
+begins AS (SELECT r, words, p FROM w, (SELECT list(DISTINCT key[1]) AS firsts FROM t), unnest(list_filter(range(len(words)), lambda p: list_contains(firsts, words[p + 1]))) AS x(p)),
+f AS (SELECT r, label, base, p, round(list_sum(list_transform(range(1, len(notice) + 1), lambda j: CASE WHEN p - lead + j >= 1 AND words[greatest(1, p - lead + j)] = notice[j] THEN weights[j] ELSE 0.0::DOUBLE END)) / list_sum(weights), 6) AS share
+  FROM begins JOIN t ON words[p + 1] = key[1] AND words[p + 1 : p + len(key)] = key),
+g AS (SELECT r, count(*) FILTER (base) AS n_base, min(p) FILTER (base) AS first_word, max(p) FILTER (base) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM f GROUP BY r)
 SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
-  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score FROM w LEFT JOIN g USING (doc_id)"""
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score FROM w LEFT JOIN g USING (r)"""
 
 
 TOPK_SQL = """
