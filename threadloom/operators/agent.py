@@ -12,7 +12,7 @@ from threadloom.operators.retrieval import rendered
 
 #: Characters of both sides of an exchange that evidence shows.
 ASKED_CUT, ANSWERED_CUT = 280, 400
-_HIT = "array<struct<rank:int,score:double,asked:string,answered:string>>"
+HITS = "array<struct<rank:int,score:double,asked:string,answered:string>>"
 
 
 def evidence_lists(hits: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def run(messages: DataFrame, hits: DataFrame, brand: str, taxonomy: str, intents
     column. silver_intent is the second opinion, null where there is none, which counts as agreement. Whoever escalates holds the customer with
     what the first reason asks; else the draft is the reply.
     """
-    rows = messages.join(evidence_lists(hits), "item_id", "left").withColumn("e", F.coalesce("e", F.array().cast(_HIT)))
+    rows = messages.join(evidence_lists(hits), "item_id", "left").withColumn("e", F.coalesce("e", F.array().cast(HITS)))
     prompt = model_calls.filled("analyze", {"brand": F.lit(brand), "taxonomy": F.lit(taxonomy), "message": F.substring("text", 1, model_calls.MESSAGE_CUT), "evidence": rendered(F.col("e"))})
     rows = rows.withColumn("a", model_calls.parse_analysis(answer(prompt, intents), intents)).select("*", F.col("a.intent").alias("intent"), F.col("a.confidence").alias("conf"), F.col("a.sufficient").alias("sufficient"), F.col("a.unsupported").alias("unsupported"), F.col("a.multi_intent").alias("multi"))
     rows = rows.withColumns({"agrees": F.col("silver_intent").isNull() | (F.col("silver_intent") == F.col("intent")), "scores": F.transform("e", lambda x: x["score"]), "conflict": policy.evidence_conflict(F.transform("e", lambda x: x["answered"]))})

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as X
-from threadloom.operators import audit, evaluation, exchanges, graph, learning, model_calls, policy, profile, ranks, replies, retrieval, sampling
+from threadloom.operators import agent, audit, evaluation, exchanges, graph, learning, model_calls, policy, profile, ranks, replies, retrieval, sampling
 from threadloom.plans import dialect as D
 from threadloom.plans.registry import ORACLE, QUERIES, query  # noqa: F401
 from threadloom.session import settle
@@ -246,10 +246,10 @@ def nearest_reply(spark, sf_dir):
     return hits(spark, sf_dir, 1).join(corpus(spark, sf_dir), "doc_id").select("item_id", "doc_id", F.substring("text", 1, 280).alias("reply"))
 
 
-@query(f"""WITH {D.BM25}, rel AS (SELECT item_id, doc_id, score, rank, contains(docs.text, substr(items.text, 1, 60)) AS r FROM ranked JOIN docs USING (doc_id) JOIN items USING (item_id) WHERE rank <= 5),
+@query(f"""WITH {D.BM25}, rel AS (SELECT item_id, doc_id, score, rank, contains(docs.text, items.text) AS r FROM ranked JOIN docs USING (doc_id) JOIN items USING (item_id) WHERE rank <= 5),
 q AS (SELECT item_id, sum(r::INTEGER) / 5.0::DOUBLE AS p, max(CASE WHEN r THEN 1.0::DOUBLE / rank ELSE 0 END) AS rr FROM rel GROUP BY item_id) SELECT count(*) AS n_queries, round(avg(p), 6) AS p_at_5, round(avg(rr), 6) AS mrr FROM q""")
 def retrieval_precision(spark, sf_dir):
-    r = hits(spark, sf_dir, 5).join(corpus(spark, sf_dir).select("doc_id", "text"), "doc_id").join(items(spark, sf_dir).select("item_id", F.col("text").alias("asked")), "item_id").withColumn("r", F.contains("text", F.substring("asked", 1, 60)))
+    r = hits(spark, sf_dir, 5).join(corpus(spark, sf_dir).select("doc_id", "text"), "doc_id").join(items(spark, sf_dir).select("item_id", F.col("text").alias("asked")), "item_id").withColumn("r", F.contains("text", "asked"))
     q = r.groupBy("item_id").agg((F.count_if(F.col("r")) / 5.0).alias("p"), F.max(F.when(F.col("r"), 1.0 / F.col("rank")).otherwise(0.0)).alias("rr"))
     return q.agg(F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("p"), 6).alias("p_at_5"), F.round(F.avg("rr"), 6).alias("mrr"))
 
@@ -282,10 +282,19 @@ def evidence_conflict(spark, sf_dir):
     return evidence(spark, sf_dir).select("item_id", policy.evidence_conflict(F.transform("e", lambda x: x["t"])).alias("conflict"))
 
 
-@query(f"WITH {D.BM25} SELECT item_id, string_agg('[E' || rank || '] (similarity ' || printf('%.4f', score) || ') ' || replace(substr(docs.text, 1, 80), chr(10), ' '), chr(10) ORDER BY rank) AS evidence FROM ranked JOIN docs USING (doc_id) WHERE rank <= 3 GROUP BY item_id")
+@query(f"""WITH {D.BM25} SELECT item_id, coalesce(string_agg('[E' || rank || '] (similarity ' || printf('%.4f', score) || ')' || chr(10) || '  Customer: ' || substr(docs.text, 1, 280) || chr(10) || '  Brand replied: ' || substr(docs.text, 1, 400), chr(10) ORDER BY rank), '(no historical precedent found)') AS evidence
+FROM items LEFT JOIN (SELECT * FROM ranked WHERE rank <= 3) r USING (item_id) LEFT JOIN docs USING (doc_id) GROUP BY item_id""")
 def evidence_render(spark, sf_dir):
-    line = lambda x: F.concat(F.lit("[E"), x["rank"].cast("string"), F.lit("] (similarity "), F.format_string("%.4f", x["score"]), F.lit(") "), F.replace(F.substring(x["t"], 1, 80), F.lit("\n"), F.lit(" ")))
-    return evidence(spark, sf_dir).select("item_id", F.array_join(F.transform("e", line), "\n").alias("evidence"))
+    found = hits(spark, sf_dir, 3).join(corpus(spark, sf_dir).select("doc_id", F.col("text").alias("asked"), F.col("text").alias("answered")), "doc_id")
+    e = items(spark, sf_dir).select("item_id").join(agent.evidence_lists(found), "item_id", "left")
+    return e.select("item_id", retrieval.rendered(F.coalesce("e", F.array().cast(agent.HITS))).alias("evidence"))
+
+
+@query(f"WITH {D.BM25} SELECT item_id, (rank - 1)::INTEGER AS rank, doc_id, score FROM ranked WHERE rank BETWEEN 2 AND 6")
+def bm25_excluded(spark, sf_dir):
+    """What is found once each item's own best document is excluded."""
+    first = settle(hits(spark, sf_dir, 1).select("item_id", "doc_id"), "first")
+    return retrieval.best(retrieval.scores(corpus(spark, sf_dir), items(spark, sf_dir), first), 5).select("item_id", "rank", "doc_id", "score")
 
 
 # Policy and models
