@@ -322,14 +322,15 @@ _INTENT = "CASE quality * 2 + toxic WHEN 0 THEN 'other' WHEN 1 THEN 'bad' WHEN 2
 
 
 @query(f"""WITH b AS (SELECT doc_id, text, n_chars, toxic, {_INTENT} AS intent, round((n_chars % 101) / 100.0::DOUBLE, 2) AS conf, n_chars % 7 <> 0 AS agrees, CASE WHEN n_chars % 13 = 0 THEN 0 ELSE 1 END AS n_strong FROM documents JOIN labels USING (doc_id)),
-c AS (SELECT doc_id, list_filter([{", ".join(f"CASE WHEN {v} THEN '{k}' END" for k, v in _FLAGS.items())}], lambda x: x IS NOT NULL) AS codes FROM b)
+c AS (SELECT doc_id, intent, conf, n_strong, list_filter([{", ".join(f"CASE WHEN {v} THEN '{k}' END" for k, v in _FLAGS.items())}], lambda x: x IS NOT NULL) AS codes FROM b)
 SELECT doc_id, CASE WHEN len(codes) = 0 THEN 'auto_handle' ELSE 'escalate' END AS decision, CASE WHEN len(codes) = 0 THEN '{",".join(policy.HANDLED)}' ELSE array_to_string(codes, ',') END AS reason_codes, codes[1] AS primary,
-CASE codes[1] {" ".join(f"WHEN '{k}' THEN {D.lit(v)}" for k, v in policy.ASKS.items())} ELSE CASE WHEN len(codes) > 0 THEN {D.lit(policy.DEFAULT_ASK)} END END AS ask FROM c""".replace("AS primary", 'AS "primary"'))
+CASE codes[1] {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in D.ASKS.items())} ELSE CASE WHEN len(codes) > 0 THEN 'They''ll follow up with you shortly.' END END AS ask,
+CASE WHEN len(codes) = 0 THEN 'auto_handle — confident_intent: ''' || intent || ''' at ' || printf('%.2f', conf) || ' (>= 0.3), ' || n_strong || ' historical precedents above similarity 5.0, and no account action or sensitive content detected.' ELSE 'escalate — ' || codes[1] || ': ' || CASE codes[1] {D.said("n_strong", "1", "0.3", "5.0")} END || '. Needs a human.' END AS reason FROM c""".replace("AS primary", 'AS "primary"'))
 def policy_decisions(spark, sf_dir):
     d = tables.table(spark, sf_dir, "documents").join(tables.table(spark, sf_dir, "labels"), "doc_id")
     n = F.col("n_chars")
     rows = d.select("doc_id", "text", F.expr(_INTENT).alias("intent"), F.round((n % 101) / 100.0, 2).alias("conf"), (n % 7 != 0).alias("agrees"), F.array(F.when(n % 13 == 0, 1.0).otherwise(9.0)).alias("scores"), F.lit(False).alias("conflict"), F.lit(True).alias("sufficient"), F.col("toxic").alias("unsupported"), (n % 11 == 0).alias("multi"))
-    return policy.decide(rows, 0.3, 5.0, 1, ["good", "fine"], FIXTURE_SENSITIVE, FIXTURE_ACCOUNT).select("doc_id", "decision", "reason_codes", "primary", "ask")
+    return policy.decide(rows, 0.3, 5.0, 1, ["good", "fine"], FIXTURE_SENSITIVE, FIXTURE_ACCOUNT).select("doc_id", "decision", "reason_codes", "primary", "ask", "reason")
 
 
 @query("SELECT label, n FROM (SELECT quality * 2 + toxic AS label, count(*) AS n, min(doc_id) AS f FROM labels GROUP BY 1 ORDER BY n DESC, f LIMIT 1)")

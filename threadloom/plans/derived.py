@@ -151,20 +151,6 @@ def cheapness_rank(spark, sf_dir):
 
 _FILL = {"brand": "'acme'", "taxonomy": "'- good: well - fine: so'", "message": "substr(items.text, 1, 1500)", "evidence": "coalesce(shown, '(no historical precedent found)')"}
 _ASK = " || ".join(_FILL[p] if i % 2 else D.lit(p) for i, p in enumerate(model_calls.re.split(r"\{(\w+)\}", model_calls.TEMPLATES["analyze"])))
-_CHAIN_CODES = {
-    "sensitive_topic": "message contains legal, financial-harm, safety or medical language", "account_action_required": "request needs a change to the customer''s account, which this system must never perform", "unknown_intent": "message does not fall into any intent the taxonomy covers",
-    "low_quality_input": "message has fewer than 4 content words, too little to act on", "low_confidence": "intent confidence ' || printf('%.2f', conf) || ' is below the 0.5 threshold", "classifier_disagreement": "the LLM and the distilled TF-IDF classifier chose different intents",
-    "insufficient_evidence": "only ' || n_strong || ' of ' || n_evidence || ' retrieved precedents scored above 20.0; the brand has no consistent historical response", "conflicting_precedents": "retrieved historical replies disagree with each other", "ungrounded_draft": "the draft could not be fully supported by the retrieved evidence",
-    "multi_intent": "message contains more than one distinct request", "intent_not_auto_allowed": "intent ''' || intent || ''' is not on the auto-handle allowlist",
-}
-_CHAIN_ASKS = {
-    "account_action_required": "They''ll need to verify your account before making any changes.", "sensitive_topic": "Someone will follow up with you directly on this.", "unknown_intent": "Could you tell us a little more about what you need?", "low_quality_input": "Could you share a few more details so we can help?",
-    "insufficient_evidence": "They''ll be able to give you a definitive answer.", "conflicting_precedents": "They''ll confirm the right answer for your situation.", "ungrounded_draft": "They''ll be able to give you a definitive answer.", "low_confidence": "Could you tell us a little more about the issue?",
-    "classifier_disagreement": "Could you tell us a little more about the issue?", "multi_intent": "It looks like there are a couple of things here — a colleague will pick both up.", "intent_not_auto_allowed": "They''ll be able to help with this directly.",
-}
-_CASE = lambda values: " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items())
-
-
 @query(f"""WITH {D.BM25}, {catalog._SETS}, ev AS (SELECT item_id, string_agg('[E' || rank || '] (similarity ' || printf('%.4f', score) || ')' || chr(10) || '  Customer: ' || substr(docs.text, 1, 280) || chr(10) || '  Brand replied: ' || substr(docs.text, 1, 400), chr(10) ORDER BY rank) AS shown,
   count(*) AS n_evidence, count(*) FILTER (score >= 20) AS n_strong FROM ranked JOIN docs USING (doc_id) WHERE rank <= 5 GROUP BY item_id),
 p AS (SELECT items.item_id, items.text, ('0x' || substr(sha256({_ASK}), 1, 8))::BIGINT AS h, coalesce(n_evidence, 0)::INTEGER AS n_evidence, coalesce(n_strong, 0) AS n_strong, coalesce(conflict, false) AS conflict FROM items LEFT JOIN ev USING (item_id) LEFT JOIN conflict USING (item_id)),
@@ -174,8 +160,8 @@ a AS (SELECT *, h % 13 <> 0 AS ok, CASE WHEN h % 13 = 0 THEN 'other' ELSE ['good
 c AS (SELECT *, silver_intent IS NULL OR silver_intent = intent AS agreement, list_filter([CASE WHEN intent = 'other' THEN 'unknown_intent' END, CASE WHEN {D.low_quality("text")} THEN 'low_quality_input' END, CASE WHEN conf < 0.5 THEN 'low_confidence' END, CASE WHEN silver_intent <> intent THEN 'classifier_disagreement' END,
   CASE WHEN n_strong < 1 THEN 'insufficient_evidence' END, CASE WHEN conflict THEN 'conflicting_precedents' END, CASE WHEN NOT sufficient OR unsupported > 0 THEN 'ungrounded_draft' END, CASE WHEN multi THEN 'multi_intent' END, CASE WHEN intent = 'bad' THEN 'intent_not_auto_allowed' END], lambda x: x IS NOT NULL) AS codes FROM a)
 SELECT item_id, intent, conf AS confidence, runner_up, silver_intent, agreement, CASE WHEN len(codes) = 0 THEN 'auto_handle' ELSE 'escalate' END AS decision, CASE WHEN len(codes) = 0 THEN 'confident_intent,strong_retrieval_support,no_account_action_required' ELSE array_to_string(codes, ',') END AS reason_codes,
-CASE WHEN len(codes) = 0 THEN 'auto_handle — confident_intent: ''' || intent || ''' at ' || printf('%.2f', conf) || ' (>= 0.5), ' || n_strong || ' historical precedents above similarity 20.0, and no account action or sensitive content detected.' ELSE 'escalate — ' || codes[1] || ': ' || CASE codes[1] {_CASE(_CHAIN_CODES)} END || '. Needs a human.' END AS reason,
-CASE WHEN len(codes) = 0 THEN draft_reply ELSE 'Thanks for reaching out — I''m passing this to a member of our team who can look into it properly. ' || CASE codes[1] {_CASE(_CHAIN_ASKS)} END END AS reply, CASE WHEN len(codes) = 0 THEN 'draft_resolution' ELSE 'holding_ack' END AS reply_type,
+CASE WHEN len(codes) = 0 THEN 'auto_handle — confident_intent: ''' || intent || ''' at ' || printf('%.2f', conf) || ' (>= 0.5), ' || n_strong || ' historical precedents above similarity 20.0, and no account action or sensitive content detected.' ELSE 'escalate — ' || codes[1] || ': ' || CASE codes[1] {D.said("n_strong", "n_evidence", "0.5", "20.0")} END || '. Needs a human.' END AS reason,
+CASE WHEN len(codes) = 0 THEN draft_reply ELSE 'Thanks for reaching out — I''m passing this to a member of our team who can look into it properly. ' || CASE codes[1] {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in D.ASKS.items())} END END AS reply, CASE WHEN len(codes) = 0 THEN 'draft_resolution' ELSE 'holding_ack' END AS reply_type,
 draft_reply, n_evidence, n_claims, unsupported, sufficient, draft_reply = '' AS parse_failed FROM c""")
 def agent_chain(spark, sf_dir):
     texts = catalog.corpus(spark, sf_dir).select("doc_id", F.col("text").alias("asked"), F.col("text").alias("answered"))

@@ -20,6 +20,24 @@ ACCOUNT = (
 LATIN = r"A-Za-z\x{C0}-\x{24F}\x{1E00}-\x{1EFF}\x{2C60}-\x{2C7F}\x{A720}-\x{A7FF}"
 
 
+#: What to ask for a reason; quotes are doubled, as they stand in SQL.
+ASKS = {
+    "account_action_required": "They''ll need to verify your account before making any changes.", "sensitive_topic": "Someone will follow up with you directly on this.", "unknown_intent": "Could you tell us a little more about what you need?", "low_quality_input": "Could you share a few more details so we can help?",
+    "insufficient_evidence": "They''ll be able to give you a definitive answer.", "conflicting_precedents": "They''ll confirm the right answer for your situation.", "ungrounded_draft": "They''ll be able to give you a definitive answer.", "low_confidence": "Could you tell us a little more about the issue?",
+    "classifier_disagreement": "Could you tell us a little more about the issue?", "multi_intent": "It looks like there are a couple of things here — a colleague will pick both up.", "intent_not_auto_allowed": "They''ll be able to help with this directly.",
+}
+
+def said(strong: str, n: str, tau: str, theta: str) -> str:
+    """Cases of what a reason says; reads conf and intent."""
+    details = {
+        "sensitive_topic": "message contains legal, financial-harm, safety or medical language", "account_action_required": "request needs a change to the customer''s account, which this system must never perform", "unknown_intent": "message does not fall into any intent the taxonomy covers",
+        "low_quality_input": "message has fewer than 4 content words, too little to act on", "low_confidence": f"intent confidence ' || printf('%.2f', conf) || ' is below the {tau} threshold", "classifier_disagreement": "the LLM and the distilled TF-IDF classifier chose different intents",
+        "insufficient_evidence": f"only ' || {strong} || ' of ' || {n} || ' retrieved precedents scored above {theta}; the brand has no consistent historical response", "conflicting_precedents": "retrieved historical replies disagree with each other", "ungrounded_draft": "the draft could not be fully supported by the retrieved evidence",
+        "multi_intent": "message contains more than one distinct request", "intent_not_auto_allowed": "intent ''' || intent || ''' is not on the auto-handle allowlist",
+    }
+    return " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in details.items())
+
+
 def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
