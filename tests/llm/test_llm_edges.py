@@ -30,7 +30,7 @@ def test_more_sources_than_a_broadcast_takes(named, monkeypatch):
     assert sorted(map(repr, mixing.mix_sources(named).collect())) == want
 
 
-def test_every_language_is_learned(spark):
+def test_every_language_is_learned(spark, monkeypatch):
     letters = "abcdefghijklmnopqrstuvwxyz"
     rng = np.random.default_rng(5)
     words = {k: ["".join(rng.choice(list(letters), 6)) for _ in range(4)] for k in range(130)}
@@ -38,6 +38,9 @@ def test_every_language_is_learned(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = langid.identify_languages(docs).join(docs, "doc_id").collect()
     assert len({r["lang_pred"] for r in got}) == 130 and np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.97
+    monkeypatch.setattr(langid, "BROADCAST", 100)
+    again = langid.identify_languages(docs).collect()
+    assert sorted((r["doc_id"], r["lang_pred"], r["score"]) for r in again) == sorted((r["doc_id"], r["lang_pred"], r["score"]) for r in got)
 
 
 def test_only_ascii_letters_are_lowered(spark):

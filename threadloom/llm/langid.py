@@ -20,6 +20,8 @@ from threadloom.llm.common import bound_batches, fresh, materialise
 
 #: Documents a language that the centroids are fitted on at most, those with the smallest hashes.
 SAMPLE = 400
+#: Languages up to which their counted table is broadcast; more meet the texts by an exchange, each in so many parts.
+BROADCAST, SALTS = 10_000, 32
 BUCKETS = 8192
 CENTROIDS = 3
 #: The share of the training pieces of a length that rejection may cost at most.
@@ -142,9 +144,14 @@ def fit(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
     Each language is fitted in a group of its own, at most ``sample`` vectors; the driver gets the centroids, 32 KB each, and a row a length.
     """
     known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    h = F.xxhash64("doc_id", "text", F.lit("langid"))
-    near = known.join(sizes, "lang").withColumn("__h", h).filter(F.pmod("__h", F.lit(1 << 30)) < F.least(F.lit(1.0), 3 * sample / F.col("n")) * (1 << 30))
+    sizes = materialise(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    known = known.withColumn("__h", F.xxhash64("doc_id", "text", F.lit("langid")))
+    if sizes.count() <= BROADCAST:
+        sized = known.join(F.broadcast(sizes), "lang")
+    else:
+        salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        sized = known.withColumn("salt", F.pmod("__h", F.lit(SALTS)).cast("int")).join(salted, ["lang", "salt"])
+    near = sized.filter(F.pmod("__h", F.lit(1 << 30)) < F.least(F.lit(1.0), 3 * sample / F.col("n")) * (1 << 30))
     one = near.groupBy("lang", "__h").agg(F.min("text").alias("text")).withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("__h", F.lit(1 << 30)), "__h")))
     rows = materialise(one.filter(F.col("r") <= sample).select("lang", "r", "text"), "language-samples")
 
