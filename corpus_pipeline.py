@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; it is written as Parquet and read again as
 the next stage's docs. All but the last give the columns of documents.
+
+Null texts, and texts without a letter, go in the first stage; null sources, languages and sizes are values of their own
+everywhere. A null doc_id, repeated ids and repeated rows are told apart by their texts. Texts are read whole, however long. An empty table
+gives an empty one in every stage. Columns beyond those of documents, whatever their names, are let go after each stage.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come as often as their source's target share asks, in random order."""
+    """Documents come as often as their source's target share asks, in random order; equal ids get equal counts."""
     return mixing.mix_sources(docs).select(COLUMNS)
 
 
