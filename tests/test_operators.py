@@ -1,5 +1,4 @@
 import math
-import time
 
 from pyspark.sql import functions as F
 
@@ -85,6 +84,5 @@ def test_stream_counts_equal_batch(spark, small, tmp_path):
     q = stream.writeStream.outputMode("complete").format("memory").queryName("counts").start()
     q.processAllAvailable()
     q.stop()
-    time.sleep(0)
     got = spark.table("counts").agg(F.sum("n")).first()[0]
     assert got == e.count()

@@ -74,7 +74,7 @@ def brands(msgs: DataFrame) -> DataFrame:
 
 
 def rank_brands(table: DataFrame, least_inbound: int, least_own: int, least_multi_pct: float, least_days: float) -> DataFrame:
-    """The brands that pass all gates, ranked by the share of replies that do not deflect."""
+    """The brands that pass all gates, ranked by the share of replies that do not deflect: one task sorts a row a brand, nothing else."""
     passed = table.filter((F.col("n_inbound") >= least_inbound) & (F.col("n_own") >= least_own) & (F.col("multi_turn_pct") >= least_multi_pct) & (F.col("span_days") >= least_days))
     from pyspark.sql import Window as W
 
