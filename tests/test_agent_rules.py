@@ -28,9 +28,10 @@ def sql_rows(path, sql, columns):
         return sorted((tuple(map(str, r)) for r in c.execute(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()))
 
 
-def test_chain_on_worded_items_equals_sql(spark, worded):
-    got = catalog.QUERIES["agent_chain"](spark, worded)
-    assert sorted(tuple(map(str, r)) for r in got.collect()) == sql_rows(worded, catalog.ORACLE["agent_chain"], got.columns)
+@pytest.mark.parametrize("name", ["agent_chain", "agent_run"])
+def test_replies_to_worded_items_equal_sql(spark, worded, name):
+    got = catalog.QUERIES[name](spark, worded)
+    assert sorted(tuple(map(str, r)) for r in got.collect()) == sql_rows(worded, catalog.ORACLE[name], got.columns)
 
 
 def test_policy_without_a_rule(spark):
