@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -379,6 +380,33 @@ def test_topk(spark):
     assert topk.top_k(spark.createDataFrame([(20, [1.0]), (21, [2.0])], "vec_id long, embedding array<float>")).collect()[0].asDict() == {"query_id": 20, "rank": 1, "vec_id": 21, "score": 8192}
 
 
+@pytest.mark.parametrize("top", [40, 2**20, 2**28])
+def test_topk_answers_a_batch_level_by_level(top):
+    """Whole numbers in floats of 4 and 8 bytes and in integers; a query may be larger than every candidate of a shard."""
+    rng = np.random.default_rng(top)
+    ids = rng.permutation(3000)
+    v = rng.integers(-top // 2, top // 2, (3000, 16))
+    v[:600] = v[0]  # copies
+    v[600:1200] //= 1000
+    q = np.vstack([v[:3], v[1200:1330], rng.integers(-top, top, (5, 16))])
+    own = np.r_[ids[:3], ids[1200:1330], np.full(5, -1)]
+    index = topk.Index(ids, v, float(top))
+    got = {(o, s.tobytes()): i.tolist() for o, i, s in index.search(own, q, 20)}
+    assert len(got) == len(q)
+    for o, x in zip(own.tolist(), q, strict=True):
+        score = v @ x
+        order = [i for i in np.lexsort((ids, -score)) if ids[i] != o][:20]
+        assert got[o, score[order].tobytes()] == ids[order].tolist()
+
+
+def test_topk_takes_little_time_a_query():
+    rng = np.random.default_rng(5)
+    v = np.floor(8 * rng.standard_normal((50_000, 64))).astype(np.int64)
+    index, began = topk.Index(np.arange(50_000), v, 60.0), time.thread_time()
+    assert len(list(index.search(np.arange(256), v[:256], 20))) == 256
+    assert time.thread_time() - began < 256 * 0.007  # 0.0147 while each posting was added by itself
+
+
 def test_langid(docs, odd, none):
     r = langid.identify_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
     assert (r["lang_pred"] == r["lang"]).mean() > 0.97 and (r[r["held_out"]]["lang_pred"] == r[r["held_out"]]["lang"]).mean() > 0.95

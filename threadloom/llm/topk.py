@@ -1,10 +1,10 @@
 """Exact top-k search by inner product with an impact-ordered, score-at-a-time index.
 
-Vectors are quantised to integers. A shard of the candidates is indexed by dimension; each dimension's
-postings stand in segments of one value. For a query a segment's impact is its value times the query's
-component; segments are added up in descending order of impact. What is left adds at most the next impact
-for each dimension (nothing once impacts fall to zero), so candidates that stay below the k-th exact score
-known so far are proven out. When few are left, these possible members are scored exactly.
+Vectors are quantised to integers. A shard of the candidates is indexed by the impact of its postings (a component of
+a candidate): levels hold the postings of a band of absolute values each, the largest first. A level is added up for
+a batch of queries at once, as a product of matrices. What is left of a candidate adds at most its length times the query's,
+so candidates that stay below the k-th exact score known so far are proven out. When few are left, these
+possible members are scored exactly; only queries with many go on to the next level.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ LARGEST = 2.0**52
 SHARD = 65_536
 #: Tasks aimed at: with fewer shards, each is searched in so many parts of the queries that there are about as many.
 TASKS = 16
+#: Queries that meet a level together. Candidates of which the best one leads its run. Share that rounding of bounds may take.
+QUERIES, RUN, SLACK = 64, 64, 1e-9
 #: Processing stops when at most this share of a shard's candidates is possible.
 RESCORE = 0.05
 
@@ -50,64 +52,59 @@ def unpack(packed: list[bytes], width: int) -> np.ndarray:
 
 
 class Index:
-    """Candidates by id, and their postings by dimension and value."""
+    """Candidates by id, and their postings (dimension, value) in levels of falling impact: the thirds with the largest, middle and least absolute values."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, top: float):
+        """top: no component is larger, of a candidate or a query."""
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
-        members, dims, values, starts = [], [], [], []
-        for j in range(vectors.shape[1]):
-            column = self.vectors[:, j]
-            by_value = np.argsort(column, kind="stable")
-            cut = np.flatnonzero(np.r_[True, np.diff(column[by_value]) != 0])
-            members.append(by_value)
-            dims.append(np.full(len(cut), j))
-            values.append(column[by_value][cut])
-            starts.append(cut + j * len(ids))
-        self.members = np.concatenate(members) if members else np.zeros(0, np.int64)
-        self.dims, self.values = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (dims, values))
-        self.starts = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-        self.ends = np.r_[self.starts[1:], len(self.members)]
-
-    def search(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best but ``own``, by score, then id."""
-        n = len(self.ids)
-        impact = q[self.dims] * self.values
-        order = np.argsort(-impact, kind="stable")
-        order = order[: np.searchsorted(-impact[order], 0)]  # none of the others can raise a score
-        sums = np.zeros(n, dtype=np.int64)
-        few, check = max(4 * k, int(RESCORE * n)), len(self.members) // 4
-        level = impact[order].tolist()
-        starts, ends, members = self.starts[order].tolist(), self.ends[order].tolist(), self.members
-        active, done, possible = int(np.count_nonzero(q)), 0, None
-        for i, x in enumerate(level):
-            s, e = starts[i], ends[i]
-            sums[members[s:e]] += x
-            done += e - s
-            if done >= check:
-                check = done + max(1, len(members) // 8)
-                left = (level[i + 1] if i + 1 < len(level) else 0) * active
-                near = np.flatnonzero(sums >= self.known(sums, own, q, k) - left)
-                if 0 < len(near) <= few:
-                    possible = near
-                    break
-        if possible is None:
-            possible = np.flatnonzero(sums >= self.known(sums, own, q, k))
-        possible = possible[self.ids[possible] != own]
-        score = self.vectors[possible] @ q
-        best = np.lexsort((self.ids[possible], -score))[:k]
-        return self.ids[possible[best]], score[best]
-
-    def known(self, sums: np.ndarray, own: int, q: np.ndarray, k: int) -> int:
+        most = vectors.shape[1] * top * top  # no sum is larger, and whole numbers below these are exact
+        self.ids, self.vectors = ids[order], vectors[order].astype("<f4" if most < 2**24 else "<f8" if most < 2**53 else "<i8")
+        size = np.abs(self.vectors)
+        cuts = np.unique(np.quantile(size, [1 / 3, 2 / 3], method="lower"))[::-1] if size.size else []
+        bands = [size > cuts[0], *[(size <= a) & (size > b) for a, b in zip(cuts, cuts[1:], strict=False)], size <= cuts[-1]] if len(cuts) else [size >= 0]
+        self.levels = [np.where(x, self.vectors, 0).astype(self.vectors.dtype) for x in bands]
+        squares = [np.square(x.astype(float)).sum(axis=1) for x in self.levels]
+        self.rest = [np.sqrt(sum(squares[i + 1 :], np.zeros(len(ids)))) for i in range(len(bands))]  # lengths of what the levels below hold
+
+    def search(self, own: np.ndarray, queries: np.ndarray, k: int):
+        """For each query, in no order: its id, and the ids and scores of the k best but itself, by score, then id."""
+        n, few = len(self.ids), max(4 * k, int(RESCORE * len(self.ids)))
+        q, lengths = queries.astype(self.vectors.dtype), np.sqrt(np.square(queries.astype(float)).sum(axis=1))
+        sums, open_ = np.zeros((len(q), n), self.vectors.dtype), np.arange(len(q))
+        for level, rest in zip(self.levels, self.rest, strict=True):
+            sums += q[open_] @ level.T
+            longest, last, later = rest.max(initial=0.0), level is self.levels[-1], []
+            for at, i in enumerate(open_.tolist()):
+                known, row = self.known(sums[at], own[i], q[i], k), sums[at]
+                least = known - SLACK * abs(known) - 1
+                reach = lengths[i] * (1 + SLACK)
+                near = np.flatnonzero(row >= least - reach * longest)
+                near = near[row[near] >= least - reach * rest[near]]
+                if len(near) > few and not last:
+                    later.append(at)
+                    continue
+                near = near[self.ids[near] != own[i]]
+                score = (self.vectors[near] @ q[i]).astype(np.int64)
+                best = np.lexsort((self.ids[near], -score))[:k]
+                yield own[i], self.ids[near[best]], score[best]
+            if not later:
+                return
+            sums, open_ = sums[later], open_[later]
+
+    def known(self, sums: np.ndarray, own: int, q: np.ndarray, k: int) -> float:
         """An exact score that k candidates reach: the k-th best of those that lead so far. All are possible with fewer than k."""
-        lead = np.argpartition(-sums, min(len(sums) - 1, 8 * k))[: 8 * k] if len(sums) > 8 * k else np.arange(len(sums))
+        blocks = len(sums) // RUN
+        lead = np.arange(len(sums))
+        if blocks > k:  # the best of each run of candidates: k + 1 of these are k + 1 leaders
+            best = sums[: blocks * RUN].reshape(blocks, RUN).max(axis=1)
+            lead = np.flatnonzero(sums >= np.partition(best, blocks - k - 1)[blocks - k - 1])[: 16 * k]
         lead = lead[self.ids[lead] != own]
         if len(lead) < k:
-            return np.iinfo(np.int64).min // 2
-        return int(np.partition(self.vectors[lead] @ q, len(lead) - k)[len(lead) - k])
+            return -np.inf
+        return float(np.partition(self.vectors[lead] @ q, len(lead) - k)[len(lead) - k])
 
 
-def search(width: int, k: int):
+def search(width: int, top: float, k: int):
     """Answers queries from rows (shard, part, kind, vec_id, v) sorted by these: a shard's candidates (kind 0) come first, queries follow batch by batch."""
 
     def found(batches):
@@ -126,10 +123,10 @@ def search(width: int, k: int):
                     ids.append(part)
                     vectors.append(v)
                 elif ids:
-                    index = index or Index(np.concatenate(ids), np.concatenate(vectors))
-                    for one, q in zip(part.tolist(), v, strict=True):
-                        near, score = index.search(one, q, k)
-                        yield pd.DataFrame({"query_id": one, "vec_id": near, "score": score})
+                    index = index or Index(np.concatenate(ids), np.concatenate(vectors), top)
+                    for at in range(0, len(part), QUERIES):
+                        for one, near, score in index.search(part[at : at + QUERIES], v[at : at + QUERIES], k):
+                            yield pd.DataFrame({"query_id": one, "vec_id": near, "score": score})
 
     return found
 
@@ -154,13 +151,13 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, shard: int = SHARD,
     if n and (top >= LARGEST or width * top * top >= 2.0**62):
         raise ValueError(f"components as large as {top / SCALE} have products beyond 64 bits")
     shards = max(1, -(-n // shard))
-    parts = max(1, tasks // shards)
+    parts = max(1, -(-tasks // shards))
     place = lambda name, parts: F.pmod(F.xxhash64("vec_id", F.lit(name)), F.lit(parts)).cast("int")
     all_ = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     candidates = packed.select(place("shard", shards).alias("shard"), all_(parts).alias("part"), F.lit(0).alias("kind"), "vec_id", "v")
     queries = packed.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     queries = queries.select(all_(shards).alias("shard"), place("part", parts).alias("part"), F.lit(1).alias("kind"), "vec_id", "v")
-    dealt = candidates.unionByName(queries).repartition(shards * parts, "shard", "part").sortWithinPartitions("shard", "part", "kind")
-    found = dealt.mapInPandas(search(width, k), "query_id long, vec_id long, score long")
+    dealt = candidates.unionByName(queries).repartitionById(shards * parts, F.col("shard") * parts + F.col("part")).sortWithinPartitions("shard", "part", "kind")
+    found = dealt.mapInPandas(search(width, top or 0.0, k), "query_id long, vec_id long, score long")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
